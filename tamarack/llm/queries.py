@@ -1,0 +1,165 @@
+"""Queries of the llm operators and the SQL they are checked with."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tamarack.llm import canonical, look_alike, mixing, near_duplicates, packing, quota_sample, split_overlap, truncation
+from tamarack.runtime import table
+
+#: Similarity of p2 and p3 as TESTDATA.md states it.
+SIMILAR = {"shingle": 3, "threshold": 0.5}
+FIELDS = {"contract_type": "prediction.contract_type", "remote_policy": "prediction.remote_policy"}
+
+
+def _truncated(spark: SparkSession, d: str) -> truncation.Truncation:
+    return truncation.truncated(table(spark, d, "postings"), "posting_id", "source", "raw_text", "description_chars")
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Postings whose text was cut."""
+    return _truncated(spark, d).cut.select(F.col("id").alias("posting_id"))
+
+
+def p1_by_source(spark: SparkSession, d: str) -> DataFrame:
+    """Postings, cut postings and the evidence for them per source."""
+    return _truncated(spark, d).by_source
+
+
+def _near(spark: SparkSession, d: str) -> near_duplicates.NearDuplicates:
+    return near_duplicates.near_duplicates(table(spark, d, "postings"), "posting_id", "raw_text", **SIMILAR)
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of postings with the same or nearly the same text."""
+    return _near(spark, d).pairs().toDF("posting_id_a", "posting_id_b")
+
+
+def p2_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Class, copies and links of every posting."""
+    return _near(spark, d).linked().withColumnRenamed("id", "posting_id")
+
+
+def _overlap_pairs(spark: SparkSession, d: str) -> DataFrame:
+    test, train = table(spark, d, "test"), table(spark, d, "train")
+    near = split_overlap.split_overlap(test, train, "split_seq", "raw_text", **SIMILAR).pairs().select(F.col("eval_id").alias("test_split_seq"), F.col("train_id").alias("train_split_seq"), "similarity", "coverage")
+    a, b = test.select("posting_id", F.col("split_seq").alias("test_split_seq")), train.select("posting_id", F.col("split_seq").alias("train_split_seq"))
+    same_id = a.join(b, "posting_id").select("test_split_seq", "train_split_seq", F.lit(None).cast("double").alias("similarity"), F.lit(None).cast("double").alias("coverage"))
+    return near.unionByName(same_id).groupBy("test_split_seq", "train_split_seq").agg(F.max("similarity").alias("similarity"), F.max("coverage").alias("coverage"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of a test and a train row of one posting or the same or nearly the same text."""
+    return _overlap_pairs(spark, d).select("test_split_seq", "train_split_seq")
+
+
+def p3_by_split(spark: SparkSession, d: str) -> DataFrame:
+    """Overlapping pairs, test rows concerned and mean coverage per split and source of the test row."""
+    rows = table(spark, d, "test").select(F.col("split_seq").alias("test_split_seq"), "split", "source")
+    return _overlap_pairs(spark, d).join(rows, "test_split_seq").groupBy("split", "source").agg(F.count("*").alias("pairs"), F.count_distinct("test_split_seq").alias("test_rows"), F.round(F.avg("coverage"), 6).alias("mean_coverage"))
+
+
+def _codes(spark: SparkSession, d: str) -> DataFrame:
+    return canonical.canonical_codes(table(spark, d, "predictions"), "pred_id", FIELDS, table(spark, d, "canonical_values"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """The code each typed value means."""
+    return _codes(spark, d).select(F.col("id").alias("pred_id"), "field", "code")
+
+
+def p4_report(spark: SparkSession, d: str) -> DataFrame:
+    """Values that mean no entry, with how often each was typed."""
+    return _codes(spark, d).where(F.col("code") == canonical.UNMATCHED).groupBy("field", "value").agg(F.count("*").alias("typed"))
+
+
+def _sample(spark: SparkSession, d: str) -> quota_sample.QuotaSample:
+    first = quota_sample.first_rows(table(spark, d, "postings"), "posting_id", "seq", ["bucket", "matched_keyword"])
+    rows = first.withColumn("bucket", quota_sample.normal_category(F.col("bucket")))
+    targets = table(spark, d, "sample_targets").withColumn("bucket", quota_sample.normal_category(F.col("bucket")))
+    return quota_sample.quota_sample(rows, targets, ["bucket", "matched_keyword"])
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Targets with fewer postings than needed."""
+    return _sample(spark, d).report.where("short").select("target_id")
+
+
+def p5_sample(spark: SparkSession, d: str) -> DataFrame:
+    """The postings drawn for each set of targets."""
+    return _sample(spark, d).sample.withColumnRenamed("id", "posting_id")
+
+
+def p5_report(spark: SparkSession, d: str) -> DataFrame:
+    """Every target: available, needed, drawn, gap."""
+    return _sample(spark, d).report
+
+
+def _packed(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack_documents(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "pack_limits").select("capacity_tokens"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents longer than a container of 2,048 tokens."""
+    return _packed(spark, d).where("capacity = 2048 and parts > 1").select(F.col("id").alias("doc_id")).distinct()
+
+
+def p6_packed(spark: SparkSession, d: str) -> DataFrame:
+    """The container of each document, or of each of its parts, for each capacity."""
+    return _packed(spark, d).withColumnRenamed("id", "doc_id")
+
+
+def p6_fill(spark: SparkSession, d: str) -> DataFrame:
+    """How full the containers are."""
+    return packing.containers(_packed(spark, d))
+
+
+def _mixture(spark: SparkSession, d: str) -> mixing.Mixture:
+    return mixing.mix_sources(table(spark, d, "documents"), "doc_id", "text", "source", table(spark, d, "mix_targets"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Sources too small for their weight even at most repeats."""
+    return _mixture(spark, d).report.where("short").select("source")
+
+
+def p7_mixture(spark: SparkSession, d: str) -> DataFrame:
+    """How often each document is used."""
+    return _mixture(spark, d).documents.withColumnRenamed("id", "doc_id")
+
+
+def p7_report(spark: SparkSession, d: str) -> DataFrame:
+    """Target and actual share of each source."""
+    return _mixture(spark, d).report
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of documents that look the same but differ in their characters."""
+    return look_alike.look_alike_pairs(table(spark, d, "documents"), "doc_id", "text").toDF("doc_id_a", "doc_id_b")
+
+
+def p8_forms(spark: SparkSession, d: str) -> DataFrame:
+    """The consistent form of every text."""
+    return look_alike.consistent_form(table(spark, d, "documents"), "doc_id", "text").select(F.col("id").alias("doc_id"), "form")
+
+
+def queries() -> dict:
+    return {f.__name__: f for f in (p1_found, p1_by_source, p2_found, p2_groups, p3_found, p3_by_split, p4_found, p4_report, p5_found, p5_report, p5_sample, p6_found, p6_packed, p6_fill, p7_found, p7_report, p7_mixture, p8_found, p8_forms)}
+
+
+_FIRST = "f AS (SELECT posting_id, lower(trim(arg_min(coalesce(bucket, chr(0)), seq))) AS bucket, arg_min(matched_keyword, seq) AS kw FROM postings WHERE posting_id IS NOT NULL GROUP BY posting_id)"
+
+
+def oracle_sql() -> dict[str, str]:
+    return {
+        "p5_found": f"""
+            WITH {_FIRST}, n AS (SELECT count(*) AS n FROM f),
+            have AS (SELECT t.target_id, any_value(t.min_rows) AS least, any_value(t.target_share) AS share, count(f.posting_id) AS available
+                     FROM sample_targets t LEFT JOIN f ON f.bucket = lower(trim(t.bucket)) AND (t.matched_keyword IS NULL OR f.kw = t.matched_keyword) GROUP BY t.target_id)
+            SELECT target_id FROM have, n WHERE available < greatest(least, share * 0.1 * n)""",
+        "p8_forms": f"SELECT doc_id, {look_alike.consistent_form_sql('text')} AS form FROM documents",
+        "p8_found": f"""
+            WITH f AS (SELECT doc_id, text, {look_alike.consistent_form_sql('text')} AS form FROM documents)
+            SELECT least(a.doc_id, b.doc_id) AS doc_id_a, greatest(a.doc_id, b.doc_id) AS doc_id_b FROM f a JOIN f b ON a.form = b.form AND a.doc_id < b.doc_id AND a.text <> b.text""",
+    }
