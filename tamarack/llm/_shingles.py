@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import sys
 import unicodedata
 
 import numpy as np
@@ -12,29 +11,29 @@ import xxhash
 WORD = re.compile(r"[^\W_]+")
 
 
-def _ranges(points: list[int]) -> str:
-    spans: list[list[int]] = []
-    for p in points:
-        if spans and spans[-1][1] == p - 1:
-            spans[-1][1] = p
-        else:
-            spans.append([p, p])
-    return "".join(f"{chr(a)}-{chr(b)}" for a, b in spans)
+_OTHER = re.compile(r"[^\x00-\x7f]")
 
 
-#: Every non-spacing mark, the accents that stay after decomposition.
-MARKS = re.compile(f"[{_ranges([p for p in range(0x300, sys.maxunicode) if unicodedata.category(chr(p)) == 'Mn'])}]+")
+class _Bare(dict):
+    """character -> the character without its accents; an accent alone -> nothing."""
+
+    def __missing__(self, char: str) -> str:
+        value = self[char] = "".join(c for c in unicodedata.normalize("NFD", char) if unicodedata.category(c) != "Mn")
+        return value
+
+
+_bare = _Bare()
 
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
 class _Ids(dict):
-    """word -> 64-bit hash, the same in every process; forgets all when it gets large."""
+    """word -> signed 64-bit hash, the same in every process; forgets all when it gets large."""
 
     def __missing__(self, word: str) -> int:
         if len(self) > 1_000_000:
             self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+        value = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass")) - (1 << 63)
         return value
 
 
@@ -44,7 +43,7 @@ _ids = _Ids()
 def fold(text: str) -> str:
     """Lower case without accents."""
     text = text.lower()
-    return text if text.isascii() else MARKS.sub("", unicodedata.normalize("NFD", text))
+    return text if text.isascii() else _OTHER.sub(lambda m: _bare[m.group()], text)
 
 
 def words(text: str) -> list[str]:
@@ -53,7 +52,7 @@ def words(text: str) -> list[str]:
 
 
 def word_ids(text: str) -> np.ndarray:
-    return np.array([_ids[w] for w in words(text)], dtype=np.uint64)
+    return np.array([_ids[w] for w in words(text)], np.int64).view(np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -63,7 +63,7 @@ def _key(kind: int, *words: str) -> int:
     value = np.uint64(kind)
     with np.errstate(over="ignore"):
         for w in words:
-            value = sh.mix(value * np.uint64(0x9E3779B97F4A7C15) + np.uint64(sh._ids[w]))
+            value = sh.mix(value * np.uint64(0x9E3779B97F4A7C15) + np.int64(sh._ids[w]).view(np.uint64))
     return int(value.astype(np.int64))
 
 
@@ -138,14 +138,15 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             *before, last = (k for line in body.split("\n") if (k := line_start(line))) if body else ((),)
             lines.update(before)
             finals[last] += 1
-        a = np.array(ids, np.uint64)
-        word = a > 1
-        nxt = np.append(a[1:], np.uint64(0))
+        a = np.array(ids, np.int64)
+        word = (a != 0) & (a != 1)
+        nxt = np.append(a[1:], 0)
         out = []
         w, closes = a[word], (nxt[word] == 1)
         keys, at = np.unique(w, return_inverse=True)
+        a = a.view(np.uint64)
         with np.errstate(over="ignore"):
-            out.append((1, sh.mix(np.uint64(1) * np.uint64(0x9E3779B97F4A7C15) + keys), [names[k] for k in keys.tolist()], np.bincount(at, minlength=len(keys)), np.bincount(at, weights=closes, minlength=len(keys)).astype(np.int64)))
+            out.append((1, sh.mix(np.uint64(1) * np.uint64(0x9E3779B97F4A7C15) + keys.view(np.uint64)), [names[k] for k in keys.tolist()], np.bincount(at, minlength=len(keys)), np.bincount(at, weights=closes, minlength=len(keys)).astype(np.int64)))
             pair = word[:-1] & word[1:]
             first, second = a[:-1][pair], a[1:][pair]
             h = sh.mix(np.uint64(2) * np.uint64(0x9E3779B97F4A7C15) + first)
