@@ -35,18 +35,21 @@ def _hash_parameters(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _minhash(shingle: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """n minima of 32-bit multiply-xor hashes over blocks of shingles, so that long texts need no large matrix."""
-    low, high = shingle.astype(np.uint32), (shingle >> np.uint64(32)).astype(np.uint32)
+    """n minima of 32-bit multiply-add hashes over blocks of shingles, so that long texts need no large matrix."""
+    low = shingle.astype(np.uint32)
     best = np.full(len(a), 0xFFFFFFFF, np.uint32)
     for s in range(0, len(low), 256):
         h = low[s : s + 256, None] * a[None, :]
-        h ^= high[s : s + 256, None]
-        h *= b[None, :] | np.uint32(1)
-        h ^= h >> np.uint32(15)
+        h += b[None, :]
         np.minimum(best, h.min(axis=0), out=best)
     return best
 
 
+def short_class(cls: bytes) -> int:
+    """First half of a class: what is shuffled by band. Classes that should share it are told apart by their texts."""
+    return int.from_bytes(cls[:8], "little", signed=True)
+
+
 def _signatures(k: int, bands: int, rows: int):
     n = bands * rows
     words = -(-n // 64)
@@ -56,12 +59,13 @@ def _signatures(k: int, bands: int, rows: int):
         salts = sh.mix(np.arange(1, bands + 1, dtype=np.uint64))
         seen: set[bytes] = set()  # of this task, whose rows are bounded by the size of its split
         for batch in batches:
-            classes, sizes, keys, sketches = [], [], [], []
+            classes, short, sizes, keys, sketches = [], [], [], [], []
             with np.errstate(over="ignore"):
                 for text in batch.column(1).to_pylist():
                     s = sh.shingle_set(text, k)
                     cls = sh.content_class(text, s)
                     classes.append(cls)
+                    short.append(short_class(cls))
                     sizes.append(len(s))
                     if not len(s) or cls in seen:  # one copy per task is enough to find and describe its class
                         keys.append(None)
@@ -77,8 +81,8 @@ def _signatures(k: int, bands: int, rows: int):
                     bits[:n] = (m >> np.uint32(7)) & np.uint32(1)
                     sketches.append(np.packbits(bits).view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(classes, pa.binary()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))],
-                names=["id", "cls", "n", "keys", "sketch"],
+                [batch.column(0), pa.array(classes, pa.binary()), pa.array(short, pa.int64()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))],
+                names=["id", "cls", "c", "n", "keys", "sketch"],
             )
 
     return run
@@ -90,26 +94,28 @@ def _verify(k: int, threshold: float):
 
         def of(cls: bytes, text: str) -> np.ndarray:
             if cls not in sets:
-                if len(sets) >= 4096:
+                if len(sets) >= 8192:
                     sets.clear()
                 sets[cls] = sh.shingle_set(text, k)
             return sets[cls]
 
         for batch in batches:
-            a, b, ta, tb = (batch.column(i).to_pylist() for i in range(4))
+            a, b, ta, tb = (c.to_pylist() for c in batch.columns)
             j = np.array([sh.jaccard(of(a[i], ta[i]), of(b[i], tb[i])) for i in range(len(a))])
-            keep = pa.array(j >= threshold, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(j, pa.float64())], names=["cls_a", "cls_b", "similarity"]).filter(keep)
+            low, high = ([f(x, y) for x, y in zip(a, b)] for f in (min, max))
+            found = pa.RecordBatch.from_arrays([pa.array(low, pa.binary()), pa.array(high, pa.binary()), pa.array(j, pa.float64())], names=["cls_a", "cls_b", "similarity"])
+            yield found.filter(pa.array(j >= threshold, pa.bool_()))
 
     return run
 
 
 def _own_class(k: int):
+    """Keeps the rows whose text is of the class wanted: an id can have several texts."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            want, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            keep = pa.array([w == sh.content_class(t, sh.shingle_set(t, k)) for w, t in zip(want, texts)], pa.bool_())
-            yield batch.filter(keep)
+            want, texts = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            yield batch.filter(pa.array([w == sh.content_class(t, sh.shingle_set(t, k)) for w, t in zip(want, texts)], pa.bool_()))
 
     return run
 
@@ -157,26 +163,25 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, *, shingle: int =
     hashes = bands * rows
     docs = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).where("id is not null and text is not null")
     id_type = docs.schema["id"].dataType.simpleString()
-    sig = written(docs.mapInArrow(_signatures(shingle, bands, rows), f"id {id_type}, cls binary, n int, keys array<bigint>, sketch array<bigint>"), "minhash")
+    sig = written(docs.mapInArrow(_signatures(shingle, bands, rows), f"id {id_type}, cls binary, c bigint, n int, keys array<bigint>, sketch array<bigint>"), "minhash")
 
     # Classes that share a band key. Both sides are one exchange, read twice; AQE splits a hot key's partition.
-    band = sig.where("keys is not null").select("cls", F.explode("keys").alias("key"))
-    a, b = band.select(F.col("cls").alias("cls_a"), "key"), band.select(F.col("cls").alias("cls_b"), "key")
-    candidates = a.join(b, "key").where("cls_a < cls_b").select("cls_a", "cls_b").distinct()
+    band = sig.where("keys is not null").select("c", F.explode("keys").alias("key"))
+    candidates = band.toDF("a", "key").join(band.toDF("b", "key"), "key").where("a < b").select("a", "b").distinct()
 
     # At the threshold two sketches agree in (1 + t) / 2 of their bits; what is below by SKETCH_SIGMAS deviations can't reach it.
     agree = (1 + threshold) / 2
     differ = hashes * (1 - agree) + SKETCH_SIGMAS * math.sqrt(hashes * agree * (1 - agree))
-    described = sig.where("sketch is not null").select("cls", "n", "sketch").dropDuplicates(["cls"])
-    sa, sb = described.toDF("cls_a", "n_a", "sketch_a"), described.toDF("cls_b", "n_b", "sketch_b")
-    likely = candidates.join(sa, "cls_a").join(sb, "cls_b").where(F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b")).where(_differing_bits(F.col("sketch_a"), F.col("sketch_b")) <= differ)
-    likely = written(likely.select("cls_a", "cls_b"), "likely")
+    described = sig.where("sketch is not null").select("c", "n", "sketch").dropDuplicates(["c"])
+    likely = candidates.join(described.toDF("a", "n_a", "sketch_a"), "a").join(described.toDF("b", "n_b", "sketch_b"), "b")
+    likely = likely.where(F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b")).where(_differing_bits(F.col("sketch_a"), F.col("sketch_b")) <= differ)
+    likely = written(likely.select("a", "b"), "likely")
 
     # The text of one row of each class that is in a likely pair.
-    involved = likely.select(F.explode(F.array("cls_a", "cls_b")).alias("cls")).distinct()
-    first = written(involved.join(sig.groupBy("cls").agg(F.min("id").alias("id")), "cls"), "involved")
-    texts = docs.join(small_side(first, first.count()), "id").select("cls", "text").mapInArrow(_own_class(shingle), "cls binary, text string").dropDuplicates(["cls"])
-    ta, tb = texts.toDF("cls_a", "text_a"), texts.toDF("cls_b", "text_b")
-    links = likely.join(ta, "cls_a").join(tb, "cls_b").select("cls_a", "cls_b", "text_a", "text_b").mapInArrow(_verify(shingle, threshold), "cls_a binary, cls_b binary, similarity double")
+    involved = likely.select(F.explode(F.array("a", "b")).alias("c")).distinct()
+    first = written(involved.join(sig.select("c", "cls", "id"), "c").groupBy("c", "cls").agg(F.min("id").alias("id")), "involved")
+    texts = docs.join(small_side(first, first.count()), "id").select("c", "cls", "text").mapInArrow(_own_class(shingle), "c bigint, cls binary, text string").dropDuplicates(["cls"])
+    pairs = likely.join(texts.toDF("a", "cls_a", "text_a"), "a").join(texts.toDF("b", "cls_b", "text_b"), "b").select("cls_a", "cls_b", "text_a", "text_b")
+    links = pairs.mapInArrow(_verify(shingle, threshold), "cls_a binary, cls_b binary, similarity double")
     members = sig.select("id", "cls", "n").distinct()
     return NearDuplicates(members, written(links, "links"))
