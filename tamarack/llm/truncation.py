@@ -41,7 +41,6 @@ DOTS = re.compile(r"\s*(?:\.{3}|…)\s*\Z")
 _TOKEN = re.compile(r"[^\W_]+|[.!?…)\n]")
 _WORD = re.compile(r"[^\W_]+")
 _HEAD = re.compile(r"\n[ \t\xa0]*\n")
-_SPACE = re.compile(r"\s+")
 
 #: Longer than this by description_chars is missing text, not another way to count.
 TOLERANCE = 8
@@ -59,17 +58,23 @@ PAIR_LEAST, PAIR_SHARE = 20, 0.002
 MEASURES = ("chars", "text_chars", "bytes", "text_bytes")
 
 
-def _key(kind: int, *words: str) -> int:
-    value = np.uint64(kind)
+def word_keys(ids: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
-        for w in words:
-            value = sh.mix(value * np.uint64(0x9E3779B97F4A7C15) + np.int64(sh._ids[w]).view(np.uint64))
-    return int(value.astype(np.int64))
+        return sh.mix(ids.view(np.uint64) + np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
 
 
-def line_start(line: str) -> tuple[str, ...]:
+def pair_keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return sh.mix(sh.mix(first.view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15) + second.view(np.uint64)).view(np.int64)
+
+
+def _key(kind: int, text: str) -> int:
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), kind) - (1 << 63)
+
+
+def line_start(line: str) -> str:
     """First two tokens, numbers masked."""
-    return tuple("#" if w.isdigit() else w for w in _WORD.findall(line[:80].lower())[:2])
+    return " ".join(["#" if w.isdigit() else w for w in _WORD.findall(line[:80].lower())[:2]])
 
 
 def _plain(text: str) -> str:
@@ -79,9 +84,11 @@ def _plain(text: str) -> str:
 
 def ending(text: str) -> dict:
     """What the end of a text shows, by itself."""
-    said = MARK.search(text)
-    dots = None if said else DOTS.search(text)
-    cut = (said or dots).start() if said or dots else len(text)
+    stripped = text.rstrip()
+    tail = max(0, len(stripped) - 60)  # a mark is shorter
+    said = MARK.search(stripped, tail)
+    dots = None if said else DOTS.search(stripped, tail)
+    cut = (said or dots).start() if said or dots else len(stripped)
     body = text[:cut].rstrip()
     head = m.end() if (m := _HEAD.search(text)) else 0
     line = _plain(body.rsplit("\n", 1)[-1])
@@ -95,13 +102,13 @@ def ending(text: str) -> dict:
         "mark": "said" if said else "dots" if dots else None,
         "mark_at": max(0, cut - head),
         "open_end": open_end,
-        "broken": text.rstrip().endswith("�"),
+        "broken": stripped.endswith("�"),
         "last": words[-1] if words and open_end and words[-1].isalpha() and body[-1].isalnum() else None,
-        "last_key": _key(1, words[-1]) if words and open_end else None,
-        "pair_key": _key(2, words[-2], words[-1]) if len(words) > 1 and open_end else None,
-        "line_key": _key(3, *line_start(line)) if words else None,
-        "same": xxhash.xxh64_intdigest(_SPACE.sub("", text).encode("utf-8", "surrogatepass")) - (1 << 63),
-        "end_key": _key(4, *_WORD.findall(sh.fold(_plain(body[-120:])))[-8:]),
+        "last_id": sh._ids[words[-1]] if words and open_end else 0,
+        "before_id": sh._ids[words[-2]] if len(words) > 1 and open_end else 0,
+        "line_key": _key(3, line_start(line)) if words else None,
+        "same": _key(5, "".join(text.split())),
+        "end_key": _key(4, " ".join(_WORD.findall(sh.fold(_plain(body[-120:])))[-8:])),
     }
 
 
@@ -112,6 +119,9 @@ def _endings(kinds: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [ending(t) for t in batch.column(3).to_pylist()]
+            last, before = (np.array([r.pop(k) for r in rows], np.int64) for k in ("last_id", "before_id"))
+            for r, w, p, has, two in zip(rows, word_keys(last).tolist(), pair_keys(before, last).tolist(), last != 0, before != 0):
+                r["last_key"], r["pair_key"] = w if has else None, p if two else None
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], *[pa.array([r[f.name] for r in rows], f.type) for f in kinds]], names=["id", "source", "stated", *kinds.names])
 
     return run
@@ -135,29 +145,24 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     names[sh._ids[w]] = w
             ids += [sh._ids[w] if w[0].isalnum() else 1 for w in found]
             ids.append(0)  # no pair reaches over the end of a text
-            *before, last = (k for line in body.split("\n") if (k := line_start(line))) if body else ((),)
-            lines.update(before)
-            finals[last] += 1
+            starts = [k for line in body.split("\n") if (k := line_start(line))]
+            if starts:
+                finals[starts.pop()] += 1
+                lines.update(starts)
         a = np.array(ids, np.int64)
         word = (a != 0) & (a != 1)
         nxt = np.append(a[1:], 0)
         out = []
         w, closes = a[word], (nxt[word] == 1)
         keys, at = np.unique(w, return_inverse=True)
-        a = a.view(np.uint64)
-        with np.errstate(over="ignore"):
-            out.append((1, sh.mix(np.uint64(1) * np.uint64(0x9E3779B97F4A7C15) + keys.view(np.uint64)), [names[k] for k in keys.tolist()], np.bincount(at, minlength=len(keys)), np.bincount(at, weights=closes, minlength=len(keys)).astype(np.int64)))
-            pair = word[:-1] & word[1:]
-            first, second = a[:-1][pair], a[1:][pair]
-            h = sh.mix(np.uint64(2) * np.uint64(0x9E3779B97F4A7C15) + first)
-            h = sh.mix(h * np.uint64(0x9E3779B97F4A7C15) + second)
-            c = (nxt[1:] == 1)[pair] if len(a) > 1 else np.empty(0, bool)
-        keys, at = np.unique(h, return_inverse=True)
-        out.append((2, keys, [None] * len(keys), np.bincount(at, minlength=len(keys)), np.bincount(at, weights=c, minlength=len(keys)).astype(np.int64)))
-        starts = [s for s in lines.keys() | finals.keys() if s]
-        out.append((3, np.array([_key(3, *s) for s in starts], np.int64).view(np.uint64), [None] * len(starts), [lines[s] + finals[s] for s in starts], [finals[s] for s in starts]))
+        out.append((1, word_keys(keys), [names[k] for k in keys.tolist()], np.bincount(at, minlength=len(keys)), np.bincount(at, weights=closes, minlength=len(keys)).astype(np.int64)))
+        pair = word[:-1] & word[1:]
+        keys, at = np.unique(pair_keys(a[:-1][pair], a[1:][pair]), return_inverse=True)
+        out.append((2, keys, [None] * len(keys), np.bincount(at, minlength=len(keys)), np.bincount(at, weights=(nxt[1:] == 1)[pair], minlength=len(keys)).astype(np.int64)))
+        starts = list(lines.keys() | finals.keys())
+        out.append((3, [_key(3, s) for s in starts], [None] * len(starts), [lines[s] + finals[s] for s in starts], [finals[s] for s in starts]))
         for kind, key, words, n, closed in out:
-            yield pa.RecordBatch.from_arrays([pa.array([kind] * len(words), pa.int32()), pa.array(np.asarray(key).view(np.int64), pa.int64()), pa.array(words, pa.string()), pa.array(n, pa.int64()), pa.array(closed, pa.int64())], names=["kind", "key", "word", "n", "closed"])
+            yield pa.RecordBatch.from_arrays([pa.array([kind] * len(words), pa.int32()), pa.array(key, pa.int64()), pa.array(words, pa.string()), pa.array(n, pa.int64()), pa.array(closed, pa.int64())], names=["kind", "key", "word", "n", "closed"])
 
 
 @dataclass
