@@ -172,7 +172,8 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, *, shingle: int =
     # At the threshold two sketches agree in (1 + t) / 2 of their bits; what is below by SKETCH_SIGMAS deviations can't reach it.
     agree = (1 + threshold) / 2
     differ = hashes * (1 - agree) + SKETCH_SIGMAS * math.sqrt(hashes * agree * (1 - agree))
-    described = sig.where("sketch is not null").select("c", "n", "sketch").dropDuplicates(["c"])
+    described = written(sig.where("sketch is not null").select("c", "n", "sketch").dropDuplicates(["c"]), "sketches")
+    described = small_side(described, described.count(), 64 + hashes // 8)
     likely = candidates.join(described.toDF("a", "n_a", "sketch_a"), "a").join(described.toDF("b", "n_b", "sketch_b"), "b")
     likely = likely.where(F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b")).where(_differing_bits(F.col("sketch_a"), F.col("sketch_b")) <= differ)
     likely = written(likely.select("a", "b"), "likely")
