@@ -94,11 +94,10 @@ def parse_stripped(text: str | None) -> tuple[dict | None, str | None, str | Non
         return None, "invalid_json", f"invalid_json: {e}"
 
 
-@pandas_udf(f"STRUCT<posting {POSTING}, error_kind STRING, error STRING>")
 def _parse(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([parse_stripped(t) for t in texts], columns=["posting", "error_kind", "error"], dtype=object)
 
 
 def parse_posting(raw: Column) -> Column:
     """posting, error_kind and error of a model's answer; NULL is invalid JSON."""
-    return _parse(strip_fences(raw))
+    return pandas_udf(_parse, f"STRUCT<posting {POSTING}, error_kind STRING, error STRING>")(strip_fences(raw))

@@ -126,7 +126,7 @@ def sentinel_null(s, d):
 
 
 def list_clean(s, d):
-    both = F.concat(F.col("prediction.required_skills"), F.coalesce("prediction.nice_to_have_skills", F.array().cast("array<string>")))
+    both = F.concat(F.coalesce("prediction.required_skills", F.array().cast("array<string>")), F.coalesce("prediction.nice_to_have_skills", F.array().cast("array<string>")))
     return table(s, d, "train").select("split_seq", F.array_join(N.clean_list(both), "|").alias("skills"))
 
 

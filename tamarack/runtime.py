@@ -68,9 +68,15 @@ def small_side(df: DataFrame, rows: int, row_bytes: int = 64) -> DataFrame:
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
 
 
-def free_name(df: DataFrame, stem: str) -> str:
-    """A column name that ``df`` does not have (Spark compares them without case)."""
-    taken, name = {c.lower() for c in df.columns}, stem
-    while name.lower() in taken:
-        name = f"_{name}"
-    return name
+def picked(df: DataFrame, **columns: str) -> DataFrame:
+    """The named columns under new names (``new=name``), whatever other columns are called.
+
+    Names are matched exactly, so columns that differ from one only in case, or
+    repeat it, do not make it ambiguous; of equal names the first is taken.
+    """
+    names = df.columns
+    missing = [c for c in columns.values() if c not in names]
+    if missing:
+        raise ValueError(f"no column {missing[0]!r}")
+    numbered = df.toDF(*[f"_{i}" for i in range(len(names))])
+    return numbered.select(*[F.col(f"_{names.index(c)}").alias(new) for new, c in columns.items()])
