@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tamarack.llm._shingles import fold
+from tamarack.runtime import picked
 
 UNMATCHED = "unmatched"
 
@@ -104,7 +105,7 @@ class Matcher:
                 self.automaton.add_word(f" {' '.join(f[0])} ", i)
         self.automaton.make_automaton()
         self.compact = ["".join(f) for f, _ in self.forms]
-        self.letters = np.array([[c.count(x) for x in _ALPHABET] for c in self.compact], np.int16).reshape(len(self.forms), len(_ALPHABET))
+        self.letters = np.array([[c.count(x) for x in _ALPHABET] for c in self.compact], np.int64).reshape(len(self.forms), len(_ALPHABET))
 
     def mentions(self, value: Sequence[str]) -> list[int]:
         """Forms mentioned in the value: the longest first, none overlapping."""
@@ -120,7 +121,7 @@ class Matcher:
     def similar(self, value: Sequence[str], among: np.ndarray | None = None) -> tuple[float, int]:
         """Best similarity and its form (the first of equals); (0, -1) if all are below the threshold."""
         compact = "".join(value)
-        mine = np.array([compact.count(x) for x in _ALPHABET], np.int16)
+        mine = np.array([compact.count(x) for x in _ALPHABET], np.int64)
         # edits are at least the letters that differ, so this drops only what can't reach the threshold
         differ = np.maximum(np.maximum(self.letters - mine, 0).sum(axis=1), np.maximum(mine - self.letters, 0).sum(axis=1))
         longest = np.maximum(np.array([len(c) for c in self.compact]), len(compact))
@@ -163,7 +164,7 @@ class Matcher:
 def canonical_codes(df: DataFrame, id_col: str, values: dict[str, str], reference: DataFrame) -> DataFrame:
     """(id, field, value, code, how) for each row and field whose value is neither NULL nor blank nor exactly a code.
 
-    ``values`` names the expression of each field's typed value; ``reference``
+    ``values`` names the column of each field's typed value, or a dotted path into a struct column; ``reference``
     has ``field``, ``code`` and ``form``. ``code`` is ``unmatched`` where the
     value means no entry. Of several mentions the longest wins, then the first;
     of equally similar forms, the first listed. Repeated rows each get a result;
@@ -193,7 +194,13 @@ def canonical_codes(df: DataFrame, id_col: str, values: dict[str, str], referenc
             part = batch.take(pa.array(keep, pa.int64()))
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array([c for c, _ in out], pa.string()), pa.array([h for _, h in out], pa.string())], names=["id", "field", "value", "code", "how"])
 
-    typed = F.explode(F.array(*[F.struct(F.lit(field).alias("field"), F.expr(e).cast("string").alias("value")) for field, e in values.items()])).alias("t")
-    rows_in = df.select(F.col(f"`{id_col}`").alias("id"), typed).select("id", "t.field", "t.value").where("value is not null")
+    roots = {f"v{i}": path.split(".")[0] for i, path in enumerate(values.values())}
+    each = []
+    for v, (field, path) in zip(roots, values.items()):
+        value = F.col(v)
+        for name in path.split(".")[1:]:
+            value = value.getField(name)
+        each.append(F.struct(F.lit(field).alias("field"), value.cast("string").alias("value")))
+    rows_in = picked(df, id=id_col, **roots).select("id", F.explode(F.array(*each)).alias("t")).select("id", "t.field", "t.value").where("value is not null")
     id_type = rows_in.schema["id"].dataType.simpleString()
     return rows_in.mapInArrow(run, f"id {id_type}, field string, value string, code string, how string")

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from tamarack.llm._ranked import lowest, uniform
 from tamarack.llm.quota_sample import bounded_rows
 from tamarack.llm.tokens import VOCABULARY, with_tokens
-from tamarack.runtime import written
+from tamarack.runtime import picked, written
 
 #: Sources the driver may hold.
 MAX_SOURCES = 100_000
@@ -55,8 +55,19 @@ def exponent_for_entropy(sizes: dict[str, float], target: float) -> float:
 
 
 def exponent_for_repeats(sizes: dict[str, float], total: float, most: dict[str, int]) -> float:
-    """Smallest exponent in [0, 1], so the flattest shares, at which no source is repeated more than allowed."""
-    return bisect(lambda x: max((p * total / (sizes[s] * most[s]) for s, p in tempered(sizes, x).items()), default=0.0) - 1 - 1e-12, 0.0, 1.0)
+    """Smallest exponent in [0, 1], so the flattest shares, at which no source is repeated more than allowed.
+
+    Small sources want a larger exponent, large ones with few repeats a smaller
+    one, so the first allowed one of a grid is sought and refined; if there is
+    none, the one that exceeds the limits least.
+    """
+    excess = lambda x: max((p * total / (sizes[s] * max(most[s], 1e-9)) for s, p in tempered(sizes, x).items()), default=0.0) - 1 - 1e-12
+    grid = [k / 128 for k in range(129)]
+    over = [excess(x) for x in grid]
+    first = next((k for k, e in enumerate(over) if e <= 0), None)
+    if first is None:
+        return grid[over.index(min(over))]
+    return bisect(excess, grid[first - 1], grid[first]) if first else 0.0
 
 
 def budgets(sizes: dict[str, float], weights: dict[str, float], most: dict[str, int], total: float) -> dict[str, float]:
@@ -88,7 +99,7 @@ def mix_sources(df: DataFrame, id_col: str, text_col: str, source_col: str, targ
     NULL and empty texts have no tokens. Empty tables give an empty mixture.
     """
     spark = df.sparkSession
-    sized = written(with_tokens(df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").alias("source"), F.col(f"`{text_col}`").alias("text")), ["id", "source"], "text", vocabulary), "sizes")
+    sized = written(with_tokens(picked(df, id=id_col, source=source_col, text=text_col), ["id", "source"], "text", vocabulary), "sizes")
     wanted = {r.source: r for r in bounded_rows(targets.where("source is not null"), MAX_SOURCES, "sources")}
     sums = {r.source: float(r.n) for r in bounded_rows(sized.groupBy("source").agg(F.sum("tokens").alias("n")), MAX_SOURCES, "sources")}
     if total is None:
@@ -108,7 +119,7 @@ def mix_sources(df: DataFrame, id_col: str, text_col: str, source_col: str, targ
         # a hair below a whole number of passes is that number
         passes = min(most[s], int(given[s] / sizes[s] + 1e-9)) if sizes[s] else 0
         rest = given[s] - passes * sizes[s] if passes < most[s] else 0.0
-        rows.append((s, int(sizes[s]), float(weights[s]), most[s], weights[s] * total, given[s], given[s] / whole if whole else 0.0, given[s] < weights[s] * total))
+        rows.append((s, int(sizes[s]), float(weights[s]), most[s], weights[s] * total, given[s], given[s] / whole if whole else 0.0, given[s] < weights[s] * total * (1 - 1e-9)))
         ends.append((s, passes, max(0.0, rest)))
     report = spark.createDataFrame(rows, "source string, size_tokens bigint, target_weight double, max_repeats int, target_tokens double, given_tokens double, actual_share double, short boolean")
     plan = spark.createDataFrame(ends, "source string, passes int, budget double")

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tamarack.llm import _shingles as sh
-from tamarack.runtime import small_side, written
+from tamarack.runtime import picked, small_side, written
 
 #: Standard deviations by which a sketch may underrate a pair at the threshold before the pair is dropped unverified.
 SKETCH_SIGMAS = 5.0
@@ -161,7 +161,7 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, *, shingle: int =
     """
     bands = bands_for(threshold, recall, rows)
     hashes = bands * rows
-    docs = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).where("id is not null and text is not null")
+    docs = picked(df, id=id_col, text=text_col).where("id is not null and text is not null")
     id_type = docs.schema["id"].dataType.simpleString()
     sig = written(docs.mapInArrow(_signatures(shingle, bands, rows), f"id {id_type}, cls binary, c bigint, n int, keys array<bigint>, sketch array<bigint>"), "minhash")
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tamarack.llm.quota_sample import bounded_rows
 from tamarack.llm.tokens import VOCABULARY, with_tokens
-from tamarack.runtime import written
+from tamarack.runtime import picked, written
 
 #: Documents packed together.
 BLOCK = 20_000
@@ -153,10 +153,11 @@ def pack_tokens(sized: DataFrame, capacities: DataFrame, *, block: int = BLOCK)
 
     ``sized`` has ``id`` and ``tokens``. A document above the capacity is cut
     into full containers and a rest that is packed like any item; no other is
-    split. Documents of no tokens (NULL or empty texts) take no room and go
-    into container 0 of their block alone with a size of 0. Repeated ids are packed as the rows they are. Capacities below 1
+    split. Documents of no tokens (NULL or empty texts) take no room: they are
+    listed with the first container of their block and a size of 0. Repeated ids are packed as the rows they are. Capacities below 1
     or NULL are ignored; an empty table gives an empty result.
     """
+    sized = sized.select("id", "tokens")
     wanted = sorted({int(r[0]) for r in bounded_rows(capacities.distinct(), MAX_CAPACITIES, "capacities") if r[0] is not None and r[0] >= 1})
     blocks = max(1, math.ceil(sized.count() / block))
     dealt = sized.withColumn("_block", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(blocks)).cast("bigint"))
@@ -191,7 +192,7 @@ def pack_tokens(sized: DataFrame, capacities: DataFrame, *, block: int = BLOCK)
 
 def pack_documents(df: DataFrame, id_col: str, text_col: str, capacities: DataFrame, *, vocabulary: str = VOCABULARY, block: int = BLOCK) -> DataFrame:
     """:func:`pack_tokens` of the texts of ``df``, sized by a public tokenizer."""
-    sized = written(with_tokens(df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")), ["id"], "text", vocabulary), "sizes")
+    sized = written(with_tokens(picked(df, id=id_col, text=text_col), ["id"], "text", vocabulary), "sizes")
     return pack_tokens(sized, capacities, block=block)
 
 

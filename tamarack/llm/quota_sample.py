@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from tamarack.llm._ranked import lowest, uniform
+from tamarack.runtime import picked
 
 #: Cells and targets the driver may hold: distinct combinations of categories, not rows.
 MAX_CELLS = 200_000
@@ -91,7 +92,9 @@ def normal_category(c: Column) -> Column:
 
 def first_rows(df: DataFrame, id_col: str, order_col: str, columns: list[str]) -> DataFrame:
     """One row per id, with ``columns`` as in its row of lowest order; combined before the shuffle, so hot ids do no harm."""
-    return df.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min_by(F.struct(*columns), F.col(order_col)).alias("first")).select("id", *[F.col(f"first.{c}").alias(c) for c in columns])
+    own = picked(df, _id=id_col, _order=order_col, **{f"_{i}": c for i, c in enumerate(columns)}).where("_id is not null")
+    first = own.groupBy("_id").agg(F.min_by(F.struct(*[f"_{i}" for i in range(len(columns))]), F.coalesce("_order", F.lit(1 << 62))).alias("_first"))
+    return first.select(F.col("_id").alias("id"), *[F.col(f"_first._{i}").alias(c) for i, c in enumerate(columns)])
 
 
 def quota_sample(rows: DataFrame, targets: DataFrame, categories: list[str], *, fraction: float = 0.1, seed: int = 42) -> QuotaSample:
@@ -106,6 +109,7 @@ def quota_sample(rows: DataFrame, targets: DataFrame, categories: list[str], *,
     draw depends on seed and ids only.
     """
     spark = rows.sparkSession
+    rows = picked(rows, id="id", **{c: c for c in categories})
     wanted = bounded_rows(targets.orderBy("target_id"), MAX_CELLS, "targets")
     cells = {tuple(r[c] for c in categories): r["n"] for r in bounded_rows(rows.groupBy(*categories).agg(F.count("*").alias("n")), MAX_CELLS, "cells of categories")}
     population = sum(cells.values())

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tamarack.llm import _shingles as sh
-from tamarack.runtime import written
+from tamarack.runtime import picked, written
 
 #: Passages in one automaton, so also what the driver and a broadcast hold at a time: 8 bytes a word.
 SHARD = 250_000
@@ -150,7 +150,7 @@ def split_overlap(evaluation: DataFrame, training: DataFrame, id_col: str, text_
     kind = evaluation.schema[id_col].dataType.simpleString()
 
     def prepared(df: DataFrame, name: str) -> DataFrame:
-        own = df.select(F.col(f"`{id_col}`").cast(kind).alias("id"), F.col(f"`{text_col}`").alias("text")).where("id is not null and text is not null")
+        own = picked(df, id=id_col, text=text_col).withColumn("id", F.col("id").cast(kind)).where("id is not null and text is not null")
         return written(own.mapInArrow(_words(shingle), f"id {kind}, cls binary, words array<bigint>"), name)
 
     ev, tr = prepared(evaluation, "evaluation"), prepared(training, "training")

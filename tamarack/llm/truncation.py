@@ -6,7 +6,8 @@ its nodes (proper prefixes with the occurrences below them), so that it grows
 with the cluster. Evidence of a cut:
 
 length      the source names a longer text than it delivered
-limit       many different texts of the source have exactly this length
+limit       many different texts of the source have exactly this length, most of
+            them without an end
 mark        the text ends in a mark of omission; a bare "..." counts near the
             length at which the source's other marks stand
 prefix      the last token is no word of the corpus but a proper prefix of some
@@ -31,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tamarack.llm import _shingles as sh
-from tamarack.runtime import small_side, written
+from tamarack.runtime import picked, small_side, written
 
 # Marks of omission that say so, and the bare one, which whole texts use as well.
 MARK = re.compile(r"\s*(?:[\[(]\s*(?:\.{3}|…)\s*[\])]|(?:\.{3}|…)?\s*[\[(]?\s*(?:lire la suite|voir la suite|suite sur le site|read more|see more|more on the site)\s*[\])]?)\s*\Z", re.I)
@@ -180,12 +181,12 @@ def _close_to(length: Column):
 def _limits(rows: DataFrame) -> DataFrame:
     """(source, measure, value): lengths at which a source cuts."""
     texts = rows.dropDuplicates(["source", "same"])
-    each = texts.select("source", F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("value")) for m in MEASURES])).alias("m")).select("source", "m.*")
-    counts = each.groupBy("source", "measure", "value").agg(F.count("*").alias("n"))
+    each = texts.select("source", "open_end", F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("value")) for m in MEASURES])).alias("m")).select("source", "open_end", "m.*")
+    counts = each.groupBy("source", "measure", "value").agg(F.count("*").alias("n"), F.count_if("open_end").alias("open"))
     own = Window.partitionBy("source", "measure")
     near = own.orderBy("value").rangeBetween(-25, 25)
     around = (F.sum("n").over(near) - F.col("n")) / 50
-    found = counts.withColumns({"around": around, "all": F.sum("n").over(own)}).where((F.col("n") >= LIMIT_TEXTS) & (F.col("n") >= LIMIT_TIMES * F.col("around")) & (F.col("n") >= LIMIT_SHARE * F.col("all")))
+    found = counts.withColumns({"around": around, "all": F.sum("n").over(own)}).where((F.col("n") >= LIMIT_TEXTS) & (F.col("n") >= LIMIT_TIMES * F.col("around")) & (F.col("n") >= LIMIT_SHARE * F.col("all")) & (F.col("open") >= 0.5 * F.col("n")))
     # texts cut by one measure bunch in the others as well: the measure with most of them is the source's
     best = found.groupBy("source", "measure").agg(F.sum("n").alias("cut"), F.collect_list("value").alias("values")).groupBy("source").agg(F.max_by(F.struct("measure", "values"), F.struct("cut", "measure")).alias("m"))
     return best.select("source", "m.measure", F.explode("m.values").alias("value"))
@@ -210,7 +211,7 @@ def truncated(df: DataFrame, id_col: str, source_col: str, text_col: str, stated
     for it. NULL sources are one source. Repeated rows of an id count once and
     pool their evidence. An empty table gives empty results. Other columns are ignored, whatever their names.
     """
-    docs = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").alias("source"), F.col(f"`{stated_col}`").cast("bigint").alias("stated"), F.col(f"`{text_col}`").alias("text")).where("id is not null and text is not null")
+    docs = picked(df, id=id_col, source=source_col, stated=stated_col, text=text_col).withColumn("stated", F.col("stated").cast("bigint")).where("id is not null and text is not null")
     id_type = docs.schema["id"].dataType.simpleString()
     names = [c.split() for c in _ENDING.split(", ")]
     kinds = pa.schema([(n, {"bigint": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}[t]) for n, t in names])
