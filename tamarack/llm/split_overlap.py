@@ -1,11 +1,12 @@
 """Evaluation records that also stand in training texts (problem 3).
 
-Passages are runs of k words of the normalised evaluation texts. Of each
-evaluation text only as many of its rarest passages are needed that a near-same
-text must contain one of them. They are dealt into shards of bounded size; an
-Aho-Corasick automaton over each shard scans all training texts. Pairs that
-share a passage are verified: matched intervals are merged into the coverage of
-the evaluation record, and similarity is exact.
+Passages are runs of k words of the normalised evaluation texts. Evaluation
+records are dealt into shards of bounded size; an Aho-Corasick automaton over
+the passages of each shard scans all training texts and counts, per record, how
+many of its passages it met. A record's most common passages are left out as
+far as the count that a near-same text must reach allows. Pairs that reach it
+are verified: matched intervals are merged into the coverage of the evaluation
+record, and similarity is exact.
 """
 
 from __future__ import annotations
@@ -22,11 +23,10 @@ from pyspark.sql import functions as F
 from tamarack.llm import _shingles as sh
 from tamarack.runtime import picked, written
 
-#: Passages in one automaton, so also what the driver and a broadcast hold at a time: 8 bytes a word.
-SHARD = 250_000
+#: Passages in one shard (a longer record is one of its own), so also what the driver and a broadcast hold at a time: 8 bytes a word.
+SHARD = 400_000
 
 _low = np.uint64(0xFFFFFFFF)
-_automata: dict[int, object] = {}
 
 
 def _words(k: int):
@@ -59,37 +59,57 @@ def _passages(k: int):
     return run
 
 
-def _automaton(shard) -> object:
-    """Of a broadcast (passages, words); kept by the worker, the last one only."""
-    import ahocorasick
+class _Shard:
+    """Automaton over the passages of some records, with the records that hold each passage."""
 
-    key = shard.id if hasattr(shard, "id") else id(shard)
-    if key not in _automata:
-        _automata.clear()
-        passages, runs = shard.value
-        own = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        same: dict[tuple, list[int]] = {}
-        for p, run in zip(passages.tolist(), runs.tolist()):
-            same.setdefault(tuple(run), []).append(p)  # words that agree in 32 bits
-        for run, ps in same.items():
-            own.add_word(run, ps)
-        own.make_automaton()
-        _automata[key] = own
-    return _automata[key]
+    def __init__(self, needs: np.ndarray, owners: np.ndarray, passages: np.ndarray, runs: np.ndarray):
+        import ahocorasick
 
+        self.needs = needs
+        order = np.argsort(passages, kind="stable")
+        unique, first = np.unique(passages[order], return_index=True)
+        self.holders = np.split(owners[order].astype(np.int32), first[1:]) if len(unique) else []
+        self.more: dict[int, list[int]] = {}  # passages whose words agree in 32 bits with another's
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+        for p, run in enumerate(map(tuple, runs[order[first]].tolist())):
+            other = self.automaton.get(run, -1)
+            if other < 0:
+                self.automaton.add_word(run, p)
+            else:
+                self.more.setdefault(other, []).append(p)
+        self.automaton.make_automaton()
+
+    def candidates(self, words: np.ndarray) -> np.ndarray:
+        """Records of which the words contain as many passages as needed."""
+        met = {p for _, p in self.automaton.iter(tuple((words & _low).tolist()))} if len(words) and self.holders else set()
+        if self.more:
+            met |= {q for p in met & self.more.keys() for q in self.more[p]}
+        if not met:
+            return np.empty(0, np.int64)
+        counts = np.bincount(np.concatenate([self.holders[p] for p in met]), minlength=len(self.needs))
+        return np.flatnonzero(counts >= self.needs)
+
+
+_shards: dict[int, _Shard] = {}
+
+
+def _scan(value, number: int, classes: pa.Array):
+    """Pairs of a training class and a record of the shard. A worker keeps its last shard."""
 
-def _scan(shard):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = None
+        shard = None
         for batch in batches:
-            own = own or _automaton(shard)
-            classes, passages = [], []
-            for cls, words in zip(batch.column(0).to_pylist(), batch.column(1)):
-                text = tuple((np.array(words.values, np.int64).view(np.uint64) & _low).tolist())
-                hits = {p for _, ps in own.iter(text) for p in ps} if text else ()
-                classes += [cls] * len(hits)
-                passages += hits
-            yield pa.RecordBatch.from_arrays([pa.array(classes, pa.binary()), pa.array(passages, pa.int64())], names=["train_cls", "passage"])
+            if shard is None:
+                if number not in _shards:
+                    _shards.clear()
+                    _shards[number] = _Shard(*value.value)
+                shard = _shards[number]
+            train, records = [], []
+            for k, words in enumerate(batch.column(1)):
+                found = shard.candidates(np.array(words.values, np.int64).view(np.uint64))
+                train += [k] * len(found)
+                records += found.tolist()
+            yield pa.RecordBatch.from_arrays([classes.take(pa.array(records, pa.int64())), batch.column(0).take(pa.array(train, pa.int64()))], names=["eval_cls", "train_cls"])
 
     return run
 
@@ -141,8 +161,9 @@ class SplitOverlap:
 def split_overlap(evaluation: DataFrame, training: DataFrame, id_col: str, text_col: str, *, shingle: int = 5, threshold: float = 0.8, shard: int = SHARD) -> SplitOverlap:
     """All pairs of an evaluation and a training text whose sets of ``shingle``-word runs have Jaccard similarity >= ``threshold``, or are equal.
 
-    No pair is missed: of n runs, c = ceil(threshold x n) must be shared, so one
-    of any n - c + 1 is. NULL ids or texts take no part; texts of fewer words
+    No pair is missed: of a record's n runs, c = ceil(threshold x n) must be
+    shared, so at least c - s of any n - s are; s = c // 2 of the most common are
+    left out. NULL ids or texts take no part; texts of fewer words
     match equal texts only. Repeated rows stay rows of their own. Empty tables
     give empty results. Other columns are ignored, whatever their names.
     """
@@ -160,20 +181,26 @@ def split_overlap(evaluation: DataFrame, training: DataFrame, id_col: str, text_
     runs = ev_texts.select("cls", "words").mapInArrow(_passages(shingle), "cls binary, n int, passage bigint, w array<bigint>")
     held = runs.groupBy("passage").agg(F.count("*").alias("held"))
     rarest = Window.partitionBy("cls").orderBy("held", "passage")
-    needed = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1
-    chosen = written(runs.join(held, "passage").withColumn("_k", F.row_number().over(rarest)).where(F.col("_k") <= needed).select("cls", "passage", "w"), "passages")
-
-    unique = chosen.groupBy("passage").agg(F.first("w").alias("w"))
-    shards = max(1, math.ceil(unique.count() / (shard * 0.9)))  # shares by hash differ a little
-    hits = None
+    shared = F.ceil(F.col("n") * threshold - 1e-9)
+    left_out = F.floor(shared / 2)
+    chosen = runs.join(held, "passage").withColumn("_k", F.row_number().over(rarest)).where(F.col("_k") <= F.col("n") - left_out)
+    # one row a record; its size is that of its text
+    listed = chosen.groupBy("cls").agg(F.first(shared - left_out).cast("int").alias("need"), F.collect_list(F.struct("passage", "w")).alias("p"))
+    chosen = written(listed.select("cls", "need", F.size("p").alias("size"), F.col("p.passage").alias("passage"), F.flatten("p.w").alias("w")), "passages")
+
+    shards = max(1, math.ceil((chosen.agg(F.sum("size")).first()[0] or 0) / (shard * 0.8)))  # shares by hash differ a little
+    candidates = None
     for s in range(shards):
-        own = unique.where(F.pmod(F.xxhash64("passage"), F.lit(shards)) == s).toArrow()
-        flat = own.column("w").combine_chunks()
-        value = spark.sparkContext.broadcast((own.column("passage").to_numpy(), flat.flatten().to_numpy().reshape(-1, shingle)))
-        found = tr_texts.select("cls", "words").mapInArrow(_scan(value), "train_cls binary, passage bigint")
-        hits = found if hits is None else hits.unionByName(found)
+        own = chosen.where(F.pmod(F.xxhash64("cls"), F.lit(shards)) == s).toArrow().combine_chunks()
+        flat = lambda c: own.column(c).combine_chunks().flatten().to_numpy()
+        owners = np.repeat(np.arange(own.num_rows), own.column("size").to_numpy())
+        value = spark.sparkContext.broadcast((own.column("need").to_numpy(), owners, flat("passage"), flat("w").reshape(-1, shingle)))
+        number = hash((value._jbroadcast.id(), s))
+        classes = pa.array(own.column("cls").to_pylist(), pa.binary())
+        found = tr_texts.select("cls", "words").mapInArrow(_scan(value, number, classes), "eval_cls binary, train_cls binary")
+        candidates = found if candidates is None else candidates.unionByName(found)
+    candidates = candidates.where("eval_cls <> train_cls")
 
-    candidates = hits.join(chosen.select(F.col("cls").alias("eval_cls"), "passage"), "passage").where("eval_cls <> train_cls").select("eval_cls", "train_cls").distinct()
     a, b = ev_texts.toDF("eval_cls", "eval_words"), tr_texts.toDF("train_cls", "train_words")
     sized = candidates.join(a, "eval_cls").join(b, "train_cls").select("eval_cls", "train_cls", "eval_words", "train_words")
     matches = written(sized.mapInArrow(_verify(shingle, threshold), "eval_cls binary, train_cls binary, similarity double, coverage double"), "matches")
