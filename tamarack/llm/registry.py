@@ -151,8 +151,34 @@ def queries() -> dict:
 _FIRST = "f AS (SELECT posting_id, lower(trim(arg_min(coalesce(bucket, chr(0)), seq))) AS bucket, arg_min(matched_keyword, seq) AS kw FROM postings WHERE posting_id IS NOT NULL GROUP BY posting_id)"
 
 
+def _classes(rows: str) -> str:
+    """t: rows with the id of their class; e: the shingles of each class. ``rows`` gives (side, id, raw_text)."""
+    return f"""
+        r AS ({rows}),
+        w AS (SELECT side, id, raw_text, regexp_extract_all(strip_accents(lower(raw_text)), '[\\p{{L}}\\p{{N}}]+') AS w FROM r WHERE raw_text IS NOT NULL AND id IS NOT NULL),
+        g AS (SELECT side, id, list_sort(list_distinct(list_transform(range(1, greatest(len(w) - 1, 1)), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS s, raw_text FROM w),
+        k AS (SELECT side, id, s, CASE WHEN len(s) = 0 THEN raw_text END AS own FROM g),
+        c AS (SELECT s, own, row_number() OVER () AS cls FROM (SELECT DISTINCT s, own FROM k)),
+        t AS (SELECT DISTINCT k.side, k.id, c.cls FROM k JOIN c ON k.s = c.s AND k.own IS NOT DISTINCT FROM c.own),
+        e AS (SELECT cls, unnest(s) AS g, len(s) AS n FROM c)"""
+
+
+def _near_sql(sides: str) -> str:
+    """l: pairs of different classes at or above the similarity, both ways around."""
+    return f"""l AS (SELECT a.cls AS x, b.cls AS y FROM e a JOIN e b ON a.g = b.g AND a.cls {sides} b.cls GROUP BY a.cls, b.cls HAVING count(*) >= 0.5 * (any_value(a.n) + any_value(b.n) - count(*)))"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p2_found": f"""
+            WITH {_classes("SELECT 0 AS side, posting_id AS id, raw_text FROM postings")}, {_near_sql("<")}
+            SELECT DISTINCT least(a.id, b.id) AS posting_id_a, greatest(a.id, b.id) AS posting_id_b
+            FROM (SELECT x, y FROM l UNION ALL SELECT cls, cls FROM c) p JOIN t a ON a.cls = p.x JOIN t b ON b.cls = p.y WHERE a.id <> b.id""",
+        "p3_found": f"""
+            WITH {_classes("SELECT 0 AS side, split_seq AS id, raw_text FROM test UNION ALL SELECT 1, split_seq, raw_text FROM train")}, {_near_sql("<>")}
+            SELECT DISTINCT a.id AS test_split_seq, b.id AS train_split_seq
+            FROM (SELECT x, y FROM l UNION ALL SELECT cls, cls FROM c) p JOIN t a ON a.cls = p.x AND a.side = 0 JOIN t b ON b.cls = p.y AND b.side = 1
+            UNION SELECT a.split_seq, b.split_seq FROM test a JOIN train b USING (posting_id)""",
         "p5_found": f"""
             WITH {_FIRST}, n AS (SELECT count(*) AS n FROM f),
             have AS (SELECT t.target_id, any_value(t.min_rows) AS least, any_value(t.target_share) AS share, count(f.posting_id) AS available
