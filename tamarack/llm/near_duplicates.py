@@ -55,7 +55,10 @@ def _signatures(k: int, bands: int, rows: int):
     words = -(-n // 64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         a, b = _hash_parameters(n)
+        row = TaskContext.get().partitionId() << 33  # numbers the rows, the same if the task is run again
         salts = sh.mix(np.arange(1, bands + 1, dtype=np.uint64))
         seen: set[bytes] = set()  # of this task, whose rows are bounded by the size of its split
         for batch in batches:
@@ -80,9 +83,11 @@ def _signatures(k: int, bands: int, rows: int):
                     bits = np.zeros(words * 64, np.uint8)
                     bits[:n] = (m >> np.uint32(7)) & np.uint32(1)
                     sketches.append(np.packbits(bits).view(np.int64))
+            rows_here = pa.array(range(row, row + len(classes)), pa.int64())
+            row += len(classes)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(classes, pa.binary()), pa.array(short, pa.int64()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))],
-                names=["id", "cls", "c", "n", "keys", "sketch"],
+                [batch.column(0), rows_here, pa.array(classes, pa.binary()), pa.array(short, pa.int64()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))],
+                names=["id", "row", "cls", "c", "n", "keys", "sketch"],
             )
 
     return run
@@ -163,16 +168,21 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, *, shingle: int =
     hashes = bands * rows
     docs = picked(df, id=id_col, text=text_col).where("id is not null and text is not null")
     id_type = docs.schema["id"].dataType.simpleString()
-    sig = written(docs.mapInArrow(_signatures(shingle, bands, rows), f"id {id_type}, cls binary, c bigint, n int, keys array<bigint>, sketch array<bigint>"), "minhash")
+    sig = written(docs.mapInArrow(_signatures(shingle, bands, rows), f"id {id_type}, row bigint, cls binary, c bigint, n int, keys array<bigint>, sketch array<bigint>"), "minhash")
+
+    # Of a class that several tasks met, one row goes on: copies would else pair up in every band, once per two tasks.
+    keyed = sig.where("keys is not null")
+    copied = written(keyed.groupBy("cls").agg(F.min("row").alias("first"), F.count("*").alias("tasks")).where("tasks > 1").select("cls", "first"), "copied")
+    once = keyed.join(small_side(copied, copied.count()), "cls", "left").where("first is null or row = first")
 
     # Classes that share a band key. Both sides are one exchange, read twice; AQE splits a hot key's partition.
-    band = sig.where("keys is not null").select("c", F.explode("keys").alias("key"))
+    band = once.select("c", F.explode("keys").alias("key"))
     candidates = band.toDF("a", "key").join(band.toDF("b", "key"), "key").where("a < b").select("a", "b").distinct()
 
     # At the threshold two sketches agree in (1 + t) / 2 of their bits; what is below by SKETCH_SIGMAS deviations can't reach it.
     agree = (1 + threshold) / 2
     differ = hashes * (1 - agree) + SKETCH_SIGMAS * math.sqrt(hashes * agree * (1 - agree))
-    described = written(sig.where("sketch is not null").select("c", "n", "sketch").dropDuplicates(["c"]), "sketches")
+    described = written(once.select("c", "n", "sketch"), "sketches")
     described = small_side(described, described.count(), 64 + hashes // 8)
     likely = candidates.join(described.toDF("a", "n_a", "sketch_a"), "a").join(described.toDF("b", "n_b", "sketch_b"), "b")
     likely = likely.where(F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b")).where(_differing_bits(F.col("sketch_a"), F.col("sketch_b")) <= differ)
