@@ -129,6 +129,28 @@ def _differing_bits(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
 
 
+def _lowest_linked(edges: DataFrame) -> DataFrame:
+    """(u, v): each node of the undirected ``edges`` (u, v) that is not the lowest of its component, with the lowest one.
+
+    Large-star and small-star in turn, until every component is a star around
+    its lowest node. Rounds grow with the logarithm of the longest chain;
+    each is written, and nothing but the answer "is it done" goes to the driver.
+    """
+    u, v, m = F.col("u"), F.col("v"), F.col("m")
+    edges = written(edges.where(u != v).select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).distinct(), "edges")
+    while True:
+        # a star has centres without a lower neighbour, and other nodes with one
+        ends = edges.select("u", F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(v.alias("u"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        if ends.groupBy("u").agg(F.sum("up").alias("up"), F.sum("down").alias("down")).where("up > 1 or up = 1 and down > 0").isEmpty():
+            return edges
+        both = edges.unionByName(edges.select(v.alias("u"), u.alias("v")))
+        lowest = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        large = written(both.join(lowest, "u").where(v > u).select(v.alias("u"), m.alias("v")).distinct(), "large-star")
+        lowest = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(lowest, "u").where(v != m).select(v.alias("u"), m.alias("v")).unionByName(lowest.select("u", m.alias("v")))
+        edges = written(small.distinct(), "small-star")
+
+
 class NearDuplicates:
     """Result of :func:`near_duplicates`: ``members`` and the ``links`` between classes."""
 
@@ -146,11 +168,24 @@ class NearDuplicates:
         across = self.links.join(a, "cls_a").join(b, "cls_b").where("x <> y").select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
         return within.unionByName(across).distinct()
 
+    def groups(self) -> DataFrame:
+        """(cls, group) of each class of a group of several: its connected component over the verified links, named by its lowest class.
+
+        Classes of one id are in one group, so groups are the components of :meth:`pairs`.
+        A group can be a chain: its ends need not be similar to each other.
+        """
+        several = self.members.groupBy("id").agg(F.min("cls").alias("v"), F.max("cls").alias("_last")).where(F.col("v") != F.col("_last"))
+        of_one_id = self.members.join(several, "id").select(F.col("cls").alias("u"), "v")
+        found = _lowest_linked(self.links.select(F.col("cls_a").alias("u"), F.col("cls_b").alias("v")).unionByName(of_one_id))
+        return found.unionByName(found.select(F.col("v").alias("u"), "v").distinct()).toDF("cls", "group")
+
     def linked(self) -> DataFrame:
-        """(id, cls, copies, links): per id its class, how many other ids share it and how many other classes are linked to it."""
+        """(id, cls, group, copies, links): per id its class of equal texts, its group of near-same ones, how many other ids
+        share the class and how many other classes are linked to it. An id has a row per class, all in one group."""
         copies = self.members.groupBy("cls").agg((F.count("*") - 1).alias("copies"))
         ends = self.links.select(F.explode(F.array("cls_a", "cls_b")).alias("cls")).groupBy("cls").agg(F.count("*").alias("links"))
-        return self.members.select("id", "cls").join(copies, "cls").join(ends, "cls", "left").select("id", F.lower(F.hex("cls")).alias("cls"), "copies", F.coalesce("links", F.lit(0)).alias("links"))
+        own = self.members.select("id", "cls").join(copies, "cls").join(ends, "cls", "left").join(self.groups(), "cls", "left")
+        return own.select("id", F.lower(F.hex("cls")).alias("cls"), F.lower(F.hex(F.coalesce("group", "cls"))).alias("group"), "copies", F.coalesce("links", F.lit(0)).alias("links"))
 
 
 def near_duplicates(df: DataFrame, id_col: str, text_col: str, *, shingle: int = 5, threshold: float = 0.8, recall: float = 0.99, rows: int = 4) -> NearDuplicates:

@@ -37,7 +37,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_groups(spark: SparkSession, d: str) -> DataFrame:
-    """Class, copies and links of every posting."""
+    """Group of the same advert, class of equal texts, copies and links of every posting."""
     return _near(spark, d).linked().withColumnRenamed("id", "posting_id")
 
 

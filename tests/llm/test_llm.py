@@ -79,6 +79,37 @@ def test_near_duplicates_are_brute_force(spark):
     assert none.pairs().count() == 0 and none.linked().count() == 0
 
 
+def components(pairs):
+    """{id: lowest id of its connected component}"""
+    lead = {}
+
+    def of(x):
+        while lead.setdefault(x, x) != x:
+            x = lead[x]
+        return x
+
+    for a, b in pairs:
+        a, b = sorted((of(a), of(b)))
+        lead[b] = a
+    return {x: of(x) for x in lead}
+
+
+def test_groups_are_the_components_of_the_pairs(spark):
+    chain = [" ".join(f"mot{j}" for j in range(i, i + 12)) for i in range(0, 90, 3)]  # each like the next only
+    rows = chain + texts() + EDGES + texts()[:5]
+    several = [(40, "ici un tout autre texte"), (41, None), (42, chain[7])]  # ids with several texts
+    df = spark.createDataFrame([*enumerate(rows), *several], "id long, text string")
+    r = near_duplicates.near_duplicates(df, "id", "text", shingle=3, threshold=0.5, recall=0.9999)
+    want = components((p.id_a, p.id_b) for p in r.pairs().collect())
+    assert len({want[i] for i in range(len(chain))}) == 1 and want[42] == want[0]
+    got = {}
+    for x in r.linked().collect():
+        got.setdefault(x.group, set()).add(x.id)
+    ids = {i for own in got.values() for i in own}
+    assert sum(map(len, got.values())) == len(ids)  # an id is in one group
+    assert sorted(map(sorted, got.values())) == sorted(sorted(i for i in ids if want.get(i, i) == lead) for lead in {want.get(i, i) for i in ids})
+
+
 def test_hot_group_of_copies_and_repeated_ids(spark):
     rows = spark.range(3000).select((F.col("id") % 2000).alias("id"), F.when(F.col("id") % 3 == 0, F.lit("un texte que beaucoup de lignes portent mot pour mot")).otherwise(F.concat(F.lit("texte à part numéro "), F.col("id"), F.lit(" avec ses propres mots "), F.col("id") * 7)).alias("text"))
     r = near_duplicates.near_duplicates(rows, "id", "text", shingle=3, threshold=0.5)
