@@ -10,8 +10,10 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from tamarack.llm._ranked import lowest, uniform
@@ -82,8 +84,18 @@ def quotas(targets: list[Row], available: dict[int, int], size: int) -> dict[int
 class QuotaSample:
     #: (target_set, target_id, id and the category columns): the rows drawn for each set.
     sample: DataFrame
-    #: One row per target: available, needed, quota, drawn share and gap.
-    report: DataFrame
+    #: One row per target: available, needed, quota and whether it is short, known before anything is drawn.
+    plan: DataFrame
+
+    @property
+    def report(self) -> DataFrame:
+        """One row per target: the plan, and what the sample holds of it: rows drawn, share of its set's sample and gap to the target's share."""
+        drawn = self.sample.groupBy("target_set", "target_id").agg(F.count("*").alias("drawn"))
+        joined = self.plan.join(drawn, ["target_set", "target_id"], "left").withColumn("drawn", F.coalesce("drawn", F.lit(0)))
+        total = F.sum("drawn").over(Window.partitionBy("target_set"))  # one row a target, at most MAX_CELLS
+        share = F.when(total > 0, F.col("drawn") / total).otherwise(F.lit(0.0))
+        out = joined.withColumn("drawn_share", share)
+        return out.select("target_id", "target_set", "available", "needed", "quota", "drawn", "drawn_share", (F.coalesce("target_share", F.lit(0.0)) - F.col("drawn_share")).alias("share_gap"), "short")
 
 
 def normal_category(c: Column) -> Column:
@@ -104,8 +116,8 @@ def quota_sample(rows: DataFrame, targets: DataFrame, categories: list[str], *,
     ``targets`` has target_id, target_set, the categories (NULL where the
     target leaves one open), target_share and min_rows. A target needs the
     greater of min_rows and its share of the sample; one with fewer rows takes
-    all and is reported with its gap. NULL categories match no target; rows of
-    no target are counted but not drawn. Empty tables give empty results. The
+    all and is reported with its gap. A NULL category matches only targets that
+    leave it open; rows of no target are counted but not drawn. Empty tables give empty results. The
     draw depends on seed and ids only.
     """
     spark = rows.sparkSession
@@ -135,23 +147,24 @@ def quota_sample(rows: DataFrame, targets: DataFrame, categories: list[str], *,
     available = {i: sum(cells[c] for c in own) for margin in sets.values() for i, (own, _) in margin.items()}
     weights = rake(cells, list(sets.values()))
 
-    report, quota = [], []
+    plan, quota = [], []
     for name, margin in sets.items():
         own = [t for t in wanted if t.target_set == name]
         granted = quotas(own, available, int(size))
-        total = sum(granted.values())
         for t in own:
             needed, n = max(float(t.min_rows or 0), (t.target_share or 0.0) * size), granted[t.target_id]
-            report.append((t.target_id, name, available[t.target_id], needed, n, n / total if total else 0.0, (t.target_share or 0.0) - (n / total if total else 0.0), available[t.target_id] < needed))
+            plan.append((t.target_id, name, available[t.target_id], needed, n, t.target_share, available[t.target_id] < needed))
             quota.append((name, t.target_id, float(n)))
     placed = [(name, i, *cell, float(weights[cell])) for name, margin in sets.items() for i, (own, _) in margin.items() for cell in own]
 
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    report_df = spark.createDataFrame(report, "target_id int, target_set string, available bigint, needed double, quota bigint, drawn_share double, share_gap double, short boolean")
+    plan_df = spark.createDataFrame(plan, "target_id int, target_set string, available bigint, needed double, quota bigint, target_share double, short boolean")
     budgets = spark.createDataFrame(quota, "target_set string, target_id int, budget double")
     cell_df = spark.createDataFrame(placed, f"target_set string, target_id int, {', '.join(f'{c} {kinds[c]}' for c in categories)}, weight double")
-    drawn = rows.join(F.broadcast(cell_df), categories)  # at most MAX_CELLS rows a set
+    cell_df = cell_df.withColumnsRenamed({c: f"_cell_{i}" for i, c in enumerate(categories)})
+    same_cell = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_cell_{i}")) for i, c in enumerate(categories)])
+    drawn = rows.join(F.broadcast(cell_df), same_cell)  # at most MAX_CELLS rows a set
     # exponential key of the weight, folded into [0, 1): a larger weight gives a smaller key
     keyed = drawn.withColumn("_key", 1 - F.exp(F.log(uniform(F.lit(seed), F.col("target_set"), F.col("id"))) / F.greatest("weight", F.lit(1e-12))))
     sample = lowest(keyed, ["target_set", "target_id"], "_key", "id", budgets).select("target_set", "target_id", "id", *categories)
-    return QuotaSample(sample, report_df)
+    return QuotaSample(sample, plan_df)

@@ -83,7 +83,7 @@ def _sample(spark: SparkSession, d: str) -> quota_sample.QuotaSample:
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Targets with fewer postings than needed."""
-    return _sample(spark, d).report.where("short").select("target_id")
+    return _sample(spark, d).plan.where("short").select("target_id")
 
 
 def p5_sample(spark: SparkSession, d: str) -> DataFrame:

@@ -213,6 +213,19 @@ def test_quota_sample(spark):
         assert quota_sample.quota_sample(a, b, ["kind"]).sample.count() == 0
 
 
+def test_quota_sample_draws_rows_with_an_open_null_category(spark):
+    rows = spark.range(300).select("id", F.when(F.col("id") < 30, "a").when(F.col("id") < 290, "b").alias("kind"), F.when(F.col("id") % 3 > 0, "k").alias("word"))
+    targets = spark.createDataFrame([(1, "s", "a", None, 0.5, 30), (2, "s", "b", None, 0.5, 1), (3, "t", "a", "k", 1.0, 20)], "target_id int, target_set string, kind string, word string, target_share double, min_rows int")
+    r = quota_sample.quota_sample(rows, targets, ["kind", "word"], fraction=0.2)
+    drawn = {}
+    for x in r.sample.collect():
+        drawn.setdefault(x.target_id, set()).add((x.id, x.word))
+    assert {i for i, _ in drawn[1]} == set(range(30)) and any(w is None for _, w in drawn[2]) and all(w == "k" for _, w in drawn[3])
+    report = {x.target_id: x for x in r.report.collect()}
+    assert {i: x.drawn for i, x in report.items()} == {i: len(own) for i, own in drawn.items()} == {i: x.quota for i, x in report.items()}
+    assert report[1].drawn_share == pytest.approx(len(drawn[1]) / (len(drawn[1]) + len(drawn[2])))
+
+
 def best(sizes, capacity):
     """Fewest containers, by trying all."""
     sizes, found = sorted(sizes, reverse=True), [len(sizes)]
