@@ -10,16 +10,19 @@ limit       many different texts of the source have exactly this length, most of
             them without an end
 mark        the text ends in a mark of omission; a bare "..." counts near the
             length at which the source's other marks stand
-prefix      the last token is no word of the corpus but a proper prefix of some
+prefix      the last token is no word of the corpus but a proper prefix of some,
+            or an entity stops before its name is whole
 unfinished  the last word, or last two, go on everywhere else, and lines that
             begin like the last one do not usually close a text
 
-The last two do not count where several sources deliver the same end.
+The last does not count where several sources deliver the same end and a
+share of the texts with its last two words stops there.
 """
 
 from __future__ import annotations
 
 import html
+import html.entities
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -41,6 +44,8 @@ DOTS = re.compile(r"\s*(?:\.{3}|…)\s*\Z")
 #: Letters and digits, or a character that closes a sentence or line.
 _TOKEN = re.compile(r"[^\W_]+|[.!?…)\n]")
 _WORD = re.compile(r"[^\W_]+")
+#: An entity, and the beginning of one at the end.
+_ENTITY, _HALF_ENTITY = re.compile(r"&[A-Za-z]{2,8};"), re.compile(r"&([A-Za-z]{1,7})\Z")
 _HEAD = re.compile(r"\n[ \t\xa0]*\n")
 
 #: Longer than this by description_chars is missing text, not another way to count.
@@ -54,7 +59,9 @@ PREFIX_LEAST, PREFIX_SHARE = 3, 0.001
 #: A token is no word if it stands this many times less often than words that begin with it: typing errors are not vocabulary.
 PREFIX_RARER = 500
 WORD_LEAST, WORD_SHARE, WORD_CLOSES = 50, 0.01, 0.002
-PAIR_LEAST, PAIR_SHARE = 20, 0.002
+PAIR_LEAST, PAIR_SHARE, PAIR_CLOSES = 20, 0.002, 0.002
+#: Share of the occurrences of the last two words at which texts stop there by themselves: a cut hits a given occurrence far less often.
+END_SHARE = 0.01
 
 MEASURES = ("chars", "text_chars", "bytes", "text_bytes")
 
@@ -83,6 +90,14 @@ def _plain(text: str) -> str:
     return html.unescape(text) if "&" in text else text
 
 
+def half_entity(text: str) -> bool:
+    """Ends inside an entity's name. Texts that write no entities may use the sign itself."""
+    m = _HALF_ENTITY.search(text, max(0, len(text) - 8))
+    if not m or m[1] in html.entities.html5 or m[1] + ";" in html.entities.html5:
+        return False
+    return any(name.startswith(m[1]) for name in html.entities.html5) and _ENTITY.search(text) is not None
+
+
 def ending(text: str) -> dict:
     """What the end of a text shows, by itself."""
     stripped = text.rstrip()
@@ -104,6 +119,7 @@ def ending(text: str) -> dict:
         "mark_at": max(0, cut - head),
         "open_end": open_end,
         "broken": stripped.endswith("�"),
+        "entity": half_entity(stripped),
         "last": words[-1] if words and open_end and words[-1].isalpha() and body[-1].isalnum() else None,
         "last_id": sh._ids[words[-1]] if words and open_end else 0,
         "before_id": sh._ids[words[-2]] if len(words) > 1 and open_end else 0,
@@ -113,7 +129,7 @@ def ending(text: str) -> dict:
     }
 
 
-_ENDING = "chars bigint, text_chars bigint, bytes bigint, text_bytes bigint, mark string, mark_at bigint, open_end boolean, broken boolean, last string, last_key bigint, pair_key bigint, line_key bigint, same bigint, end_key bigint"
+_ENDING = "chars bigint, text_chars bigint, bytes bigint, text_bytes bigint, mark string, mark_at bigint, open_end boolean, broken boolean, entity boolean, last string, last_key bigint, pair_key bigint, line_key bigint, same bigint, end_key bigint"
 
 
 def _endings(kinds: pa.Schema):
@@ -229,15 +245,18 @@ def truncated(df: DataFrame, id_col: str, source_col: str, text_col: str, stated
 
     wanted = rows.select(F.explode(F.array("last_key", "pair_key", "line_key")).alias("key")).where("key is not null").distinct()
     of = counts.select("kind", "key", "n", "closed").join(wanted, "key")
-    goes_on = of.where(((F.col("kind") == 1) & (F.col("n") >= max(WORD_LEAST, WORD_SHARE * texts)) & (F.col("closed") < WORD_CLOSES * F.col("n"))) | ((F.col("kind") == 2) & (F.col("n") >= max(PAIR_LEAST, PAIR_SHARE * texts)) & (F.col("closed") == 0)))
+    goes_on = of.where(((F.col("kind") == 1) & (F.col("n") >= max(WORD_LEAST, WORD_SHARE * texts)) & (F.col("closed") < WORD_CLOSES * F.col("n"))) | ((F.col("kind") == 2) & (F.col("n") >= max(PAIR_LEAST, PAIR_SHARE * texts)) & (F.col("closed") < PAIR_CLOSES * F.col("n"))))
     goes_on = written(goes_on.select("key", F.lit(True).alias("on")), "goes-on")
     closers = written(of.where("kind = 3 and closed >= 3 and closed >= 0.5 * n").select(F.col("key").alias("line_key"), F.lit(True).alias("closer")), "closers")
     prefixes = written(prefixes, "prefixes")
     go_rows, close_rows = goes_on.count(), closers.count()
 
     # at most 1 / LIMIT_SHARE lengths a source and measure
-    # an end that several sources deliver alike is the text's own
-    shared_ends = written(rows.where("open_end").groupBy("end_key").agg(F.min("source").alias("a"), F.max("source").alias("b")).where("a <> b").select("end_key", F.lit(True).alias("own_end")), "ends")
+    # an end that several sources deliver alike is the text's own, if texts stop there in a share of the places that have its last two words
+    stops = rows.where("open_end and pair_key is not null").groupBy("pair_key").agg(F.count("*").alias("stops"))
+    usual = stops.join(of.where("kind = 2").select(F.col("key").alias("pair_key"), "n"), "pair_key", "left").where(F.col("stops") >= END_SHARE * (F.coalesce("n", F.lit(0)) + F.col("stops"))).select("pair_key")
+    alike = rows.where("open_end").groupBy("end_key", "pair_key").agg(F.min("source").alias("a"), F.max("source").alias("b")).where("a <> b")
+    shared_ends = written(alike.join(usual, "pair_key").select("end_key", F.lit(True).alias("own_end")).distinct(), "ends")
     limits = written(_limits(rows).groupBy("source").agg(*[F.collect_list(F.when(F.col("measure") == m, F.col("value"))).alias(f"at_{m}") for m in MEASURES]), "limits")
     marks = written(_mark_places(rows), "marks")
     limits, marks = small_side(limits, limits.count(), 4096), small_side(marks, marks.count())
@@ -257,7 +276,7 @@ def truncated(df: DataFrame, id_col: str, source_col: str, text_col: str, stated
     yes["limit"] = at
     stands = F.col("mark_at").between(F.col("mark_to") - MARK_WIDTH, F.col("mark_to"))
     yes["mark"] = (F.col("mark") == "said") | ((F.col("mark") == "dots") & stands)
-    yes["prefix"] = F.col("prefix") & F.col("mark").isNull() & F.col("own_end").isNull()
+    yes["prefix"] = (F.coalesce("prefix", F.lit(False)) | F.col("entity")) & F.col("mark").isNull()
     yes["unfinished"] = F.col("mark").isNull() & F.col("open_end") & (F.col("word_on") | F.col("pair_on")) & F.col("closer").isNull() & F.col("own_end").isNull()
     evidence = F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(k)) for k, c in yes.items()]))
     judged = r.select("id", "source", evidence.alias("evidence"))
