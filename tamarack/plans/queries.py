@@ -13,7 +13,6 @@ from tamarack.functions.parse import parse_posting
 from tamarack.operators import dedupe, partition, records, score, split, stats
 from tamarack.runtime import table
 from tamarack.schemas import FIELDS, OFFERS
-from tamarack.sources import paged
 from tamarack.streaming import labelling
 
 OWNERS = 5
@@ -249,14 +248,6 @@ def labelling_run(s, d):
     return labelling.resume(table(s, d, "postings"), table(s, d, "predictions"), _Echo(), "echo").select("posting_id", "valid", "attempts", "prediction.title")
 
 
-def paged_source(s, d):
-    """The plan's first queries read page by page from a replayed service."""
-    paged.register(s)
-    offers = {"tri": [{"id": str(i), "intitule": f"Poste {i}", "description": "x" * 250} for i in range(320)], "paie": []}
-    plan = [[0, "autres_metiers", "tri", 170], [1, "autres_metiers", "paie", None]]
-    return s.read.format("paged_search").options(transport="tamarack.sources.paged:TableTransport", plan=json.dumps(plan), rows=json.dumps(offers), interval_seconds="0").load().select("plan_idx", "result_idx", "id", "intitule")
-
-
 def offer_records(s, d):
     """Postings turned back into source offers, and projected into records."""
     p = table(s, d, "train").withColumns({"plan_idx": F.lit(0), "result_idx": F.col("split_seq").cast("int"), "keyword": F.col("matched_keyword"), "id": F.col("split_seq").cast("string"), "intitule": F.col("title"), "entreprise": F.struct(F.col("prediction.company").alias("nom")), "lieuTravail": F.struct(F.col("prediction.location").alias("libelle")), "description": F.col("raw_text"), "origineOffre": F.struct(F.col("source_url").alias("urlOrigine")), "salaire": F.struct(F.col("reference_metadata.salaireLibelle").alias("libelle"))})
@@ -270,7 +261,7 @@ def queries() -> dict:
         text_hash_dedupe, text_normalize, pii_scrub, html_clean, build_record, offer_records, id_dedupe_first_wins, plan_counts, hash_partition, partition_balance, resume_anti_join, bucket_counts, ingest_summary,
         largest_remainder_allocation, test_split, train_split, holdout_split, leakage_overlap, normalize_contract, normalize_remote, sentinel_null, list_clean, rhythm_rule, free_text_normalize, field_verdicts, field_scores,
         score_summary, model_comparison, missing_predictions, latency_stats, labelling_counts, upsert_last_wins, first_uncorrected, gold_records, review_prefill, metadata_rows, preview_text, chat_messages, chat_contents,
-        chat_examples, parse_llm_json, content_range_parse, labelling_run, paged_source,
+        chat_examples, parse_llm_json, content_range_parse, labelling_run,
     )
     assert len(FIELDS) == 14
     return {f.__name__: f for f in own}
