@@ -6,8 +6,9 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Beyond this many bytes a table is joined by shuffle, never by an explicit broadcast.
 BROADCAST_BYTES = 32 << 20
@@ -25,14 +26,17 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder all executors see: ``spark.checkpoint.dir``, else one of our own.
 
     Our own is a temporary folder on a local master (tests) and lies below the
-    warehouse on a cluster, never on a single machine's disk.
+    warehouse on a cluster. A warehouse on a single machine's disk is an error there.
     """
     global _own_folder
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     if not spark.sparkContext.master.startswith("local"):
-        return f"{spark.conf.get('spark.sql.warehouse.dir')}/_tamarack"
+        warehouse = spark.conf.get("spark.sql.warehouse.dir")
+        if "://" not in warehouse or warehouse.startswith("file:"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share: the warehouse is on a local disk")
+        return f"{warehouse}/_tamarack"
     if _own_folder is None:
         _own_folder = f"file://{tempfile.mkdtemp(prefix='tamarack-')}"
     return _own_folder
@@ -42,7 +46,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again.
 
     Cuts the lineage like a reliable checkpoint, but stays columnar, so later
-    reads prune columns and push filters. Removed when the process ends.
+    reads prune columns and push filters. Removed by :func:`drop_written`, at the
+    latest when the process ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
@@ -52,7 +57,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 @atexit.register
-def _remove_written() -> None:
+def drop_written() -> None:
+    """Removes all tables of :func:`written`. Results that read them must have been collected or saved before."""
     for spark, path in _written:
         try:
             jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
@@ -68,6 +74,30 @@ def small_side(df: DataFrame, rows: int, row_bytes: int = 64) -> DataFrame:
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
 
 
+def _width(c: Column, kind: T.DataType) -> Column:
+    """Bytes of a value; those of a nested value are counted from its elements."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        size = F.octet_length(c) + 16
+    elif isinstance(kind, T.ArrayType) and isinstance(kind.elementType, (T.StringType, T.BinaryType, T.ArrayType, T.StructType)):
+        size = F.aggregate(c, F.lit(16), lambda s, x: s + _width(x, kind.elementType).cast("int"))
+    elif isinstance(kind, T.ArrayType):
+        size = F.size(c) * 8 + 16
+    elif isinstance(kind, T.StructType):
+        size = sum((_width(c.getField(f.name), f.dataType) for f in kind), F.lit(8))
+    else:
+        size = F.lit(16 if isinstance(kind, T.DecimalType) else 8)
+    return F.coalesce(size, F.lit(8))
+
+
+def broadcast_if_small(df: DataFrame) -> DataFrame:
+    """``df`` marked for broadcast if its rows, measured, take no more than ``BROADCAST_BYTES``; else as it is.
+
+    Measuring reads ``df`` once, so it should be a table, not a long plan.
+    """
+    size = sum((_width(F.col(f"`{f.name}`"), f.dataType) for f in df.schema), F.lit(16))
+    return F.broadcast(df) if (df.agg(F.sum(size.cast("bigint"))).first()[0] or 0) <= BROADCAST_BYTES else df
+
+
 def picked(df: DataFrame, **columns: str) -> DataFrame:
     """The named columns under new names (``new=name``), whatever other columns are called.
 
