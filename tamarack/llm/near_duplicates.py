@@ -4,7 +4,7 @@ Plan: one Arrow pass makes, per row, a content class (equal shingle sets), the
 band keys and a one-bit sketch. Exact copies collapse into their class before
 anything is shuffled by band. Classes that share a band key are joined on that
 key (AQE splits hot keys), pairs are made distinct, thinned by the sketches and
-verified on the full shingle sets of the two texts.
+verified on the full shingle sets of the two texts, which are made once per class.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tamarack.llm import _shingles as sh
-from tamarack.runtime import picked, small_side, written
+from tamarack.runtime import broadcast_if_small, picked, written
 
 #: Standard deviations by which a sketch may underrate a pair at the threshold before the pair is dropped unverified.
 SKETCH_SIGMAS = 5.0
@@ -45,11 +45,6 @@ def _minhash(shingle: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return best
 
 
-def short_class(cls: bytes) -> int:
-    """First half of a class: what is shuffled by band. Classes that should share it are told apart by their texts."""
-    return int.from_bytes(cls[:8], "little", signed=True)
-
-
 def _signatures(k: int, bands: int, rows: int):
     n = bands * rows
     words = -(-n // 64)
@@ -62,13 +57,12 @@ def _signatures(k: int, bands: int, rows: int):
         salts = sh.mix(np.arange(1, bands + 1, dtype=np.uint64))
         seen: set[bytes] = set()  # of this task, whose rows are bounded by the size of its split
         for batch in batches:
-            classes, short, sizes, keys, sketches = [], [], [], [], []
+            texts = batch.column(1).to_pylist()
+            classes, sizes, keys, sketches = [], [], [], []
             with np.errstate(over="ignore"):
-                for text in batch.column(1).to_pylist():
-                    s = sh.shingle_set(text, k)
+                for text, s in zip(texts, sh.shingle_sets(texts, k)):
                     cls = sh.content_class(text, s)
                     classes.append(cls)
-                    short.append(short_class(cls))
                     sizes.append(len(s))
                     if not len(s) or cls in seen:  # one copy per task is enough to find and describe its class
                         keys.append(None)
@@ -83,44 +77,27 @@ def _signatures(k: int, bands: int, rows: int):
                     bits = np.zeros(words * 64, np.uint8)
                     bits[:n] = (m >> np.uint32(7)) & np.uint32(1)
                     sketches.append(np.packbits(bits).view(np.int64))
-            rows_here = pa.array(range(row, row + len(classes)), pa.int64())
+            numbers = pa.array(range(row, row + len(classes)), pa.int64())
             row += len(classes)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), rows_here, pa.array(classes, pa.binary()), pa.array(short, pa.int64()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))],
-                names=["id", "row", "cls", "c", "n", "keys", "sketch"],
-            )
-
-    return run
-
-
-def _verify(k: int, threshold: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets: dict[bytes, np.ndarray] = {}
-
-        def of(cls: bytes, text: str) -> np.ndarray:
-            if cls not in sets:
-                if len(sets) >= 8192:
-                    sets.clear()
-                sets[cls] = sh.shingle_set(text, k)
-            return sets[cls]
-
-        for batch in batches:
-            a, b, ta, tb = (c.to_pylist() for c in batch.columns)
-            j = np.array([sh.jaccard(of(a[i], ta[i]), of(b[i], tb[i])) for i in range(len(a))])
-            low, high = ([f(x, y) for x, y in zip(a, b)] for f in (min, max))
-            found = pa.RecordBatch.from_arrays([pa.array(low, pa.binary()), pa.array(high, pa.binary()), pa.array(j, pa.float64())], names=["cls_a", "cls_b", "similarity"])
-            yield found.filter(pa.array(j >= threshold, pa.bool_()))
+            lists = [pa.array(x, pa.list_(pa.int64())) for x in (keys, sketches)]
+            columns = [batch.column(0), numbers, pa.array(classes, pa.binary()), pa.array(sizes, pa.int32()), *lists]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "row", "cls", "n", "keys", "sketch"])
 
     return run
 
 
-def _own_class(k: int):
-    """Keeps the rows whose text is of the class wanted: an id can have several texts."""
+def _own_shingles(k: int):
+    """(row, shingles) of the rows whose text is of the class wanted: an id can have several texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            want, texts = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            yield batch.filter(pa.array([w == sh.content_class(t, sh.shingle_set(t, k)) for w, t in zip(want, texts)], pa.bool_()))
+            texts, keep, lists = batch.column(2).to_pylist(), [], []
+            for i, (cls, text, s) in enumerate(zip(batch.column(1).to_pylist(), texts, sh.shingle_sets(texts, k))):
+                if cls == sh.content_class(text, s):
+                    keep.append(i)
+                    lists.append(s.view(np.int64))
+            rows = batch.column(0).take(pa.array(keep, pa.int64()))
+            yield pa.RecordBatch.from_arrays([rows, pa.array(lists, pa.list_(pa.int64()))], names=["row", "shingles"])
 
     return run
 
@@ -203,31 +180,40 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, *, shingle: int =
     hashes = bands * rows
     docs = picked(df, id=id_col, text=text_col).where("id is not null and text is not null")
     id_type = docs.schema["id"].dataType.simpleString()
-    sig = written(docs.mapInArrow(_signatures(shingle, bands, rows), f"id {id_type}, row bigint, cls binary, c bigint, n int, keys array<bigint>, sketch array<bigint>"), "minhash")
+    signed = f"id {id_type}, row bigint, cls binary, n int, keys array<bigint>, sketch array<bigint>"
+    sig = written(docs.mapInArrow(_signatures(shingle, bands, rows), signed), "minhash")
 
     # Of a class that several tasks met, one row goes on: copies would else pair up in every band, once per two tasks.
     keyed = sig.where("keys is not null")
-    copied = written(keyed.groupBy("cls").agg(F.min("row").alias("first"), F.count("*").alias("tasks")).where("tasks > 1").select("cls", "first"), "copied")
-    once = keyed.join(small_side(copied, copied.count()), "cls", "left").where("first is null or row = first")
+    met = keyed.groupBy("cls").agg(F.min("row").alias("first"), F.count("*").alias("tasks"))
+    copied = written(met.where("tasks > 1").select("cls", "first"), "copied")
+    once = keyed.join(broadcast_if_small(copied), "cls", "left").where("first is null or row = first")
 
-    # Classes that share a band key. Both sides are one exchange, read twice; AQE splits a hot key's partition.
-    band = once.select("c", F.explode("keys").alias("key"))
+    # Classes, by the number of their row, that share a band key. Both sides are one exchange, read twice;
+    # AQE splits a hot key's partition.
+    band = once.select("row", F.explode("keys").alias("key"))
     candidates = band.toDF("a", "key").join(band.toDF("b", "key"), "key").where("a < b").select("a", "b").distinct()
 
     # At the threshold two sketches agree in (1 + t) / 2 of their bits; what is below by SKETCH_SIGMAS deviations can't reach it.
     agree = (1 + threshold) / 2
     differ = hashes * (1 - agree) + SKETCH_SIGMAS * math.sqrt(hashes * agree * (1 - agree))
-    described = written(once.select("c", "n", "sketch"), "sketches")
-    described = small_side(described, described.count(), 64 + hashes // 8)
+    described = broadcast_if_small(written(once.select("row", "n", "sketch"), "sketches"))
     likely = candidates.join(described.toDF("a", "n_a", "sketch_a"), "a").join(described.toDF("b", "n_b", "sketch_b"), "b")
-    likely = likely.where(F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b")).where(_differing_bits(F.col("sketch_a"), F.col("sketch_b")) <= differ)
+    likely = likely.where(F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b"))
+    likely = likely.where(_differing_bits(F.col("sketch_a"), F.col("sketch_b")) <= differ)
     likely = written(likely.select("a", "b"), "likely")
 
-    # The text of one row of each class that is in a likely pair.
-    involved = likely.select(F.explode(F.array("a", "b")).alias("c")).distinct()
-    first = written(involved.join(sig.select("c", "cls", "id"), "c").groupBy("c", "cls").agg(F.min("id").alias("id")), "involved")
-    texts = docs.join(small_side(first, first.count()), "id").select("c", "cls", "text").mapInArrow(_own_class(shingle), "c bigint, cls binary, text string").dropDuplicates(["cls"])
-    pairs = likely.join(texts.toDF("a", "cls_a", "text_a"), "a").join(texts.toDF("b", "cls_b", "text_b"), "b").select("cls_a", "cls_b", "text_a", "text_b")
-    links = pairs.mapInArrow(_verify(shingle, threshold), "cls_a binary, cls_b binary, similarity double")
+    # The full shingle set of one row of each class that is in a likely pair: made once, compared inside the JVM.
+    involved = likely.select(F.explode(F.array("a", "b")).alias("row")).distinct()
+    first = written(involved.join(sig.select("row", "cls", "id"), "row"), "involved")
+    wanted = docs.join(broadcast_if_small(first), "id").select("row", "cls", "text")
+    sets = wanted.mapInArrow(_own_shingles(shingle), "row bigint, shingles array<bigint>").dropDuplicates(["row"])
+    pairs = likely.join(sets.toDF("a", "s_a"), "a").join(sets.toDF("b", "s_b"), "b")
+    common = F.size(F.array_intersect("s_a", "s_b"))
+    similarity = common / (F.size("s_a") + F.size("s_b") - common)
+    near = pairs.select("a", "b", similarity.alias("similarity")).where(F.col("similarity") >= threshold)
+    name = broadcast_if_small(first.select("row", "cls"))
+    named = near.join(name.toDF("a", "x"), "a").join(name.toDF("b", "y"), "b")
+    links = named.select(F.least("x", "y").alias("cls_a"), F.greatest("x", "y").alias("cls_b"), "similarity")
     members = sig.select("id", "cls", "n").distinct()
     return NearDuplicates(members, written(links, "links"))

@@ -42,6 +42,17 @@ def near(a, b, k=3, t=0.5):
     return a == b or bool(x | y) and len(x & y) >= t * len(x | y)
 
 
+def test_batch_words_are_the_words_of_each_text():
+    many = ["", "  ", "Été n°2", "İstanbul ǅ ß", "한국어 été", "a_b c-d", "\udc00x", "ΣΑΣ σας", "x" * 300_000 + " y", "é̂ x", "\u0301", "e\u0301te ete"] * 3
+    seen = {}
+    for text, ids in zip(many, sh.batch_word_ids(many)):
+        own = sh.words(text)
+        assert len(own) == len(ids)
+        for word, i in zip(own, ids.tolist()):
+            assert seen.setdefault(word, i) == i
+    assert len(set(seen.values())) == len(seen)
+
+
 def test_words():
     for text in ("Équipe d'été n°2, ŒUVRE", "été", "", "İzmir", "日本語 テスト"):
         assert sh.words(text) == plain_words(text)
@@ -124,13 +135,24 @@ def test_overlap_is_brute_force(spark):
     want = {(i, 1000 + j) for i, a in enumerate(ev) for j, b in enumerate(tr) if a is not None and b is not None and near(a, b)}
     got = r.pairs().collect()
     assert {(p.eval_id, p.train_id) for p in got} == want and all(0 <= p.coverage <= 1 for p in got)
+    rows = {(x.side, x.id): x for x in r.linked().collect()}
+    assert len(rows) == sum(t is not None for t in ev + tr)
+    for side, at in (("evaluation", 0), ("training", 1)):
+        cls = {i: x.cls for (s, i), x in rows.items() if s == side}
+        for i in cls:
+            mine = [p[1 - at] for p in want if p[at] == i]
+            other = {j: rows["training" if side == "evaluation" else "evaluation", j].cls for j in mine}
+            assert rows[side, i].copies == sum(c == cls[i] for c in other.values())
+            assert rows[side, i].links == len({c for c in other.values() if c != cls[i]})
     for a, b in ((docs(spark, ev).limit(0), docs(spark, tr)), (docs(spark, ev), docs(spark, tr).limit(0))):
         assert split_overlap.split_overlap(a, b, "id", "text").pairs().count() == 0
 
 
 def test_coverage_merges_intervals():
-    a, b = sh.word_ids("a b c d e f g h"), sh.word_ids("x b c d e y f g h")
-    assert split_overlap.coverage(a, b, 3) == pytest.approx(7 / 8)
+    a, b = sh.batch_word_ids(["a b c d e f g h", "x b c d e y f g h"])
+    assert split_overlap.Record(a, 3).matched(b) == (pytest.approx(3 / 10), pytest.approx(7 / 8))
+    again = sh.batch_word_ids(["a b c x a b c"])[0]
+    assert split_overlap.Record(again, 3).matched(sh.batch_word_ids(["a b c"])[0]) == (pytest.approx(1 / 4), pytest.approx(6 / 7))
 
 
 CANON = [(1, "contract", "cdi", "CDI"), (2, "contract", "cdi", "Contrat à durée indéterminée"), (3, "contract", "cdd", "Contrat à durée déterminée"), (4, "contract", "stage", "Stage"), (5, "contract", "remote", "Remote"), (6, "contract", "occasional", "Occasional remote work"), (None, None, None, None)]
