@@ -41,12 +41,17 @@ def p2_groups(spark: SparkSession, d: str) -> DataFrame:
     return _near(spark, d).linked().withColumnRenamed("id", "posting_id")
 
 
+def _overlap(spark: SparkSession, d: str) -> split_overlap.SplitOverlap:
+    return split_overlap.split_overlap(table(spark, d, "test"), table(spark, d, "train"), "split_seq", "raw_text", **SIMILAR)
+
+
 def _overlap_pairs(spark: SparkSession, d: str) -> DataFrame:
-    test, train = table(spark, d, "test"), table(spark, d, "train")
-    near = split_overlap.split_overlap(test, train, "split_seq", "raw_text", **SIMILAR).pairs().select(F.col("eval_id").alias("test_split_seq"), F.col("train_id").alias("train_split_seq"), "similarity", "coverage")
-    a, b = test.select("posting_id", F.col("split_seq").alias("test_split_seq")), train.select("posting_id", F.col("split_seq").alias("train_split_seq"))
-    same_id = a.join(b, "posting_id").select("test_split_seq", "train_split_seq", F.lit(None).cast("double").alias("similarity"), F.lit(None).cast("double").alias("coverage"))
-    return near.unionByName(same_id).groupBy("test_split_seq", "train_split_seq").agg(F.max("similarity").alias("similarity"), F.max("coverage").alias("coverage"))
+    """Pairs by text, with coverage, and pairs of one posting_id; once per pair."""
+    test, train = (table(spark, d, n).select("posting_id", F.col("split_seq").alias(f"{n}_split_seq")) for n in ("test", "train"))
+    near = _overlap(spark, d).pairs().select(F.col("eval_id").alias("test_split_seq"), F.col("train_id").alias("train_split_seq"), "coverage")
+    same = test.join(train, "posting_id").select("test_split_seq", "train_split_seq", F.lit(None).cast("double").alias("coverage"))
+    both = near.withColumn("same_id", F.lit(0)).unionByName(same.withColumn("same_id", F.lit(1)))
+    return both.groupBy("test_split_seq", "train_split_seq").agg(F.max("coverage").alias("coverage"), F.max("same_id").alias("same_id"))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -55,9 +60,30 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_by_split(spark: SparkSession, d: str) -> DataFrame:
-    """Overlapping pairs, test rows concerned and mean coverage per split and source of the test row."""
+    """Per split and source of the test row: overlapping pairs, those of one posting_id, those of near-same texts, test rows concerned."""
     rows = table(spark, d, "test").select(F.col("split_seq").alias("test_split_seq"), "split", "source")
-    return _overlap_pairs(spark, d).join(rows, "test_split_seq").groupBy("split", "source").agg(F.count("*").alias("pairs"), F.count_distinct("test_split_seq").alias("test_rows"), F.round(F.avg("coverage"), 6).alias("mean_coverage"))
+    return (
+        _overlap_pairs(spark, d)
+        .join(rows, "test_split_seq")
+        .groupBy("split", "source")
+        .agg(
+            F.count("*").alias("pairs"),
+            F.sum("same_id").alias("same_id_pairs"),
+            F.count("coverage").alias("near_pairs"),
+            F.count_distinct("test_split_seq").alias("test_rows"),
+        )
+    )
+
+
+def p3_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """Largest coverage by one training text of each test row that has a near-same one."""
+    pairs = _overlap(spark, d).pairs().groupBy(F.col("eval_id").alias("test_split_seq"))
+    return pairs.agg(F.round(F.max("coverage"), 6).alias("coverage"), F.count("*").alias("train_rows"))
+
+
+def p3_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Every row of test and train with its class of equal texts, its copies and links on the other side."""
+    return _overlap(spark, d).linked().withColumnRenamed("id", "split_seq")
 
 
 def _codes(spark: SparkSession, d: str) -> DataFrame:
@@ -145,7 +171,7 @@ def p8_forms(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_by_source, p2_found, p2_groups, p3_found, p3_by_split, p4_found, p4_report, p5_found, p5_report, p5_sample, p6_found, p6_packed, p6_fill, p7_found, p7_report, p7_mixture, p8_found, p8_forms)}
+    return {f.__name__: f for f in (p1_found, p1_by_source, p2_found, p2_groups, p3_found, p3_by_split, p3_coverage, p3_classes, p4_found, p4_report, p5_found, p5_report, p5_sample, p6_found, p6_packed, p6_fill, p7_found, p7_report, p7_mixture, p8_found, p8_forms)}
 
 
 _FIRST = "f AS (SELECT posting_id, lower(trim(arg_min(coalesce(bucket, chr(0)), seq))) AS bucket, arg_min(matched_keyword, seq) AS kw FROM postings WHERE posting_id IS NOT NULL GROUP BY posting_id)"

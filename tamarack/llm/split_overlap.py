@@ -3,10 +3,13 @@
 Passages are runs of k words of the normalised evaluation texts. Evaluation
 records are dealt into shards of bounded size; an Aho-Corasick automaton over
 the passages of each shard scans all training texts and counts, per record, how
-many of its passages it met. A record's most common passages are left out as
-far as the count that a near-same text must reach allows. Pairs that reach it
-are verified: matched intervals are merged into the coverage of the evaluation
-record, and similarity is exact.
+many of its passages it met. Only a record's rarer passages are in the shards,
+as many as the count that a near-same text must reach needs. Pairs that reach
+it are scanned once more with an automaton over all passages of the record: the
+matched intervals are merged into its coverage, and similarity is exact.
+
+Shards are blocks of a stated query set: one is on the driver and in the workers
+at a time, and is released before the next.
 """
 
 from __future__ import annotations
@@ -23,121 +26,167 @@ from pyspark.sql import functions as F
 from tamarack.llm import _shingles as sh
 from tamarack.runtime import picked, written
 
-#: Passages in one shard (a longer record is one of its own), so also what the driver and a broadcast hold at a time: 8 bytes a word.
+#: Passages in one shard (a longer record is one of its own), so also what the driver and a broadcast hold at a time.
 SHARD = 400_000
+#: Of the passages a near-same text must share, the part that has to be met among the rarer ones.
+MET_PART = 8
 
-_low = np.uint64(0xFFFFFFFF)
 
+def _classes(k: int):
+    """(id, cls, text): the text only on the first row of its class in a task, which is enough to describe it."""
 
-def _words(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
         for batch in batches:
-            classes, ids = [], []
-            for text in batch.column(1).to_pylist():
-                w = sh.word_ids(text)
-                classes.append(sh.content_class(text, np.unique(sh.shingles(w, k))))
-                ids.append(w.view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(classes, pa.binary()), pa.array(ids, pa.list_(pa.int64()))], names=["id", "cls", "words"])
+            texts = batch.column(1).to_pylist()
+            classes = [sh.content_class(t, s) for t, s in zip(texts, sh.shingle_sets(texts, k))]
+            for i, cls in enumerate(classes):
+                if cls in seen:
+                    texts[i] = None
+                seen.add(cls)
+            columns = [batch.column(0), pa.array(classes, pa.binary()), pa.array(texts, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "cls", "text"])
 
     return run
 
 
+def _word_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(cls, words): 32 bits of each word's hash, as an automaton takes them."""
+    for batch in batches:
+        ids = [w.astype(np.uint32).view(np.int32) for w in sh.batch_word_ids(batch.column(1).to_pylist())]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["cls", "words"])
+
+
 def _passages(k: int):
-    """(cls, n, passage, w): the distinct passages of each text, w its k words in 32 bits each."""
+    """(cls, n, passage, at): the n distinct passages of each text and where each stands first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for cls, words in zip(batch.column(0).to_pylist(), batch.column(1)):
-                w = np.array(words.values, np.int64).view(np.uint64)
-                found, at = np.unique(sh.shingles(w, k), return_index=True)
-                if len(found):
-                    low = (w & _low).astype(np.int64)
-                    runs = np.stack([low[at + i] for i in range(k)], axis=1).reshape(-1)
-                    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(runs) + 1, k), pa.int32()), pa.array(runs, pa.int64()))
-                    yield pa.RecordBatch.from_arrays([pa.array([cls] * len(found), pa.binary()), pa.array([len(found)] * len(found), pa.int32()), pa.array(found.view(np.int64)), lists], names=["cls", "n", "passage", "w"])
+            if not batch.num_rows:
+                continue
+            rows, counts, passages, at = [], [], [], []
+            for i, words in enumerate(sh.batch_word_ids(batch.column(1).to_pylist())):
+                found, first = np.unique(sh.shingles(words, k), return_index=True)
+                rows.append(np.full(len(found), i))
+                counts.append(np.full(len(found), len(found), np.int32))
+                passages.append(found.view(np.int64))
+                at.append(first.astype(np.int32))
+            flat = [pa.array(np.concatenate(x)) for x in (counts, passages, at)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.concatenate(rows), pa.int64())), *flat], names=["cls", "n", "passage", "at"])
 
     return run
 
 
-class _Shard:
-    """Automaton over the passages of some records, with the records that hold each passage."""
+def _automaton(runs: list[tuple[int, ...]]):
+    """Automaton over word runs, and for each different run the numbers of all that equal it."""
+    import ahocorasick
+
+    same: dict[tuple[int, ...], list[int]] = {}
+    for i, r in enumerate(runs):
+        same.setdefault(r, []).append(i)
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+    for number, r in enumerate(same):
+        automaton.add_word(r, number)
+    if same:
+        automaton.make_automaton()
+    return automaton, list(same.values())
 
-    def __init__(self, needs: np.ndarray, owners: np.ndarray, passages: np.ndarray, runs: np.ndarray):
-        import ahocorasick
 
+class _Shard:
+    """Automaton over the passages of some records, with the records that hold each."""
+
+    def __init__(self, needs: np.ndarray, places: list[np.ndarray], words: list[np.ndarray], k: int):
         self.needs = needs
-        order = np.argsort(passages, kind="stable")
-        unique, first = np.unique(passages[order], return_index=True)
-        self.holders = np.split(owners[order].astype(np.int32), first[1:]) if len(unique) else []
-        self.more: dict[int, list[int]] = {}  # passages whose words agree in 32 bits with another's
-        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-        for p, run in enumerate(map(tuple, runs[order[first]].tolist())):
-            other = self.automaton.get(run, -1)
-            if other < 0:
-                self.automaton.add_word(run, p)
-            else:
-                self.more.setdefault(other, []).append(p)
-        self.automaton.make_automaton()
+        runs, owners = [], []
+        for record, (at, w) in enumerate(zip(places, words)):
+            runs += map(tuple, w.view(np.uint32)[at[:, None] + np.arange(k)].tolist())
+            owners += [record] * len(at)
+        self.automaton, same = _automaton(runs)
+        self.holders = [np.array([owners[i] for i in group], np.int32) for group in same]
 
     def candidates(self, words: np.ndarray) -> np.ndarray:
         """Records of which the words contain as many passages as needed."""
-        met = {p for _, p in self.automaton.iter(tuple((words & _low).tolist()))} if len(words) and self.holders else set()
-        if self.more:
-            met |= {q for p in met & self.more.keys() for q in self.more[p]}
+        if not len(words) or not self.holders:
+            return np.empty(0, np.int64)
+        met = {p for _, p in self.automaton.iter(tuple(words.view(np.uint32).tolist()))}
         if not met:
             return np.empty(0, np.int64)
-        counts = np.bincount(np.concatenate([self.holders[p] for p in met]), minlength=len(self.needs))
-        return np.flatnonzero(counts >= self.needs)
+        records, counts = np.unique(np.concatenate([self.holders[p] for p in met]), return_counts=True)
+        return records[counts >= self.needs[records]]
 
 
-_shards: dict[int, _Shard] = {}
+_kept: dict[str, _Shard] = {}  # a worker keeps its last shard
 
 
-def _scan(value, number: int, classes: pa.Array):
-    """Pairs of a training class and a record of the shard. A worker keeps its last shard."""
+def _scan(value, name: str, k: int):
+    """Pairs of a record of the shard and a training class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard = None
+        own = None
         for batch in batches:
-            if shard is None:
-                if number not in _shards:
-                    _shards.clear()
-                    _shards[number] = _Shard(*value.value)
-                shard = _shards[number]
+            if own is None:
+                if name not in _kept:
+                    _kept.clear()
+                    needs, places, words = (value.value.column(c) for c in ("need", "at", "words"))
+                    arrays = [[np.asarray(x.values) for x in c] for c in (places, words)]
+                    _kept[name] = _Shard(needs.to_numpy(), *arrays, k)
+                own, classes = _kept[name], value.value.column("cls").combine_chunks()
             train, records = [], []
-            for k, words in enumerate(batch.column(1)):
-                found = shard.candidates(np.array(words.values, np.int64).view(np.uint64))
-                train += [k] * len(found)
-                records += found.tolist()
-            yield pa.RecordBatch.from_arrays([classes.take(pa.array(records, pa.int64())), batch.column(0).take(pa.array(train, pa.int64()))], names=["eval_cls", "train_cls"])
+            for i, words in enumerate(batch.column(1)):
+                found = own.candidates(np.asarray(words.values)).tolist()
+                train += [i] * len(found)
+                records += found
+            columns = [classes.take(pa.array(records, pa.int64())), batch.column(0).take(pa.array(train, pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["eval_cls", "train_cls"])
 
     return run
 
 
-def coverage(words: np.ndarray, other: np.ndarray, k: int) -> float:
-    """Share of ``words`` within a run of k words that ``other`` has too; overlapping runs merge."""
-    if len(words) < k:
-        return 0.0
-    starts = np.flatnonzero(np.isin(sh.shingles(words, k), sh.shingles(other, k)))
-    edge = np.zeros(len(words) + 1, np.int64)
-    np.add.at(edge, starts, 1)
-    np.add.at(edge, starts + k, -1)
-    return float((np.cumsum(edge)[:-1] > 0).mean())
+class Record:
+    """Automaton over all passages of one evaluation text."""
+
+    def __init__(self, words: np.ndarray, k: int):
+        self.k, self.length, self.passages = k, len(words), sh.shingles(words, k)
+        low = words.astype(np.uint32)
+        self.automaton, self.same = _automaton([tuple(low[i : i + k].tolist()) for i in range(len(self.passages))])
+        self.distinct = len(sh.distinct(self.passages))
+
+    def matched(self, words: np.ndarray) -> tuple[float, float]:
+        """Similarity with a text, and the share of the record's words in intervals that the text has too."""
+        others = sh.shingles(words, self.k)
+        if not len(self.passages) or not len(others):
+            return 0.0, 0.0
+        met, edge = set(), np.zeros(self.length + 1, np.int64)
+        for end, number in self.automaton.iter(tuple(words.astype(np.uint32).tolist())):
+            passage = others[end - self.k + 1]
+            if passage in met:
+                continue
+            for at in self.same[number]:
+                if self.passages[at] == passage:  # 32 bits a word could agree by chance
+                    met.add(passage)
+                    edge[at] += 1
+                    edge[at + self.k] -= 1
+        covered = float((np.cumsum(edge)[:-1] > 0).mean())
+        return len(met) / (self.distinct + len(sh.distinct(others)) - len(met)), covered
 
 
 def _verify(k: int, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, record = None, None
         for batch in batches:
             keep, scores, covers = [], [], []
-            for i, (a, b) in enumerate(zip(batch.column(2), batch.column(3))):
-                x, y = (np.array(w.values, np.int64).view(np.uint64) for w in (a, b))
-                j = sh.jaccard(np.unique(sh.shingles(x, k)), np.unique(sh.shingles(y, k)))
-                if j >= threshold:
+            classes, texts, others = (batch.column(c).to_pylist() for c in (0, 2, 3))
+            for i, words in enumerate(sh.batch_word_ids(others)):
+                if classes[i] != last:
+                    last, record = classes[i], Record(sh.batch_word_ids([texts[i]])[0], k)
+                similarity, covered = record.matched(words)
+                if similarity >= threshold:
                     keep.append(i)
-                    scores.append(j)
-                    covers.append(coverage(x, y, k))
+                    scores.append(similarity)
+                    covers.append(covered)
             part = batch.select([0, 1]).take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores, pa.float64()), pa.array(covers, pa.float64())], names=["eval_cls", "train_cls", "similarity", "coverage"])
+            columns = [*part.columns, pa.array(scores, pa.float64()), pa.array(covers, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["eval_cls", "train_cls", "similarity", "coverage"])
 
     return run
 
@@ -152,56 +201,85 @@ class SplitOverlap:
 
     def pairs(self) -> DataFrame:
         """(eval_id, train_id, similarity, coverage), once per pair of rows; equal classes have 1 and 1."""
-        e, t = self.eval_rows.select(F.col("id").alias("eval_id"), F.col("cls").alias("eval_cls")), self.train_rows.select(F.col("id").alias("train_id"), F.col("cls").alias("train_cls"))
-        same = e.join(t, F.col("eval_cls") == F.col("train_cls")).select("eval_id", "train_id", F.lit(1.0).alias("similarity"), F.lit(1.0).alias("coverage"))
+        e = self.eval_rows.toDF("eval_id", "eval_cls")
+        t = self.train_rows.toDF("train_id", "train_cls")
+        one = F.lit(1.0)
+        same = e.join(t, F.col("eval_cls") == F.col("train_cls")).select("eval_id", "train_id", one.alias("similarity"), one.alias("coverage"))
         near = self.matches.join(e, "eval_cls").join(t, "train_cls").select("eval_id", "train_id", "similarity", "coverage")
-        return same.unionByName(near).groupBy("eval_id", "train_id").agg(F.max("similarity").alias("similarity"), F.max("coverage").alias("coverage"))
-
-
-def split_overlap(evaluation: DataFrame, training: DataFrame, id_col: str, text_col: str, *, shingle: int = 5, threshold: float = 0.8, shard: int = SHARD) -> SplitOverlap:
+        both = same.unionByName(near).groupBy("eval_id", "train_id")
+        return both.agg(F.max("similarity").alias("similarity"), F.max("coverage").alias("coverage"))
+
+    def linked(self) -> DataFrame:
+        """(side, id, cls, copies, links): each row with its class of equal texts, how many rows of the other side
+        share it, and to how many other classes of the other side it is linked. Linear in the rows."""
+        sides = []
+        for side, own, other, key in (
+            ("evaluation", self.eval_rows, self.train_rows, "eval_cls"),
+            ("training", self.train_rows, self.eval_rows, "train_cls"),
+        ):
+            copies = other.groupBy("cls").agg(F.count("*").alias("copies"))
+            links = self.matches.groupBy(F.col(key).alias("cls")).agg(F.count("*").alias("links"))
+            rows = own.join(copies, "cls", "left").join(links, "cls", "left")
+            counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("copies", "links")]
+            sides.append(rows.select(F.lit(side).alias("side"), "id", F.lower(F.hex("cls")).alias("cls"), *counts))
+        return sides[0].unionByName(sides[1])
+
+
+def split_overlap(
+    evaluation: DataFrame, training: DataFrame, id_col: str, text_col: str, *, shingle: int = 5, threshold: float = 0.8, shard: int = SHARD
+) -> SplitOverlap:
     """All pairs of an evaluation and a training text whose sets of ``shingle``-word runs have Jaccard similarity >= ``threshold``, or are equal.
 
     No pair is missed: of a record's n runs, c = ceil(threshold x n) must be
-    shared, so at least c - s of any n - s are; s = c // 2 of the most common are
-    left out. NULL ids or texts take no part; texts of fewer words
-    match equal texts only. Repeated rows stay rows of their own. Empty tables
-    give empty results. Other columns are ignored, whatever their names.
+    shared, so at least m of its n - c + m rarest are, with m = ceil(c / 8).
+    Texts of one class (equal run sets) are matched by the alphabetically first
+    of them, so coverage does not depend on the order of rows. NULL ids or texts
+    take no part; texts of fewer words match equal texts only. Repeated rows stay
+    rows of their own. Empty tables give empty results. Other columns are ignored, whatever their names.
     """
     spark = evaluation.sparkSession
     kind = evaluation.schema[id_col].dataType.simpleString()
 
     def prepared(df: DataFrame, name: str) -> DataFrame:
         own = picked(df, id=id_col, text=text_col).withColumn("id", F.col("id").cast(kind)).where("id is not null and text is not null")
-        return written(own.mapInArrow(_words(shingle), f"id {kind}, cls binary, words array<bigint>"), name)
+        return written(own.mapInArrow(_classes(shingle), f"id {kind}, cls binary, text string"), name)
 
     ev, tr = prepared(evaluation, "evaluation"), prepared(training, "training")
     # one text per class: copies are scanned and matched once
-    ev_texts, tr_texts = (written(d.groupBy("cls").agg(F.first("words").alias("words")), n) for d, n in ((ev, "evaluation-texts"), (tr, "training-texts")))
+    ev_texts, tr_texts = (d.where("text is not null").groupBy("cls").agg(F.min("text").alias("text")) for d in (ev, tr))
+    ev_texts = written(ev_texts, "evaluation-texts")
+    words = "cls binary, words array<int>"
+    tr_words = written(tr_texts.mapInArrow(_word_lists, words), "training-words")
 
-    runs = ev_texts.select("cls", "words").mapInArrow(_passages(shingle), "cls binary, n int, passage bigint, w array<bigint>")
+    runs = written(ev_texts.mapInArrow(_passages(shingle), "cls binary, n int, passage bigint, at int"), "passages")
     held = runs.groupBy("passage").agg(F.count("*").alias("held"))
     rarest = Window.partitionBy("cls").orderBy("held", "passage")
     shared = F.ceil(F.col("n") * threshold - 1e-9)
-    left_out = F.floor(shared / 2)
-    chosen = runs.join(held, "passage").withColumn("_k", F.row_number().over(rarest)).where(F.col("_k") <= F.col("n") - left_out)
+    need = F.ceil(shared / MET_PART)
+    chosen = runs.join(held, "passage").withColumn("_k", F.row_number().over(rarest)).where(F.col("_k") <= F.col("n") - shared + need)
     # one row a record; its size is that of its text
-    listed = chosen.groupBy("cls").agg(F.first(shared - left_out).cast("int").alias("need"), F.collect_list(F.struct("passage", "w")).alias("p"))
-    chosen = written(listed.select("cls", "need", F.size("p").alias("size"), F.col("p.passage").alias("passage"), F.flatten("p.w").alias("w")), "passages")
+    places = chosen.groupBy("cls").agg(F.first(need).cast("int").alias("need"), F.collect_list("at").alias("at"))
+    size = runs.select("cls", "n").distinct().agg(F.sum(F.col("n") - shared + need)).first()[0] or 0
+    shards = max(1, math.ceil(size / (shard * 0.8)))  # shares by hash differ a little
+    dealt = places.join(ev_texts.mapInArrow(_word_lists, words), "cls").withColumn("shard", F.pmod(F.xxhash64("cls"), F.lit(shards)))
+    dealt = written(dealt.repartitionByRange("shard").sortWithinPartitions("shard"), "shards")  # so that a read skips the others
 
-    shards = max(1, math.ceil((chosen.agg(F.sum("size")).first()[0] or 0) / (shard * 0.8)))  # shares by hash differ a little
-    candidates = None
+    candidates = []
     for s in range(shards):
-        own = chosen.where(F.pmod(F.xxhash64("cls"), F.lit(shards)) == s).toArrow().combine_chunks()
-        flat = lambda c: own.column(c).combine_chunks().flatten().to_numpy()
-        owners = np.repeat(np.arange(own.num_rows), own.column("size").to_numpy())
-        value = spark.sparkContext.broadcast((own.column("need").to_numpy(), owners, flat("passage"), flat("w").reshape(-1, shingle)))
-        number = hash((value._jbroadcast.id(), s))
-        classes = pa.array(own.column("cls").to_pylist(), pa.binary())
-        found = tr_texts.select("cls", "words").mapInArrow(_scan(value, number, classes), "eval_cls binary, train_cls binary")
-        candidates = found if candidates is None else candidates.unionByName(found)
-    candidates = candidates.where("eval_cls <> train_cls")
-
-    a, b = ev_texts.toDF("eval_cls", "eval_words"), tr_texts.toDF("train_cls", "train_words")
-    sized = candidates.join(a, "eval_cls").join(b, "train_cls").select("eval_cls", "train_cls", "eval_words", "train_words")
-    matches = written(sized.mapInArrow(_verify(shingle, threshold), "eval_cls binary, train_cls binary, similarity double, coverage double"), "matches")
+        value = spark.sparkContext.broadcast(dealt.where(F.col("shard") == s).drop("shard").toArrow())
+        found = tr_words.mapInArrow(_scan(value, f"{value._jbroadcast.id()}-{s}", shingle), "eval_cls binary, train_cls binary")
+        candidates.append(written(found.where("eval_cls <> train_cls"), "candidates"))
+        value.destroy()
+    found = candidates[0]
+    for more in candidates[1:]:
+        found = found.unionByName(more)
+
+    def of(rows: DataFrame, key: str, text: str) -> DataFrame:
+        own = rows.join(found.select(F.col(key).alias("cls")).distinct(), "cls", "left_semi").groupBy("cls").agg(F.min("text").alias(text))
+        return own.withColumnRenamed("cls", key)
+
+    near = found.join(of(tr.where("text is not null"), "train_cls", "train_text"), "train_cls").join(of(ev_texts, "eval_cls", "eval_text"), "eval_cls")
+    near = near.select("eval_cls", "train_cls", "eval_text", "train_text").sortWithinPartitions("eval_cls")  # one automaton a record
+    result = "eval_cls binary, train_cls binary, similarity double, coverage double"
+    matches = written(near.mapInArrow(_verify(shingle, threshold), result), "matches")
     return SplitOverlap(ev.select("id", "cls"), tr.select("id", "cls"), matches)
