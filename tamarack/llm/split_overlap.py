@@ -29,7 +29,7 @@ from tamarack.runtime import picked, written
 #: Passages in one shard (a longer record is one of its own), so also what the driver and a broadcast hold at a time.
 SHARD = 400_000
 #: Of the passages a near-same text must share, the part that has to be met among the rarer ones.
-MET_PART = 8
+MET_PART = 3
 
 
 def _classes(k: int):
@@ -111,8 +111,11 @@ class _Shard:
         met = {p for _, p in self.automaton.iter(tuple(words.view(np.uint32).tolist()))}
         if not met:
             return np.empty(0, np.int64)
-        records, counts = np.unique(np.concatenate([self.holders[p] for p in met]), return_counts=True)
-        return records[counts >= self.needs[records]]
+        held = np.concatenate([self.holders[p] for p in met])
+        if len(held) < len(self.needs) // 8:  # few matches: no work on all records of the shard
+            records, counts = np.unique(held, return_counts=True)
+            return records[counts >= self.needs[records]]
+        return np.flatnonzero(np.bincount(held, minlength=len(self.needs)) >= self.needs)
 
 
 _kept: dict[str, _Shard] = {}  # a worker keeps its last shard
@@ -231,7 +234,7 @@ def split_overlap(
     """All pairs of an evaluation and a training text whose sets of ``shingle``-word runs have Jaccard similarity >= ``threshold``, or are equal.
 
     No pair is missed: of a record's n runs, c = ceil(threshold x n) must be
-    shared, so at least m of its n - c + m rarest are, with m = ceil(c / 8).
+    shared, so at least m of its n - c + m rarest are, with m = ceil(c / 3).
     Texts of one class (equal run sets) are matched by the alphabetically first
     of them, so coverage does not depend on the order of rows. NULL ids or texts
     take no part; texts of fewer words match equal texts only. Repeated rows stay
