@@ -96,22 +96,42 @@ class _Shard:
     """Automaton over the passages of some records, with the records that hold each."""
 
     def __init__(self, needs: np.ndarray, places: list[np.ndarray], words: list[np.ndarray], k: int):
+        import ahocorasick
+
         self.needs = needs
-        runs, owners = [], []
-        for record, (at, w) in enumerate(zip(places, words)):
-            runs += map(tuple, w.view(np.uint32)[at[:, None] + np.arange(k)].tolist())
-            owners += [record] * len(at)
-        self.automaton, same = _automaton(runs)
-        self.holders = [np.array([owners[i] for i in group], np.int32) for group in same]
+        before = np.cumsum([0, *map(len, words)])[:-1]
+        flat = np.concatenate([*words, np.empty(0, np.int32)]).view(np.uint32)
+        at = np.concatenate([np.empty(0, np.int64), *(p + b for p, b in zip(places, before))]).astype(np.int64)
+        runs = flat[at[:, None] + np.arange(k)]
+        with np.errstate(over="ignore"):
+            keys = np.zeros(len(at), np.uint64)
+            for column in runs.T:
+                keys = sh.mix(keys + column + np.uint64(1))
+        owners = np.repeat(np.arange(len(places)), [len(p) for p in places]).astype(np.int32)
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        self.first = np.flatnonzero(np.concatenate([np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]]))
+        self.count = np.diff(np.append(self.first, len(keys)))
+        self.owners = owners[order]  # those of passage p begin at first[p]
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+        for number, run in enumerate(map(tuple, runs[order[self.first]].tolist())):
+            self.automaton.add_word(run, number)
+        if len(self.first):
+            self.automaton.make_automaton()
+
+    def holders(self, passages: np.ndarray) -> np.ndarray:
+        count = self.count[passages]
+        ends = np.cumsum(count)
+        return self.owners[np.repeat(self.first[passages] - (ends - count), count) + np.arange(ends[-1])]
 
     def candidates(self, words: np.ndarray) -> np.ndarray:
         """Records of which the words contain as many passages as needed."""
-        if not len(words) or not self.holders:
+        if not len(words) or not len(self.first):
             return np.empty(0, np.int64)
         met = {p for _, p in self.automaton.iter(tuple(words.view(np.uint32).tolist()))}
         if not met:
             return np.empty(0, np.int64)
-        held = np.concatenate([self.holders[p] for p in met])
+        held = self.holders(np.fromiter(met, np.int64, len(met)))
         if len(held) < len(self.needs) // 8:  # few matches: no work on all records of the shard
             records, counts = np.unique(held, return_counts=True)
             return records[counts >= self.needs[records]]
