@@ -109,7 +109,7 @@ def _sample(spark: SparkSession, d: str) -> quota_sample.QuotaSample:
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Targets with fewer postings than needed."""
-    return _sample(spark, d).plan.where("short").select("target_id")
+    return _sample(spark, d).report.where("short").select("target_id")
 
 
 def p5_sample(spark: SparkSession, d: str) -> DataFrame:
@@ -151,15 +151,26 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_mixture(spark: SparkSession, d: str) -> DataFrame:
-    """How often each document is used."""
+    """Every use of a document, in the order of its source's passes."""
     return _mixture(spark, d).documents.withColumnRenamed("id", "doc_id")
 
 
+def p7_repeats(spark: SparkSession, d: str) -> DataFrame:
+    """How often each document is used."""
+    return _mixture(spark, d).repeats.withColumnRenamed("id", "doc_id")
+
+
 def p7_report(spark: SparkSession, d: str) -> DataFrame:
     """Target and actual share of each source."""
     return _mixture(spark, d).report
 
 
+def p7_tempered(spark: SparkSession, d: str) -> DataFrame:
+    """The shares without target weights: natural ones, tempered to the repeat limits."""
+    free = table(spark, d, "mix_targets").withColumn("target_weight", F.lit(None).cast("double"))
+    return mixing.mix_sources(table(spark, d, "documents"), "doc_id", "text", "source", free).report
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of documents that look the same but differ in their characters."""
     return look_alike.look_alike_pairs(table(spark, d, "documents"), "doc_id", "text").toDF("doc_id_a", "doc_id_b")
@@ -171,7 +182,7 @@ def p8_forms(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_by_source, p2_found, p2_groups, p3_found, p3_by_split, p3_coverage, p3_classes, p4_found, p4_report, p5_found, p5_report, p5_sample, p6_found, p6_packed, p6_fill, p7_found, p7_report, p7_mixture, p8_found, p8_forms)}
+    return {f.__name__: f for f in (p1_found, p1_by_source, p2_found, p2_groups, p3_found, p3_by_split, p3_coverage, p3_classes, p4_found, p4_report, p5_found, p5_report, p5_sample, p6_found, p6_packed, p6_fill, p7_found, p7_report, p7_mixture, p7_repeats, p7_tempered, p8_found, p8_forms)}
 
 
 _FIRST = "f AS (SELECT posting_id, lower(trim(arg_min(coalesce(bucket, chr(0)), seq))) AS bucket, arg_min(matched_keyword, seq) AS kw FROM postings WHERE posting_id IS NOT NULL GROUP BY posting_id)"

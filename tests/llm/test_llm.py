@@ -1,10 +1,12 @@
 """Every operator against brute force, SQL or a round trip, and its defined results at the edges."""
 
 import itertools
+import math
 import random
 import re
 import unicodedata
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -231,10 +233,23 @@ def test_quota_sample(spark):
     assert report == {1: (900, 50, False), 2: (3, 3, True), 3: (47, 30, False), 4: (0, 0, True)}
     assert {x.target_id: x["count"] for x in r.sample.groupBy("target_id").count().collect()} == {1: 50, 2: 3, 3: 30}
     assert r.sample.select("id").distinct().count() == 83
+    # short is measured on the sample: without it, what is left out counts as lacking
+    fewer = quota_sample.QuotaSample(r.sample.where("target_id <> 3"), r.plan).report.where("target_id = 3").first()
+    assert fewer.drawn == 0 and fewer.share_gap == pytest.approx(0.3)
     for a, b in ((rows.limit(0), targets), (rows, targets.limit(0))):
         assert quota_sample.quota_sample(a, b, ["kind"]).sample.count() == 0
 
 
+def test_both_margins_shape_the_sample(spark):
+    rows = spark.range(20_000).select("id", F.when(F.col("id") % 4 > 0, "a").otherwise("b").alias("kind"), F.when(F.col("id") % 10 > 0, "x").otherwise("y").alias("word"))
+    both = [(1, "s", "a", None, 0.5, 1), (2, "s", "b", None, 0.5, 1), (3, "t", None, "x", 0.5, 1), (4, "t", None, "y", 0.5, 1)]
+    targets = spark.createDataFrame(both, "target_id int, target_set string, kind string, word string, target_share double, min_rows int")
+    r = quota_sample.quota_sample(rows, targets, ["kind", "word"], fraction=0.05)
+    drawn = r.sample.where("target_set = 's'")
+    assert drawn.count() == 1000 and drawn.where("kind = 'b'").count() == 500
+    assert 400 < drawn.where("word = 'y'").count() < 600  # a tenth of the rows, raked to half
+
+
 def test_quota_sample_draws_rows_with_an_open_null_category(spark):
     rows = spark.range(300).select("id", F.when(F.col("id") < 30, "a").when(F.col("id") < 290, "b").alias("kind"), F.when(F.col("id") % 3 > 0, "k").alias("word"))
     targets = spark.createDataFrame([(1, "s", "a", None, 0.5, 30), (2, "s", "b", None, 0.5, 1), (3, "t", "a", "k", 1.0, 20)], "target_id int, target_set string, kind string, word string, target_share double, min_rows int")
@@ -271,15 +286,17 @@ def best(sizes, capacity):
 
 def test_dominance_keeps_the_best_packing():
     rng = random.Random(5)
-    for _ in range(150):
+    for k in range(400):
         capacity = rng.randint(10, 40)
-        sizes = [rng.randint(max(1, capacity // 5), capacity) for _ in range(rng.randint(1, 9))]
+        sizes = [rng.randint(1 if k % 2 else max(1, capacity // 5), capacity) for _ in range(rng.randint(1, 9))]
         left = packing._Sizes(sizes)
         fixed = packing.reduce_by_dominance(left, capacity)
         rest = [s for s, items in left.items.items() for _ in items]
         assert all(sum(sizes[i] for i in c) <= capacity for c in fixed)
         assert len(fixed) + (best(rest, capacity) if rest else 0) == best(sizes, capacity)
-        place = packing.pack(sizes, capacity)
+        place, certain = packing.pack(sizes, capacity)
+        assert sum(certain) == sum(map(len, fixed))
+        assert packing.lower_bound(np.bincount(sizes, minlength=capacity + 1), capacity) <= best(sizes, capacity)
         assert all(sum(s for s, p in zip(sizes, place) if p == c) <= capacity for c in set(place))
 
 
@@ -297,11 +314,15 @@ def test_pack(spark):
         full[r.container] = full.get(r.container, 0) + r.tokens
     assert max(full.values()) <= 10
     assert packing.pack_tokens(sized.limit(0), limits).count() == 0
+    hot = spark.range(4000).select(F.lit(None).cast("int").alias("id"), F.lit(3).cast("long").alias("tokens"))
+    blocks = packing.pack_tokens(hot, limits, block=500).groupBy(F.shiftright("container", 32)).count().collect()
+    assert sum(r["count"] for r in blocks) == 4000 and max(r["count"] for r in blocks) < 700
 
 
 def test_fill(spark, data):
     fill = packing.containers(registry._packed(spark, data)).collect()
-    assert len(fill) == 3 and all(r.fill > 0.9 for r in fill)
+    assert len(fill) == 3 and all(r.fill > 0.9 and r.lower_bound <= r.containers <= 1.02 * r.lower_bound + 1 for r in fill)
+    assert all(r.fixed > 0 for r in fill)
 
 
 def test_temper():
@@ -314,20 +335,63 @@ def test_temper():
     assert max(p * 1110 / (4 * sizes[s]) for s, p in shares.items()) == pytest.approx(1, abs=1e-6) and 0 < x < 1
 
 
+def test_what_is_lacking_is_filled_along_the_tempered_path():
+    sizes, weights, total = {"a": 600.0, "b": 300.0, "c": 20.0}, {"a": 0.3, "b": 0.6, "c": 0.1}, 1000.0
+    given, x = mixing.budgets(sizes, weights, {"a": 1, "b": 3, "c": 2}, total)
+    assert x == 1.0 and given == pytest.approx({"a": 320, "b": 640, "c": 40})
+    given, x = mixing.budgets(sizes, weights, {"a": 1, "b": 2.1, "c": 2}, total)  # b has room for 30 of the 40 it would get
+    assert 0 < x < 1 and given == pytest.approx({"a": 330, "b": 630, "c": 40}, abs=1e-3)
+    given, x = mixing.budgets(sizes, weights, {"a": 1, "b": 2, "c": 2}, total)
+    assert given == pytest.approx({"a": 360, "b": 600, "c": 40})
+    given, _ = mixing.budgets(sizes, weights, {"a": 0, "b": 1, "c": 1}, total)
+    assert given == {"a": 0, "b": 300, "c": 20}
+
+
 def test_mix(spark):
     rows = [(i, "mot " * 50, "a" if i < 60 else "b" if i < 90 else "c" if i < 92 else None) for i in range(100)] + [(200, None, "a"), (201, "", "b")]
     df = spark.createDataFrame(rows, "id int, text string, source string").withColumn("tokens", F.lit("x"))
     targets = spark.createDataFrame([("a", 0.3, 1), ("b", 0.6, 3), ("c", 0.05, 2), ("d", 0.05, 9)], "source string, target_weight double, max_repeats int")
     m = mixing.mix_sources(df, "id", "text", "source", targets)
-    assert {r.source: r.short for r in m.report.collect()} == {"a": False, "b": False, "c": True, "d": True}
-    uses = {s: sum(r.repeats for r in m.documents.collect() if r.source == s and r.tokens) for s in "abc"}
-    assert uses == {"a": 30, "b": 60, "c": 4} and m.documents.count() == 94
+    report = {r.source: r for r in m.report.collect()}
+    assert {s: r.short for s, r in report.items()} == {"a": False, "b": False, "c": True, "d": True}
+    uses = [r for r in m.documents.collect() if r.tokens]
+    count = {s: sum(r.source == s for r in uses) for s in "abc"}
+    assert count == {"a": 32, "b": 64, "c": 4}
+    for s in "abc":
+        assert report[s].given_tokens == sum(r.tokens for r in uses if r.source == s)
+        assert report[s].actual_share == pytest.approx(count[s] / 100)
+    repeats = {r.id: r.repeats for r in m.repeats.collect() if r.tokens}
+    assert max(repeats[i] for i in range(60) if i in repeats) == 1 and {repeats[i] for i in range(60, 90)} == {2, 3} and repeats[90] == repeats[91] == 2
+    # each pass is a permutation: positions 1 .. n, another order of blocks in each
+    every = m.documents.where("source = 'b'").collect()
+    orders = {}
+    for p in {r["pass"] for r in every}:
+        own = sorted((r for r in every if r["pass"] == p), key=lambda r: r.position)
+        assert [r.position for r in own] == list(range(1, len(own) + 1)) and [r.block for r in own] == sorted(r.block for r in own)
+        orders[p] = [r.id for r in own]
+    assert sorted(orders[1]) == sorted(orders[2]) == [*range(60, 90), 201] and orders[1] != orders[2]
     free = mixing.mix_sources(df, "id", "text", "source", targets.withColumns({"target_weight": F.lit(None).cast("double"), "max_repeats": F.lit(2)}))
-    assert not [r for r in free.report.where("source <> 'd'").collect() if r.short]
+    assert not [r for r in free.report.where("source <> 'd'").collect() if r.short and r.share_exponent < 1e-9]
     assert mixing.mix_sources(df.limit(0), "id", "text", "source", targets).documents.count() == 0
     assert mixing.mix_sources(df, "id", "text", "source", targets.limit(0)).documents.count() == 0
 
 
+def test_mix_keeps_repeated_rows(spark):
+    rows = [(1, "mot " * 10, "a"), (1, "mot " * 5, "a"), (1, "mot " * 5, "a"), (None, "mot", "a")]
+    df = spark.createDataFrame(rows, "id int, text string, source string")
+    targets = spark.createDataFrame([("a", 1.0, 2)], "source string, target_weight double, max_repeats int")
+    m = mixing.mix_sources(df, "id", "text", "source", targets, total=1e9)
+    whole = 2 * sum(count_tokens(t) for _, t, _ in rows)
+    assert m.documents.agg(F.sum("tokens")).first()[0] == m.report.first().given_tokens == whole and m.documents.count() == 8
+
+
+def test_tempered_entropy(spark, data):
+    free = spark.createDataFrame([("france_travail", None, 50), ("agregio", None, 50), ("jobtilia", None, 50)], "source string, target_weight double, max_repeats int")
+    r = mixing.mix_sources(table(spark, data, "documents"), "doc_id", "text", "source", free, target_entropy=1.05).report.collect()
+    assert -sum(x.target_weight * math.log(x.target_weight) for x in r) == pytest.approx(1.05, abs=1e-6)
+    assert -sum(x.actual_share * math.log(x.actual_share) for x in r) == pytest.approx(1.05, abs=0.03)
+
+
 def test_tokens(spark):
     df = spark.createDataFrame([(1, "bonjour le monde"), (2, ""), (3, None), (4, "x" * 150_000)], "id int, text string")
     got = {r.id: r.tokens for r in with_tokens(df, ["id"], "text").collect()}
