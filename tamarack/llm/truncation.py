@@ -1,22 +1,27 @@
 """Texts cut off by field limits or mid-transfer (problem 1).
 
 Two Arrow passes: one measures each text and its end, one counts words, word
-pairs and line beginnings of the whole corpus. The vocabulary trie is a table of
-its nodes (proper prefixes with the occurrences below them), so that it grows
-with the cluster. Evidence of a cut:
+pairs and line beginnings of the whole corpus. The vocabulary trie has two
+levels: the letters of words and the words of phrases. It is a table of its
+nodes (proper prefixes with the occurrences below them), so that it grows with
+the cluster. Evidence of a cut, in this order of weight:
 
 length      the source names a longer text than it delivered
-limit       many different texts of the source have exactly this length, most of
-            them without an end
-mark        the text ends in a mark of omission; a bare "..." counts near the
-            length at which the source's other marks stand
+limit       many different texts of the source have exactly this length, or
+            a mark of omission at this length, most of them without an end
 prefix      the last token is no word of the corpus but a proper prefix of some,
             or an entity stops before its name is whole
-unfinished  the last word, or last two, go on everywhere else, and lines that
-            begin like the last one do not usually close a text
-
-The last does not count where several sources deliver the same end and a
-share of the texts with its last two words stops there.
+unfinished  the last word, or last two, are a proper prefix of phrases: they go
+            on everywhere else, and lines that begin like the last one do not
+            usually close a text
+mark        the text ends in a mark of omission that says so
+
+Length evidence is checked by the other kinds: a text of exactly a source's
+limit is whole if the source names full lengths and this one is reached, or if
+it ends as texts that are not at the limit do. "unfinished" does not count where
+several sources deliver the same end and a share of the texts with its last two
+words stops there. Counts are judged by shares with their margin of error, so
+evidence needs the same certainty in a small corpus as in a large one.
 """
 
 from __future__ import annotations
@@ -27,6 +32,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +41,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tamarack.llm import _shingles as sh
-from tamarack.runtime import picked, small_side, written
+from tamarack.runtime import broadcast_if_small, picked, written
 
 # Marks of omission that say so, and the bare one, which whole texts use as well.
 MARK = re.compile(r"\s*(?:[\[(]\s*(?:\.{3}|…)\s*[\])]|(?:\.{3}|…)?\s*[\[(]?\s*(?:lire la suite|voir la suite|suite sur le site|read more|see more|more on the site)\s*[\])]?)\s*\Z", re.I)
@@ -46,22 +52,29 @@ _TOKEN = re.compile(r"[^\W_]+|[.!?…)\n]")
 _WORD = re.compile(r"[^\W_]+")
 #: An entity, and the beginning of one at the end.
 _ENTITY, _HALF_ENTITY = re.compile(r"&[A-Za-z]{2,8};"), re.compile(r"&([A-Za-z]{1,7})\Z")
+#: A word, or a sign by itself.
+_SIGN = re.compile(r"[^\W_]+|[^\w\s]")
+#: A number within a code at the end is no number of the text.
+_CODE = re.compile(r"[^\W_]-[^\W_]*\d[^\W_]*\Z")
 _HEAD = re.compile(r"\n[ \t\xa0]*\n")
 
 #: Longer than this by description_chars is missing text, not another way to count.
 TOLERANCE = 8
-#: A length is a limit if so many different texts have it, and this many times what lengths around it have, and this share of the source.
-LIMIT_TEXTS, LIMIT_TIMES, LIMIT_SHARE = 5, 10, 0.003
+#: A length is a limit if this many different texts have it (fewer can agree by chance), if they are so many deviations and
+#: so many times above what lengths around it have, and this share of the source.
+LIMIT_TEXTS, LIMIT_SIGMAS, LIMIT_TIMES, LIMIT_SHARE = 3, 6, 10, 0.003
 #: Marks stand within so many characters below a limit (a word's length, for cuts between words).
 MARK_WIDTH = 24
-#: Occurrences, in all and as a share of the texts, below which a word or pair is no evidence.
-PREFIX_LEAST, PREFIX_SHARE = 3, 0.001
-#: A token is no word if it stands this many times less often than words that begin with it: typing errors are not vocabulary.
-PREFIX_RARER = 500
-WORD_LEAST, WORD_SHARE, WORD_CLOSES = 50, 0.01, 0.002
-PAIR_LEAST, PAIR_SHARE, PAIR_CLOSES = 20, 0.002, 0.002
+#: A token is no word if it stands this many times less often than words that begin with it (typing errors are not
+#: vocabulary), and those stand at least so often.
+PREFIX_RARER, PREFIX_LEAST = 500, 20
+#: Share of its occurrences at which a word or pair may close a sentence or line and still count as going on. Three
+#: more closings than counted are assumed: as many can be missed with 95 % certainty.
+WORD_CLOSES, PAIR_CLOSES, UNSEEN = 0.005, 0.015, 3
 #: Share of the occurrences of the last two words at which texts stop there by themselves: a cut hits a given occurrence far less often.
 END_SHARE = 0.01
+#: Share of the texts closed by lines of one beginning that end like this one, from which it is an end.
+CLOSING_SHARE = 0.05
 
 MEASURES = ("chars", "text_chars", "bytes", "text_bytes")
 
@@ -82,7 +95,22 @@ def _key(kind: int, text: str) -> int:
 
 def line_start(line: str) -> str:
     """First two tokens, numbers masked."""
-    return " ".join(["#" if w.isdigit() else w for w in _WORD.findall(line[:80].lower())[:2]])
+    return " ".join(["#" if m[0].isdigit() else m[0].lower() for m in islice(_WORD.finditer(line), 2)])
+
+
+def line_end(line: str) -> str:
+    """Last three tokens or signs; numbers and codes, and names, masked."""
+    return " ".join("#" if any(map(str.isdigit, w)) else "X" if w[0].isupper() else w for w in _SIGN.findall(line)[-3:])
+
+
+def last_words(text: str, n: int) -> list[str]:
+    """The last n words without accents; reads only as much of the end as it takes."""
+    width = 16 * n
+    while True:
+        found = _WORD.findall(sh.fold(_plain(text[-width:])))
+        if len(found) > n or width >= len(text):
+            return found[-n:]
+        width *= 4
 
 
 def _plain(text: str) -> str:
@@ -110,6 +138,7 @@ def ending(text: str) -> dict:
     line = _plain(body.rsplit("\n", 1)[-1])
     words = _WORD.findall(line.lower())
     open_end = bool(body) and (body[-1].isalnum() or body[-1] in ",'’�(-")
+    goes = open_end and not _CODE.search(line)
     return {
         "chars": len(text),
         "text_chars": len(text) - head,
@@ -121,15 +150,17 @@ def ending(text: str) -> dict:
         "broken": stripped.endswith("�"),
         "entity": half_entity(stripped),
         "last": words[-1] if words and open_end and words[-1].isalpha() and body[-1].isalnum() else None,
-        "last_id": sh._ids[words[-1]] if words and open_end else 0,
-        "before_id": sh._ids[words[-2]] if len(words) > 1 and open_end else 0,
+        "last_id": sh._ids[words[-1]] if words and goes else 0,
+        "before_id": sh._ids[words[-2]] if len(words) > 1 and goes else 0,
+        "padded": len(stripped) < len(text),
         "line_key": _key(3, line_start(line)) if words else None,
         "same": _key(5, "".join(text.split())),
-        "end_key": _key(4, " ".join(_WORD.findall(sh.fold(_plain(body[-120:])))[-8:])),
+        "end_key": _key(4, " ".join(last_words(body, 8))),
+        "closing": _key(6, line_start(line) + "|" + line_end(line)),
     }
 
 
-_ENDING = "chars bigint, text_chars bigint, bytes bigint, text_bytes bigint, mark string, mark_at bigint, open_end boolean, broken boolean, entity boolean, last string, last_key bigint, pair_key bigint, line_key bigint, same bigint, end_key bigint"
+_ENDING = "chars bigint, text_chars bigint, bytes bigint, text_bytes bigint, mark string, mark_at bigint, open_end boolean, padded boolean, broken boolean, entity boolean, last string, last_key bigint, pair_key bigint, line_key bigint, same bigint, end_key bigint, closing bigint"
 
 
 def _endings(kinds: pa.Schema):
@@ -190,26 +221,26 @@ class Truncation:
     by_source: DataFrame
 
 
-def _close_to(length: Column):
-    return lambda v: F.abs(v - length) <= 3
-
-
 def _limits(rows: DataFrame) -> DataFrame:
     """(source, measure, value): lengths at which a source cuts."""
     texts = rows.dropDuplicates(["source", "same"])
-    each = texts.select("source", "open_end", F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("value")) for m in MEASURES])).alias("m")).select("source", "open_end", "m.*")
+    measured = F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("value")) for m in MEASURES])
+    each = texts.select("source", "open_end", F.explode(measured).alias("m")).select("source", "open_end", "m.*")
     counts = each.groupBy("source", "measure", "value").agg(F.count("*").alias("n"), F.count_if("open_end").alias("open"))
     own = Window.partitionBy("source", "measure")
     near = own.orderBy("value").rangeBetween(-25, 25)
-    around = (F.sum("n").over(near) - F.col("n")) / 50
-    found = counts.withColumns({"around": around, "all": F.sum("n").over(own)}).where((F.col("n") >= LIMIT_TEXTS) & (F.col("n") >= LIMIT_TIMES * F.col("around")) & (F.col("n") >= LIMIT_SHARE * F.col("all")) & (F.col("open") >= 0.5 * F.col("n")))
+    counts = counts.withColumns({"around": (F.sum("n").over(near) - F.col("n")) / 50, "all": F.sum("n").over(own)})
+    beyond = F.col("n") - F.col("around") >= LIMIT_SIGMAS * F.sqrt(F.col("around") + 0.1)
+    many = (F.col("n") >= LIMIT_TEXTS) & (F.col("n") >= LIMIT_TIMES * F.col("around")) & (F.col("n") >= LIMIT_SHARE * F.col("all"))
+    found = counts.where(beyond & many & (F.col("open") >= 0.5 * F.col("n")))
     # texts cut by one measure bunch in the others as well: the measure with most of them is the source's
-    best = found.groupBy("source", "measure").agg(F.sum("n").alias("cut"), F.collect_list("value").alias("values")).groupBy("source").agg(F.max_by(F.struct("measure", "values"), F.struct("cut", "measure")).alias("m"))
+    by_measure = found.groupBy("source", "measure").agg(F.sum("n").alias("cut"), F.collect_list("value").alias("values"))
+    best = by_measure.groupBy("source").agg(F.max_by(F.struct("measure", "values"), F.struct("cut", "measure")).alias("m"))
     return best.select("source", "m.measure", F.explode("m.values").alias("value"))
 
 
 def _mark_places(rows: DataFrame) -> DataFrame:
-    """(source, mark_to): where most of a source's marks stand, if they stand together."""
+    """(source, mark_to): the length below which most of a source's marks stand, if they stand together."""
     marked = rows.where("mark is not null").dropDuplicates(["source", "same"]).groupBy("source", "mark_at").agg(F.count("*").alias("n"))
     own = Window.partitionBy("source")
     near = own.orderBy("mark_at").rangeBetween(-MARK_WIDTH, 0)
@@ -218,6 +249,33 @@ def _mark_places(rows: DataFrame) -> DataFrame:
     return best.where((F.col("together") >= LIMIT_TEXTS) & (F.col("together") >= 0.3 * F.col("all"))).select("source", F.col("mark_at").alias("mark_to"))
 
 
+def _at_limit() -> Column:
+    """The text has a limit's length. In bytes, a character that did not fit is dropped (at most two bytes are free
+    then, three for the rare ones of four bytes) or left as a replacement mark of three."""
+    at = F.lit(False)
+    for m in MEASURES:
+        exact = F.array_contains(f"at_{m}", F.col(m))
+        if "bytes" in m:
+            dropped = F.exists(f"at_{m}", lambda v: (v - F.col(m)).between(1, 2)) & F.col("open_end")
+            marked = F.exists(f"at_{m}", lambda v: F.abs(v - F.col(m)) <= 3) & F.col("broken")
+            exact = exact | dropped | marked
+        at = at | F.coalesce(exact, F.lit(False))
+    return at
+
+
+def _stated_by(rows: DataFrame) -> DataFrame:
+    """(source, counts_by): the measure that a source's stated lengths agree with most often."""
+    agree = rows.where("stated is not null").groupBy("source").agg(*[F.count_if(F.col("stated") == F.col(m)).alias(m) for m in MEASURES])
+    best = F.array_max(F.array(*[F.struct(F.col(m).alias("n"), F.lit(m).alias("measure")) for m in MEASURES]))
+    return agree.select("source", best.alias("b")).where("b.n > 0").select("source", F.col("b.measure").alias("counts_by"))
+
+
+def _with_source(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """Joined by source, NULL being one as well. ``table`` has a row a source."""
+    named = broadcast_if_small(table.withColumnRenamed("source", "_source"))
+    return rows.join(named, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
+
+
 def truncated(df: DataFrame, id_col: str, source_col: str, text_col: str, stated_col: str) -> Truncation:
     """Ids whose text was cut, and how many per source.
 
@@ -227,63 +285,86 @@ def truncated(df: DataFrame, id_col: str, source_col: str, text_col: str, stated
     for it. NULL sources are one source. Repeated rows of an id count once and
     pool their evidence. An empty table gives empty results. Other columns are ignored, whatever their names.
     """
-    docs = picked(df, id=id_col, source=source_col, stated=stated_col, text=text_col).withColumn("stated", F.col("stated").cast("bigint")).where("id is not null and text is not null")
+    docs = picked(df, id=id_col, source=source_col, stated=stated_col, text=text_col)
+    docs = docs.withColumn("stated", F.col("stated").cast("bigint")).where("id is not null and text is not null")
     id_type = docs.schema["id"].dataType.simpleString()
     names = [c.split() for c in _ENDING.split(", ")]
     kinds = pa.schema([(n, {"bigint": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}[t]) for n, t in names])
     rows = written(docs.mapInArrow(_endings(kinds), f"id {id_type}, source string, stated bigint, {_ENDING}"), "endings")
-    counts = written(docs.select("text").mapInArrow(_counts, "kind int, key bigint, word string, n bigint, closed bigint").groupBy("kind", "key").agg(F.max("word").alias("word"), F.sum("n").alias("n"), F.sum("closed").alias("closed")), "counts")
-    texts = rows.count()
+    counts = docs.select("text").mapInArrow(_counts, "kind int, key bigint, word string, n bigint, closed bigint")
+    counts = counts.groupBy("kind", "key").agg(F.max("word").alias("word"), F.sum("n").alias("n"), F.sum("closed").alias("closed"))
+    counts = written(counts, "counts")
 
-    # The trie: every proper prefix of a word is a node, n its occurrences below. Only nodes that end a text are kept.
-    ends = rows.where("last is not null").select("last").distinct()
+    # The trie of letters: every proper prefix of a word is a node, n its occurrences below. Nodes that end no text go first.
+    ends = written(rows.where("last is not null").select("last").distinct(), "last")
     word = counts.where("kind = 1")
-    nodes = word.where("length(word) > 1").select("n", F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda i: F.substring("word", F.lit(1), i))).alias("last"))
-    below = nodes.groupBy("last").agg(F.sum("n").alias("below"))
+    prefixes_of = F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda i: F.substring("word", F.lit(1), i))
+    nodes = word.where("length(word) > 1").select("n", F.explode(prefixes_of).alias("last"))
+    below = nodes.join(broadcast_if_small(ends), "last", "left_semi").groupBy("last").agg(F.sum("n").alias("below"))
     known = word.select(F.col("word").alias("last"), F.col("n").alias("seen"))
-    prefixes = ends.join(below, "last").join(known, "last", "left").where((F.col("below") >= max(PREFIX_LEAST, PREFIX_SHARE * texts)) & (F.coalesce("seen", F.lit(0)) * PREFIX_RARER < F.col("below"))).select("last", F.lit(True).alias("prefix"))
+    rare = (F.col("below") >= PREFIX_LEAST) & (F.coalesce("seen", F.lit(0)) * PREFIX_RARER < F.col("below"))
+    prefixes = written(below.join(known, "last", "left").where(rare).select("last", F.lit(True).alias("prefix")), "prefixes")
 
+    # The trie of words: nodes of one and two words, with how often they close a sentence or line.
     wanted = rows.select(F.explode(F.array("last_key", "pair_key", "line_key")).alias("key")).where("key is not null").distinct()
-    of = counts.select("kind", "key", "n", "closed").join(wanted, "key")
-    goes_on = of.where(((F.col("kind") == 1) & (F.col("n") >= max(WORD_LEAST, WORD_SHARE * texts)) & (F.col("closed") < WORD_CLOSES * F.col("n"))) | ((F.col("kind") == 2) & (F.col("n") >= max(PAIR_LEAST, PAIR_SHARE * texts)) & (F.col("closed") < PAIR_CLOSES * F.col("n"))))
-    goes_on = written(goes_on.select("key", F.lit(True).alias("on")), "goes-on")
+    of = written(counts.select("kind", "key", "n", "closed").join(wanted, "key"), "wanted")
+    closes = F.col("closed") + UNSEEN
+    inner = ((F.col("kind") == 1) & (closes < WORD_CLOSES * F.col("n"))) | ((F.col("kind") == 2) & (closes < PAIR_CLOSES * F.col("n")))
+    goes_on = written(of.where(inner).select("key", F.lit(True).alias("on")), "goes-on")
+    seen_words = written(of.where("kind = 1").select(F.col("key").alias("last_key"), F.lit(True).alias("word_known")), "words")
     closers = written(of.where("kind = 3 and closed >= 3 and closed >= 0.5 * n").select(F.col("key").alias("line_key"), F.lit(True).alias("closer")), "closers")
-    prefixes = written(prefixes, "prefixes")
-    go_rows, close_rows = goes_on.count(), closers.count()
 
-    # at most 1 / LIMIT_SHARE lengths a source and measure
     # an end that several sources deliver alike is the text's own, if texts stop there in a share of the places that have its last two words
     stops = rows.where("open_end and pair_key is not null").groupBy("pair_key").agg(F.count("*").alias("stops"))
-    usual = stops.join(of.where("kind = 2").select(F.col("key").alias("pair_key"), "n"), "pair_key", "left").where(F.col("stops") >= END_SHARE * (F.coalesce("n", F.lit(0)) + F.col("stops"))).select("pair_key")
+    places = of.where("kind = 2").select(F.col("key").alias("pair_key"), "n")
+    often = F.col("stops") >= END_SHARE * (F.coalesce("n", F.lit(0)) + F.col("stops"))
+    usual = stops.join(places, "pair_key", "left").where(often).select("pair_key")
     alike = rows.where("open_end").groupBy("end_key", "pair_key").agg(F.min("source").alias("a"), F.max("source").alias("b")).where("a <> b")
     shared_ends = written(alike.join(usual, "pair_key").select("end_key", F.lit(True).alias("own_end")).distinct(), "ends")
-    limits = written(_limits(rows).groupBy("source").agg(*[F.collect_list(F.when(F.col("measure") == m, F.col("value"))).alias(f"at_{m}") for m in MEASURES]), "limits")
-    marks = written(_mark_places(rows), "marks")
-    limits, marks = small_side(limits, limits.count(), 4096), small_side(marks, marks.count())
-    r = rows.join(limits.withColumnRenamed("source", "_s1"), F.col("source").eqNullSafe(F.col("_s1")), "left").join(marks.withColumnRenamed("source", "_s2"), F.col("source").eqNullSafe(F.col("_s2")), "left")
-    r = r.join(small_side(prefixes, prefixes.count()), "last", "left")
-    r = r.join(small_side(goes_on.toDF("last_key", "word_on"), go_rows), "last_key", "left").join(small_side(goes_on.toDF("pair_key", "pair_on"), go_rows), "pair_key", "left").join(small_side(closers, close_rows), "line_key", "left").join(small_side(shared_ends, shared_ends.count()), "end_key", "left")
+
+    # at most 1 / LIMIT_SHARE lengths a source and measure
+    lists = [F.collect_list(F.when(F.col("measure") == m, F.col("value"))).alias(f"at_{m}") for m in MEASURES]
+    limits = written(_limits(rows).groupBy("source").agg(*lists), "limits")
+    r = _with_source(_with_source(rows, limits), written(_mark_places(rows), "marks"))
+    r = _with_source(r, written(_stated_by(rows), "stated")).withColumn("at_limit", _at_limit())
+    stands = F.coalesce(F.col("mark_at").between(F.col("mark_to") - MARK_WIDTH, F.col("mark_to")), F.lit(False))
+    r = r.withColumn("at_mark", F.col("mark").isNotNull() & stands)
+    states = F.coalesce(*[F.when(F.col("counts_by") == m, F.col(m)) for m in MEASURES])
+    r = r.withColumn("beyond", F.col("stated") - states)
+    r = written(r.drop(*[f"at_{m}" for m in MEASURES], "mark_to", "counts_by", *MEASURES[:1], MEASURES[2]), "placed")
+
+    # sources that name full lengths: most of their texts at the limit are stated longer
+    full = r.where("at_limit and beyond is not null").groupBy("source").agg((F.count_if(F.col("beyond") > 0) >= 0.5 * F.count("*")).alias("full"))
+    # ends of texts that are not at a limit, as shares of the lines of their beginning
+    final = r.where("not at_limit and not at_mark and line_key is not null").groupBy("line_key", "closing").agg(F.count("*").alias("n"))
+    lines = final.groupBy("line_key").agg(F.sum("n").alias("all"))
+    closings = final.join(lines, "line_key").where(F.col("n") >= CLOSING_SHARE * F.col("all")).select("closing", F.lit(True).alias("ends_so")).distinct()
+    closings = written(closings.join(r.where("at_limit").select("closing").distinct(), "closing", "left_semi"), "closings")
+
+    r = _with_source(r, written(full, "full"))
+    r = r.join(broadcast_if_small(prefixes), "last", "left")
+    for key in ("last_key", "pair_key"):
+        r = r.join(broadcast_if_small(goes_on.toDF(key, f"{key}_on")), key, "left")
+    r = r.join(broadcast_if_small(closers), "line_key", "left").join(broadcast_if_small(shared_ends), "end_key", "left")
+    r = r.join(broadcast_if_small(closings), "closing", "left").join(broadcast_if_small(seen_words), "last_key", "left")
 
     yes: dict[str, Column] = {}
+    bare = F.col("mark").isNull()
     yes["length"] = F.col("stated") > F.greatest("text_chars", "text_bytes") + TOLERANCE
-    at = F.lit(False)
-    for m in MEASURES:
-        exact = F.array_contains(f"at_{m}", F.col(m))
-        if "bytes" in m:  # a character that did not fit is dropped, or left as a replacement mark
-            near = F.exists(f"at_{m}", _close_to(F.col(m))) & (F.col("broken") | F.col("open_end"))
-            exact = exact | near
-        at = at | F.coalesce(exact, F.lit(False))
-    yes["limit"] = at
-    stands = F.col("mark_at").between(F.col("mark_to") - MARK_WIDTH, F.col("mark_to"))
-    yes["mark"] = (F.col("mark") == "said") | ((F.col("mark") == "dots") & stands)
-    yes["prefix"] = (F.coalesce("prefix", F.lit(False)) | F.col("entity")) & F.col("mark").isNull()
-    yes["unfinished"] = F.col("mark").isNull() & F.col("open_end") & (F.col("word_on") | F.col("pair_on")) & F.col("closer").isNull() & F.col("own_end").isNull()
-    evidence = F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(k)) for k, c in yes.items()]))
-    judged = r.select("id", "source", evidence.alias("evidence"))
+    yes["prefix"] = (F.coalesce("prefix", F.lit(False)) | F.col("entity")) & bare
+    yes["unfinished"] = bare & F.col("open_end") & (F.col("last_key_on") | F.col("pair_key_on")) & F.col("closer").isNull() & F.col("own_end").isNull()
+    yes = {k: F.coalesce(c, F.lit(False)) for k, c in yes.items()}
+    reached = F.coalesce(F.col("full") & (F.col("beyond") <= 0), F.lit(False))
+    on = F.coalesce(F.col("last_key_on"), F.lit(False)) | F.coalesce(F.col("pair_key_on"), F.lit(False))
+    ended = F.col("closer").isNotNull() & F.col("ends_so").isNotNull() & ~F.col("padded") & ~on & (F.col("last").isNull() | F.col("word_known").isNotNull())
+    ended = ended & ~F.coalesce(F.col("full") & (F.col("beyond") > 0), F.lit(False))
+    yes["limit"] = (F.col("at_limit") & ~reached & ~(ended & ~yes["prefix"])) | F.col("at_mark")
+    yes["mark"] = F.coalesce(F.col("mark") == "said", F.lit(False))
     # one row per id; sources are few, so a hot one is combined before the shuffle
-    per_id = judged.groupBy("id").agg(F.min("source").alias("source"), *[F.max(F.array_contains("evidence", k)).alias(k) for k in yes])
-    any_of = F.greatest(*[F.col(k) for k in yes])
-    per_id = written(per_id.withColumn("cut", any_of), "judged")
-    cut = per_id.where("cut").select("id", "source", F.array_compact(F.array(*[F.when(F.col(k), F.lit(k)) for k in yes])).alias("evidence"))
-    by_source = per_id.groupBy("source").agg(F.count("*").alias("texts"), F.count_if("cut").alias("cut"), *[F.count_if(k).alias(f"cut_by_{k}") for k in yes]).withColumn("share", F.col("cut") / F.col("texts"))
-    return Truncation(cut, by_source)
+    flags = r.select("id", "source", *[c.alias(k) for k, c in yes.items()])
+    per_id = flags.groupBy("id").agg(F.min("source").alias("source"), *[F.max(k).alias(k) for k in yes])
+    per_id = written(per_id.withColumn("cut", F.greatest(*[F.col(k) for k in yes])), "judged")
+    evidence = F.array_compact(F.array(*[F.when(F.col(k), F.lit(k)) for k in yes]))
+    cut = per_id.where("cut").select("id", "source", evidence.alias("evidence"))
+    by_source = per_id.groupBy("source").agg(F.count("*").alias("texts"), F.count_if("cut").alias("cut"), *[F.count_if(k).alias(f"cut_by_{k}") for k in yes])
+    return Truncation(cut, by_source.withColumn("share", F.col("cut") / F.col("texts")))
