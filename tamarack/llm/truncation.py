@@ -179,6 +179,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(kind, key, word, n, closed) of each batch: words and pairs with how many close a sentence or line;
     line beginnings with how many open a text's last line. A text's own end is not counted among them."""
     for batch in batches:
+        parts: list[np.ndarray] = []
         ids: list[int] = []
         names: dict[int, str] = {}
         lines, finals = Counter(), Counter()
@@ -193,11 +194,14 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     names[sh._ids[w]] = w
             ids += [sh._ids[w] if w[0].isalnum() else 1 for w in found]
             ids.append(0)  # no pair reaches over the end of a text
+            if len(ids) > 50_000:  # numbers of Python take five times the room
+                parts.append(np.array(ids, np.int64))
+                ids = []
             starts = [k for line in body.split("\n") if (k := line_start(line))]
             if starts:
                 finals[starts.pop()] += 1
                 lines.update(starts)
-        a = np.array(ids, np.int64)
+        a = np.concatenate([*parts, np.array(ids, np.int64)])
         word = (a != 0) & (a != 1)
         nxt = np.append(a[1:], 0)
         out = []
