@@ -205,6 +205,34 @@ def _near_sql(sides: str) -> str:
     return f"""l AS (SELECT a.cls AS x, b.cls AS y FROM e a JOIN e b ON a.g = b.g AND a.cls {sides} b.cls GROUP BY a.cls, b.cls HAVING count(*) >= 0.5 * (any_value(a.n) + any_value(b.n) - count(*)))"""
 
 
+def _forms_sql() -> str:
+    """f: the form of each document, character by character: what is not seen is dropped, what decomposes is looked up, what is left is composed."""
+    import unicodedata
+
+    kept = ("super", "sub", "fraction", "circle", "vertical", "small")
+    entries = []
+    for point in range(0x80, 0x110000):
+        char, how = chr(point), unicodedata.decomposition(chr(point))
+        kind = how[1:].split(">")[0] if how.startswith("<") else ""
+        folded = unicodedata.normalize("NFKD", char)
+        seen = unicodedata.category(char)
+        if unicodedata.category(char) == "Zs":
+            entries.append((point, " "))
+        elif kind and kind not in kept and folded[0] != " " and (seen[0] not in "PSM" or seen == "So" or kind in ("wide", "narrow", "noBreak")):
+            entries.append((point, "".join(look_alike.LOOK_ALIKES.get(c, c) for c in unicodedata.normalize("NFC", folded))))
+        elif char in look_alike.LOOK_ALIKES:
+            entries.append((point, look_alike.LOOK_ALIKES[char]))
+        elif how and not kind and folded[0] in look_alike.LOOK_ALIKES and point < 0x2000:
+            entries.append((point, look_alike.LOOK_ALIKES[folded[0]] + folded[1:]))
+    values = ", ".join(f"({p}, {look_alike._quoted(t)})" for p, t in entries)
+    return f"""m(point, shown) AS (VALUES {values}),
+        d AS (SELECT doc_id, text, nfc_normalize(regexp_replace(text, '{look_alike.INVISIBLE}', '', 'g')) AS t FROM documents),
+        x AS (SELECT DISTINCT unnest(regexp_extract_all(t, '[^\\x00-\\x7F]')) AS c FROM d WHERE t IS NOT NULL),
+        y AS (SELECT c, coalesce(shown, c) AS shown FROM x LEFT JOIN m ON ord(c) = point WHERE coalesce(shown, c) <> c),
+        u AS (SELECT map_from_entries(list((c, shown))) AS of FROM y),
+        f AS (SELECT doc_id, text, nfc_normalize(array_to_string(list_transform(regexp_extract_all(t, '(?s).'), lambda c: coalesce(u.of[c], c)), '')) AS form FROM d, u)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p2_found": f"""
@@ -221,8 +249,8 @@ def oracle_sql() -> dict[str, str]:
             have AS (SELECT t.target_id, any_value(t.min_rows) AS least, any_value(t.target_share) AS share, count(f.posting_id) AS available
                      FROM sample_targets t LEFT JOIN f ON f.bucket = lower(trim(t.bucket)) AND (t.matched_keyword IS NULL OR f.kw = t.matched_keyword) GROUP BY t.target_id)
             SELECT target_id FROM have, n WHERE available < greatest(least, share * 0.1 * n)""",
-        "p8_forms": f"SELECT doc_id, {look_alike.consistent_form_sql('text')} AS form FROM documents",
+        "p8_forms": f"WITH {_forms_sql()} SELECT doc_id, form FROM f",
         "p8_found": f"""
-            WITH f AS (SELECT doc_id, text, {look_alike.consistent_form_sql('text')} AS form FROM documents)
+            WITH {_forms_sql()}
             SELECT least(a.doc_id, b.doc_id) AS doc_id_a, greatest(a.doc_id, b.doc_id) AS doc_id_b FROM f a JOIN f b ON a.form = b.form AND a.doc_id < b.doc_id AND a.text <> b.text""",
     }

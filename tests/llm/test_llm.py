@@ -400,8 +400,9 @@ def test_tokens(spark):
 
 ALIKE = [
     ("café ﬁn", "café fin"), ("ｆｕｌｌ　ｗｉｄｔｈ", "full width"), ("a​b­c﻿", "abc"), ("x y z w", "x y z w"), ("сора", "copa"), ("Ο Α", "O A"), ("е́", "é"), ("ё", "ë"), ("ﬃ", "ffi"),
+    ("𝐂𝐃𝐈", "CDI"), ("Ⅳ", "IV"), ("ｶﾞ", "ガ"), ("mi‑temps", "mi-temps"), ("㎏", "kg"), ("ℓ", "l"), ("ſ", "s"), ("Ꭺ", "A"), ("µ", "μ"), ("𝟏", "1"), ("ĳ", "ij"),
 ]
-DIFFERENT = [("²", "2"), ("½", "1/2"), ("É", "é"), ("e", "é"), ("Été", "été"), ("a1", "a2"), ("a\nb", "a b"), ("–", "-"), ("œ", "oe")]
+DIFFERENT = [("²", "2"), ("½", "1/2"), ("É", "é"), ("e", "é"), ("Été", "été"), ("a1", "a2"), ("a\nb", "a b"), ("–", "-"), ("œ", "oe"), ("①", "1"), ("ₐ", "a"), ("ª", "a"), ("´", "'"), ("…", "...")]
 
 
 def test_forms(spark):
