@@ -3,14 +3,16 @@
 A multi-pattern automaton over the folded names and aliases finds embedded
 mentions; the longest that do not overlap count. Values without a mention, or
 whose mention is only a part of a longer form that the value misspells, go to
-token-set similarity. Matching depends on the value alone, so there is no
-shuffle: every task keeps what it has matched already.
+token-set similarity. Its candidates come from an index of letter pairs, so a
+value is compared only with forms it can resemble. Matching depends on the value
+alone, so there is no shuffle: every task keeps what it has matched already.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator, Sequence
 
 import ahocorasick
@@ -20,15 +22,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tamarack.llm._shingles import fold
-from tamarack.runtime import picked
+from tamarack.runtime import BROADCAST_BYTES, picked
 
 UNMATCHED = "unmatched"
 
-#: Entries a reference list may have; it is sent to every task.
-MAX_ENTRIES = 100_000
-
-#: Similarity from which a misspelt value counts as an entry.
-THRESHOLD = 0.75
+#: Similarity from which a misspelt value counts as an entry, and from which a form counts that stands among other words.
+THRESHOLD, AMONG_OTHERS = 0.75, 0.85
+#: Closeness of two words that may be one, and letters of the shortest form sought among other words.
+SAME_WORD, LONG = 0.7, 8
 
 #: Letters of the shortest form that may be misspelt: between shorter ones, one letter is all the difference.
 SHORTEST = 5
@@ -37,7 +38,6 @@ SHORTEST = 5
 DIGITS_FOR_LETTERS = str.maketrans("01345", "oieas")
 
 _TOKEN = re.compile(r"[^\W_]+")
-_ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789"
 
 
 def tokens(value: str) -> list[str]:
@@ -71,17 +71,38 @@ def closeness(a: str, b: str, least: float) -> float:
     return s if (s := 1 - d / longest) >= least else 0.0
 
 
-def token_set_similarity(value: Sequence[str], form: Sequence[str], least: float) -> float:
-    """The better of: all letters in order, spaces aside; the tokens in any order, each to its closest partner."""
-    best = closeness("".join(value), "".join(form), least)
-    if len(value) == len(form) > 1:
-        left, total, size = list(value), 0.0, sum(max(len(t) for t in pair) for pair in zip(sorted(value, key=len), sorted(form, key=len)))
-        for t in sorted(form, key=len, reverse=True):
-            partner = max(left, key=lambda v: closeness(v, t, 0.3))
-            total += closeness(partner, t, 0.3) * max(len(t), len(partner))
-            left.remove(partner)
-        best = max(best, s if (s := min(1.0, total / size)) >= least else 0.0)
-    return best
+class Index:
+    """Strings by their pairs of neighbouring letters."""
+
+    def __init__(self, strings: Sequence[str]):
+        self.strings, self.lengths = list(strings), np.array([len(s) for s in strings], np.int64)
+        found: dict[str, list[int]] = {}
+        for i, s in enumerate(self.strings):
+            for pair in self._pairs(s):
+                found.setdefault(pair, []).append(i)
+        self.having = {pair: np.array(own) for pair, own in found.items()}
+
+    @staticmethod
+    def _pairs(s: str) -> set[str]:
+        s = f" {s} "
+        return {s[i : i + 2] for i in range(len(s) - 1)}
+
+    def near(self, value: str, least: float) -> list[tuple[int, float]]:
+        """(number, closeness) of the strings at least so close.
+
+        None is missed: an edit breaks at most three pairs of the longer string,
+        and a repeated pair counts once, which is allowed for.
+        """
+        pairs = self._pairs(value)
+        lists = [self.having[p] for p in pairs if p in self.having]
+        if not lists:
+            return []
+        numbers, shared = np.unique(np.concatenate(lists), return_counts=True)
+        longest = np.maximum(self.lengths[numbers], len(value))
+        repeated = len(value) + 1 - len(pairs)
+        may = shared >= np.maximum(1, longest + 1 - repeated - 3 * np.floor((1 - least) * longest + 1e-9))
+        scored = ((int(i), closeness(value, self.strings[i], least)) for i in numbers[may])
+        return [(i, c) for i, c in scored if c > 0]
 
 
 class Matcher:
@@ -104,8 +125,12 @@ class Matcher:
             if len(f) == 1 and len(f[0]) < SHORTEST:  # C.D.I.
                 self.automaton.add_word(f" {' '.join(f[0])} ", i)
         self.automaton.make_automaton()
-        self.compact = ["".join(f) for f, _ in self.forms]
-        self.letters = np.array([[c.count(x) for x in _ALPHABET] for c in self.compact], np.int64).reshape(len(self.forms), len(_ALPHABET))
+        self.compact = Index(["".join(f) for f, _ in self.forms])
+        self.words = Index(list(dict.fromkeys(t for f, _ in self.forms for t in f)))
+        self.with_word: dict[str, list[int]] = {}
+        for i, (f, _) in enumerate(self.forms):
+            for t in dict.fromkeys(f):
+                self.with_word.setdefault(t, []).append(i)
 
     def mentions(self, value: Sequence[str]) -> list[int]:
         """Forms mentioned in the value: the longest first, none overlapping."""
@@ -118,23 +143,48 @@ class Matcher:
                 taken[max(0, start + 1) : end] = [True] * (end - max(0, start + 1))
         return kept
 
-    def similar(self, value: Sequence[str], among: np.ndarray | None = None) -> tuple[float, int]:
-        """Best similarity and its form (the first of equals); (0, -1) if all are below the threshold."""
-        compact = "".join(value)
-        mine = np.array([compact.count(x) for x in _ALPHABET], np.int64)
-        # edits are at least the letters that differ, so this drops only what can't reach the threshold
-        differ = np.maximum(np.maximum(self.letters - mine, 0).sum(axis=1), np.maximum(mine - self.letters, 0).sum(axis=1))
-        longest = np.maximum(np.array([len(c) for c in self.compact]), len(compact))
-        may = differ <= (1 - self.threshold) * longest + 1e-9
-        if among is not None:
-            may &= among
-        best = (0.0, -1)
-        for i in np.flatnonzero(may):
-            if len(self.compact[i]) >= SHORTEST:
-                s = token_set_similarity(value, self.forms[i][0], self.threshold)
-                if s > best[0]:
-                    best = (s, int(i))
-        return best
+    def token_sets(self, value: Sequence[str]) -> dict[int, float]:
+        """Similarity of each form that shares words with the value: letters of the form's words met, each word by its
+        closest partner, of the letters of the larger of both; or of the form's own, if it is long and stands among other words."""
+        partners: dict[int, list[tuple[float, int, str]]] = {}
+        for k, word in enumerate(value):
+            near = [(word, 1.0)] if word in self.with_word else []
+            if len(word) >= SHORTEST:
+                near += [(self.words.strings[i], c) for i, c in self.words.near(word, SAME_WORD) if c < 1]
+            for t, c in near:
+                for i in self.with_word[t]:
+                    partners.setdefault(i, []).append((c, k, t))
+        size, found = sum(map(len, value)), {}
+        for i, pairs in partners.items():
+            open_words = Counter(self.forms[i][0])
+            used: set[int] = set()
+            met = 0.0
+            for c, k, t in sorted(pairs, key=lambda p: (-p[0], -len(p[2]), p[1])):
+                if k not in used and open_words[t]:
+                    used.add(k)
+                    open_words[t] -= 1
+                    met += c * len(t)
+            own = int(self.compact.lengths[i])
+            similarity = met / max(own, size)
+            if similarity < self.threshold and own >= LONG and met / own >= AMONG_OTHERS:
+                similarity = self.threshold * met / own  # below any form that is the whole value
+            found[i] = similarity
+        return found
+
+    def similar(self, value: Sequence[str], around: set[str] | None = None) -> tuple[float, int]:
+        """Best similarity and its form (the longest of equals, then the first); (0, -1) if none is similar. With
+        ``around``, only forms that have all these words and more. All letters in order, spaces aside, count as well."""
+        scores = self.token_sets(value)
+        for i, c in self.compact.near("".join(value), self.threshold):
+            scores[i] = max(scores.get(i, 0.0), c)
+        least = self.threshold * AMONG_OTHERS
+        fit = [
+            (s, int(self.compact.lengths[i]), -i)
+            for i, s in scores.items()
+            if s >= least and self.compact.lengths[i] >= SHORTEST and (around is None or around < set(self.forms[i][0]))
+        ]
+        score, _, number = max(fit, default=(0.0, 0, 1))
+        return score, -number
 
     def code(self, value: str) -> tuple[str, str]:
         """(code, how): how is exact, mention, similar or none."""
@@ -153,9 +203,7 @@ class Matcher:
         kept = self.mentions(value)
         if kept:
             # "ocasional remote work" mentions "remote", but is a misspelt longer form around it
-            mentioned = set(self.forms[kept[0]][0])
-            longer = np.array([mentioned < set(f) for f, _ in self.forms])
-            score, i = self.similar(value, longer)
+            score, i = self.similar(value, set(self.forms[kept[0]][0]))
             return (self.forms[i][1], "similar") if i >= 0 else (self.forms[kept[0]][1], "mention")
         score, i = self.similar(value)
         return (self.forms[i][1], "similar") if i >= 0 else (UNMATCHED, "none")
@@ -168,19 +216,17 @@ def canonical_codes(df: DataFrame, id_col: str, values: dict[str, str], referenc
     has ``field``, ``code`` and ``form``. ``code`` is ``unmatched`` where the
     value means no entry. Of several mentions the longest wins, then the first;
     of equally similar forms, the first listed. Repeated rows each get a result;
-    NULLs in ``reference`` are ignored; with an empty one all is unmatched.
+    NULLs in ``reference`` are ignored; with an empty one all is unmatched. The list is
+    sent to every task: one above ``BROADCAST_BYTES`` is an error, never cut.
     """
-    listed = reference.select("field", "code", "form").where("field is not null and code is not null and form is not null")
-    rows = listed.limit(MAX_ENTRIES + 1).collect()
-    if len(rows) > MAX_ENTRIES:
-        raise ValueError(f"the reference list has more than {MAX_ENTRIES} entries")
-    if "ref_id" in reference.columns:
-        order = {(r.field, r.form): r.ref_id for r in reference.select("field", "form", "ref_id").collect()}
-        rows.sort(key=lambda r: (order.get((r.field, r.form)) is None, order.get((r.field, r.form))))
+    order = "ref_id" if "ref_id" in reference.columns else "form"
+    listed = picked(reference, field="field", code="code", form="form", _order=order).where("field is not null and code is not null and form is not null")
+    size = listed.agg(F.sum(F.octet_length("code") + F.octet_length("form") + 64)).first()[0] or 0
+    if size > BROADCAST_BYTES:
+        raise ValueError(f"the reference list takes {size} bytes, more than the {BROADCAST_BYTES} that may be sent to every task")
     entries: dict[str, list[tuple[str, str]]] = {field: [] for field in values}
-    for r in rows:
-        if r.field in entries:
-            entries[r.field].append((r.code, r.form))
+    for r in listed.where(F.col("field").isin(*values)).orderBy(F.col("_order").asc_nulls_last(), "form").collect():
+        entries[r.field].append((r.code, r.form))
     codes = {field: {c for c, _ in own} for field, own in entries.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

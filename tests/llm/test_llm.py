@@ -174,6 +174,23 @@ def test_canonical(spark):
     assert canonical.canonical_codes(df.limit(0), "id", {"contract": "prediction.c"}, ref).count() == 0
 
 
+def test_index_misses_no_close_string():
+    rng, letters = random.Random(4), "abcde"
+    strings = list({"".join(rng.choices(letters, k=rng.randint(1, 9))) for _ in range(300)})
+    index = canonical.Index(strings)
+    for _ in range(200):
+        value = "".join(rng.choices(letters, k=rng.randint(1, 9)))
+        for least in (0.7, 0.75):
+            want = {i for i, s in enumerate(strings) if canonical.closeness(value, s, least) > 0}
+            assert {i for i, _ in index.near(value, least)} == want
+
+
+def test_forms_among_other_words():
+    matcher = canonical.Matcher([("alternance", "Alternance"), ("cdi", "Contrat à durée indéterminée"), ("hybrid", "Télétravail partiel"), ("stage", "Stage")])
+    for value, code in (("poste en altrenance ouvert", "alternance"), ("contrat a duree indetermine poste ouvert", "cdi"), ("teletravaille partiel deux jours", "hybrid"), ("stade municipal", "unmatched"), ("à voir", "unmatched")):
+        assert matcher.code(value)[0] == code
+
+
 def test_edits():
     assert canonical.edits("abc", "acb", 3) == 1 and canonical.edits("", "abc", 3) == 3 and canonical.edits("abc", "abc", 0) == 0 and canonical.edits("kitten", "sitting", 9) == 3
 
