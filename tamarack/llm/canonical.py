@@ -131,6 +131,24 @@ class Matcher:
         for i, (f, _) in enumerate(self.forms):
             for t in dict.fromkeys(f):
                 self.with_word.setdefault(t, []).append(i)
+        self.partners: dict[str, list[tuple[str, float]]] = {}
+
+    def within_longer(self, number: int) -> bool:
+        """Whether another form has all words of this one and more."""
+        own = set(self.forms[number][0])
+        rarest = min((self.with_word[t] for t in own), key=len)
+        return any(own < set(self.forms[i][0]) for i in rarest)
+
+    def partners_of(self, word: str) -> list[tuple[str, float]]:
+        """Words of forms that this word may be."""
+        if word not in self.partners:
+            if len(self.partners) > 200_000:
+                self.partners.clear()
+            near = [(word, 1.0)] if word in self.with_word else []
+            if len(word) >= SHORTEST:
+                near += [(self.words.strings[i], c) for i, c in self.words.near(word, SAME_WORD) if c < 1]
+            self.partners[word] = near
+        return self.partners[word]
 
     def mentions(self, value: Sequence[str]) -> list[int]:
         """Forms mentioned in the value: the longest first, none overlapping."""
@@ -148,10 +166,7 @@ class Matcher:
         closest partner, of the letters of the larger of both; or of the form's own, if it is long and stands among other words."""
         partners: dict[int, list[tuple[float, int, str]]] = {}
         for k, word in enumerate(value):
-            near = [(word, 1.0)] if word in self.with_word else []
-            if len(word) >= SHORTEST:
-                near += [(self.words.strings[i], c) for i, c in self.words.near(word, SAME_WORD) if c < 1]
-            for t, c in near:
+            for t, c in self.partners_of(word):
                 for i in self.with_word[t]:
                     partners.setdefault(i, []).append((c, k, t))
         size, found = sum(map(len, value)), {}
@@ -203,7 +218,7 @@ class Matcher:
         kept = self.mentions(value)
         if kept:
             # "ocasional remote work" mentions "remote", but is a misspelt longer form around it
-            score, i = self.similar(value, set(self.forms[kept[0]][0]))
+            score, i = self.similar(value, set(self.forms[kept[0]][0])) if self.within_longer(kept[0]) else (0.0, -1)
             return (self.forms[i][1], "similar") if i >= 0 else (self.forms[kept[0]][1], "mention")
         score, i = self.similar(value)
         return (self.forms[i][1], "similar") if i >= 0 else (UNMATCHED, "none")
