@@ -23,8 +23,10 @@ def ingest_flags(records: DataFrame, id_col: str, order: list[str], minimum: int
     The id counts as seen before the length filter, so a short first copy hides later ones.
     """
     first = first_per_key(records, [id_col], *[F.col(c) for c in order]).withColumn("kept_length", F.coalesce(F.col("description_chars") >= minimum, F.lit(False)))
-    rank = F.row_number().over(Window.partitionBy("text_hash", "kept_length").orderBy(*order))
-    return first.withColumn("kept", F.col("kept_length") & (rank == 1))
+    # the first of each text is one id, found in a state of fixed size: a text repeated by many ids is never sorted
+    own = first.where("kept_length").groupBy("text_hash").agg(F.min_by(id_col, F.struct(*order, id_col)).alias(id_col))
+    kept = own.select(id_col, F.lit(True).alias("_kept"))
+    return first.join(kept, id_col, "left").withColumn("kept", F.coalesce("_kept", F.lit(False))).drop("_kept")
 
 
 def ingest_summary(flags: DataFrame) -> DataFrame:

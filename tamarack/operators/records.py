@@ -84,8 +84,25 @@ def to_contents(messages: Column) -> Column:
     return F.transform(rest, lambda m: F.struct(F.when(m["role"] == "assistant", "model").otherwise(m["role"]).alias("role"), F.array(F.struct(m["content"].alias("text"))).alias("parts")))
 
 
+def correction(error: str) -> str:
+    """What is said to a model whose answer was refused."""
+    return f"Your answer could not be used ({error}). Send the corrected object alone, without any other text."
+
+
 def retry_messages(messages: Column, answer: Column, error: Column) -> Column:
-    return F.concat(messages, F.array(message("assistant", answer), message("user", F.concat(F.lit("That was not valid: "), error, F.lit(". Answer with the JSON object only.")))))
+    """The conversation with the refused answer and :func:`correction`."""
+    before, after = correction("\0").split("\0")
+    said = message("user", F.concat(F.lit(before), error, F.lit(after)))
+    return F.concat(messages, F.array(message("assistant", answer), said))
+
+
+def form_values(body: Column) -> Column:
+    """Map of a submitted form body (a=b&c=d, encoded as browsers do): the first value of each name, blank ones left out."""
+    fields = F.filter(F.split(body, "&"), lambda p: p.rlike("^[^=]+=."))
+    decoded = F.transform(fields, lambda p: F.struct(*[F.try_url_decode(F.regexp_extract(p, "^([^=]+)=(.*)$", k)).alias(n) for k, n in ((1, "key"), (2, "value"))]))
+    known = F.filter(decoded, lambda p: p["key"].isNotNull())
+    names = F.transform(known, lambda p: p["key"])
+    return F.map_from_entries(F.filter(known, lambda p, i: F.array_position(names, p["key"]) == i + 1))
 
 
 def chat_example(raw_text: Column, prediction: Column, system: str = SYSTEM_PROMPT) -> Column:

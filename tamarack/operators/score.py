@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +43,52 @@ def assert_complete(gold: DataFrame, predicted: DataFrame, key: str = "posting_i
         raise ValueError(f"gold postings without a prediction, among them {missing}")
 
 
+def scored(gold: DataFrame, predicted: DataFrame, key: str = "posting_id", *, missing: str = "error") -> DataFrame:
+    """Every gold posting beside its prediction, with a verdict column per field.
+
+    ``gold`` has the key and a struct ``gold``, ``predicted`` the key, a struct
+    ``predicted`` and ``valid``; both one row a key. A gold posting without a
+    prediction is an error that names up to five; with ``missing="invalid"`` it
+    counts as an invalid answer. Predictions of other postings are ignored.
+    """
+    if missing == "error":
+        assert_complete(gold, predicted, key)
+    elif missing != "invalid":
+        raise ValueError(f"missing is {missing!r}, not error or invalid")
+    pairs = gold.join(predicted, key, "left")
+    return verdict_columns(pairs.withColumn("valid", F.coalesce("valid", F.lit(False))))
+
+
+def scored_models(gold: DataFrame, predicted: DataFrame, model: str, models: list[str], key: str = "posting_id", *, missing: str = "error") -> DataFrame:
+    """:func:`scored` for each of ``models``, named by the column ``model`` of ``predicted``: every model is asked for every posting."""
+    every = gold.withColumn(model, F.explode(F.array(*[F.lit(m) for m in models]).cast("array<string>")))
+    both = [key, model]
+    if missing == "error":
+        lacking = every.join(predicted.select(*both), both, "left_anti")
+        shown = [tuple(r) for r in lacking.select(*both).orderBy(*both).limit(5).collect()]
+        if shown:
+            raise ValueError(f"gold postings without a prediction, among them {shown}")
+    pairs = every.join(predicted, both, "left").withColumn("valid", F.coalesce("valid", F.lit(False)))
+    return verdict_columns(pairs)
+
+
+@dataclass
+class Scores:
+    #: One row: n_postings, json_validity_rate, exact_match_rate, macro_f1.
+    summary: DataFrame
+    #: One row per field: counts, precision, recall, f1.
+    fields: DataFrame
+
+    def text(self) -> str:
+        return report_text(self.summary.first().asDict(), [r.asDict() for r in self.fields.collect()])
+
+
+def score(gold: DataFrame, predicted: DataFrame, key: str = "posting_id", *, missing: str = "error") -> Scores:
+    """Joins, checks and scores predictions against gold records; see :func:`scored`."""
+    pairs = scored(gold, predicted, key, missing=missing)
+    return Scores(score_summary(pairs), field_scores(pairs))
+
+
 def verdict_columns(pairs: DataFrame, gold: str = "gold", predicted: str = "predicted") -> DataFrame:
     """``pairs`` (gold and predicted structs) with one verdict column per field, ``v_<field>``."""
     return pairs.withColumns({f"v_{f}": verdict(f, F.col(f"{gold}.{f}"), F.col(f"{predicted}.{f}")) for f in FIELDS})

@@ -81,10 +81,12 @@ def verdict(f: str) -> str:
 
 def pairs(per_labeller: bool = False) -> str:
     keys = "posting_id, labeller" if per_labeller else "posting_id"
+    models = "(SELECT DISTINCT labeller FROM predictions WHERE labeller IS NOT NULL)"
+    every = f"g CROSS JOIN {models} LEFT JOIN p USING (posting_id, labeller)" if per_labeller else "g LEFT JOIN p USING (posting_id)"
     return f"""
         g AS (SELECT posting_id, prediction AS gold FROM train QUALIFY row_number() OVER (PARTITION BY posting_id ORDER BY split_seq DESC) = 1),
         p AS (SELECT posting_id, labeller, valid, prediction AS pred FROM predictions QUALIFY row_number() OVER (PARTITION BY {keys} ORDER BY pred_id DESC) = 1),
-        s AS (SELECT posting_id, labeller, valid, {', '.join(f'{verdict(f)} AS v_{f}' for f in FIELDS)} FROM g JOIN p USING (posting_id)),
+        s AS (SELECT posting_id, labeller, valid, {', '.join(f'{verdict(f)} AS v_{f}' for f in FIELDS)} FROM {every}),
         l AS (SELECT posting_id, labeller, replace(name, 'v_', '') AS field, verdict FROM s UNPIVOT (verdict FOR name IN ({', '.join(f'v_{f}' for f in FIELDS)})))"""
 
 
@@ -109,9 +111,9 @@ POSTINGS = f"po AS (SELECT * REPLACE (coalesce(description_chars, length(raw_tex
 FLAGS = f"""{POSTINGS},
     first AS (SELECT *, description_chars >= 200 AS long FROM po QUALIFY row_number() OVER (PARTITION BY posting_id ORDER BY seq) = 1),
     flags AS (SELECT *, long AND row_number() OVER (PARTITION BY text_hash, long ORDER BY seq) = 1 AS kept FROM first)"""
-LABELLED = """first AS (SELECT posting_id, bucket, seq FROM postings QUALIFY row_number() OVER (PARTITION BY posting_id ORDER BY seq) = 1),
+LABELLED = f"""first AS (SELECT posting_id, bucket, seq, sha256({norm('raw_text')}) AS hash FROM postings QUALIFY row_number() OVER (PARTITION BY posting_id ORDER BY seq) = 1),
     latest AS (SELECT posting_id, valid, labeller FROM predictions QUALIFY row_number() OVER (PARTITION BY posting_id ORDER BY pred_id DESC) = 1),
-    lab AS (SELECT first.posting_id, bucket, seq, valid, coalesce(labeller, 'groq') LIKE 'groq%' AS base FROM first JOIN latest USING (posting_id))"""
+    lab AS (SELECT first.posting_id, bucket, seq, hash, valid, coalesce(labeller, 'groq') LIKE 'groq%' AS base FROM first JOIN latest USING (posting_id))"""
 
 
 def allocation(pool: str) -> str:
@@ -149,7 +151,7 @@ def oracle_sql() -> dict[str, str]:
         "ingest_summary": f"WITH {FLAGS} SELECT bucket, count(*) FILTER (long) AS kept_before_hash_dedupe, count(*) FILTER (NOT long) AS dropped_short, count(*) FILTER (long AND NOT kept) AS dropped_hash_dupes FROM flags GROUP BY bucket",
         "largest_remainder_allocation": f"WITH {LABELLED}, {allocation('lab')} SELECT bucket, n, alloc FROM alloc",
         "test_split": f"{SPLIT} SELECT posting_id, bucket, valid FROM lab WHERE posting_id IN (FROM picked)",
-        "train_split": f"{SPLIT} SELECT posting_id, bucket, valid FROM lab WHERE posting_id NOT IN (FROM picked) AND valid",
+        "train_split": f"{SPLIT} SELECT posting_id, bucket, valid FROM lab WHERE posting_id NOT IN (FROM picked) AND valid AND (hash IS NULL OR hash NOT IN (SELECT hash FROM lab WHERE hash IS NOT NULL AND posting_id IN (FROM picked)))",
         "holdout_split": "WITH u AS (SELECT DISTINCT posting_id FROM train) SELECT posting_id, row_number() OVER (ORDER BY sha256('42:' || posting_id), posting_id) <= floor((SELECT count(*) FROM u) * 0.05::DOUBLE) AS held_out FROM u",
         "leakage_overlap": f"""SELECT 'posting_id' AS kind, posting_id AS value FROM (SELECT posting_id FROM train INTERSECT SELECT posting_id FROM test)
             UNION ALL SELECT 'text_hash', h FROM (SELECT sha256({norm('raw_text')}) AS h FROM train INTERSECT SELECT sha256({norm('raw_text')}) FROM test)""",

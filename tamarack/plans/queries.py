@@ -17,6 +17,8 @@ from tamarack.streaming import labelling
 
 OWNERS = 5
 TEST_ROWS = 100
+#: Labellers compared at once.
+MODELS = 1000
 
 
 def _postings(s: SparkSession, d: str) -> DataFrame:
@@ -100,7 +102,9 @@ def test_split(s, d):
 
 
 def train_split(s, d):
-    return split.train_test(_labelled(s, d), "posting_id", "bucket", "seq", TEST_ROWS)[0].select("posting_id", "bucket", "valid")
+    """What is left for training, without the texts that a test posting has under another id."""
+    parts = split.train_test(_labelled(s, d), "posting_id", "bucket", "seq", TEST_ROWS, hash_col="text_hash", leakage="drop")
+    return parts[0].select("posting_id", "bucket", "valid")
 
 
 def holdout_split(s, d):
@@ -141,7 +145,10 @@ def _pairs(s, d, per_labeller: bool = False):
     gold = dedupe.last_per_key(table(s, d, "train").select("posting_id", "split_seq", F.col("prediction").alias("gold")), ["posting_id"], "split_seq")
     keys = ["posting_id", "labeller"] if per_labeller else ["posting_id"]
     pred = dedupe.last_per_key(table(s, d, "predictions").select("posting_id", "labeller", "pred_id", "valid", F.col("prediction").alias("predicted")), keys, "pred_id")
-    return score.verdict_columns(gold.join(pred, "posting_id"))
+    if per_labeller:  # labellers are few; each is asked for every gold posting
+        models = [r[0] for r in pred.select("labeller").where("labeller is not null").distinct().orderBy("labeller").limit(MODELS).collect()]
+        return score.scored_models(gold, pred, "labeller", models, missing="invalid")
+    return score.scored(gold, pred.drop("labeller"), missing="invalid")
 
 
 def field_verdicts(s, d):

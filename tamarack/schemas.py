@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+# The fields of the relations.
 POSTING = """STRUCT<title STRING, company STRING, contract_type STRING, duration_months BIGINT, start_date STRING,
  location STRING, remote_policy STRING, required_skills ARRAY<STRING>, nice_to_have_skills ARRAY<STRING>,
  years_experience_min BIGINT, education_level STRING, language_requirements ARRAY<STRING>,
@@ -16,6 +17,7 @@ RAW = f"posting_id STRING, source STRING, source_url STRING, bucket STRING, matc
 RESULT = f"prediction {POSTING}, valid BOOLEAN, error STRING, attempts INT, latency_seconds DOUBLE, labeller STRING"
 LABELLED = f"{RAW}, {RESULT}"
 
+# The fields of the schema, and their classes.
 FIELDS = ("title", "company", "contract_type", "duration_months", "start_date", "location", "remote_policy", "required_skills", "nice_to_have_skills", "years_experience_min", "education_level", "language_requirements", "salary_range", "alternance_rhythm")
 LIST_FIELDS = ("required_skills", "nice_to_have_skills", "language_requirements")
 FREE_TEXT_FIELDS = ("education_level", "salary_range", "start_date", "alternance_rhythm")
