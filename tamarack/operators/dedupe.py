@@ -54,6 +54,21 @@ def upsert(existing: DataFrame, new: DataFrame, key: str, order: str, candidates
     return merged.join(candidates.select(key, F.col(candidate_order).alias("position")), key)
 
 
+def neighbours(candidates: DataFrame, key: str, order: str) -> DataFrame:
+    """(key, order, previous, following): the keys before and after each candidate, NULL at the ends.
+
+    Ranges of ``order`` are ordered by themselves; only their ends are put side by side.
+    """
+    spread = candidates.select(key, order).repartitionByRange(F.col(order), F.col(key)).withColumn("_range", F.spark_partition_id())
+    own = Window.partitionBy("_range").orderBy(order, key)
+    inside = spread.select("*", F.lag(key).over(own).alias("_before"), F.lead(key).over(own).alias("_after"))
+    ends = spread.groupBy("_range").agg(F.min_by(key, F.struct(order, key)).alias("_first"), F.max_by(key, F.struct(order, key)).alias("_last"))
+    over = Window.partitionBy().orderBy("_range")  # one row a range
+    ends = ends.select("_range", F.lag("_last").over(over).alias("_left"), F.lead("_first").over(over).alias("_right"))
+    joined = inside.join(F.broadcast(ends), "_range")
+    return joined.select(key, order, F.coalesce("_before", "_left").alias("previous"), F.coalesce("_after", "_right").alias("following"))
+
+
 def first_open(candidates: DataFrame, done: DataFrame, key: str, order: str) -> DataFrame:
     """One row: the lowest order of a candidate that is not done, NULL if all are."""
     return candidates.join(done.select(key), key, "left_anti").agg(F.min(order).alias("first_open"))

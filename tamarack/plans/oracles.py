@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import html.entities
 
-from tamarack.plans.queries import _EXAMPLE, OWNERS, TEST_ROWS
+from tamarack.plans.queries import _EXAMPLE, OWNERS, PROVIDERS, TEST_ROWS
 from tamarack.operators.records import SYSTEM_PROMPT
 from tamarack.schemas import CONTRACT_SYNONYMS, FIELDS, FREE_TEXT_FIELDS, LIST_FIELDS, META_FIELDS, REMOTE_SYNONYMS, SENTINELS
 
@@ -176,5 +176,24 @@ def oracle_sql() -> dict[str, str]:
         "preview_text": "SELECT doc_id, substring(text, 1, 300) AS preview FROM documents",
         "chat_messages": f"WITH m AS (SELECT split_seq, unnest({MESSAGES}) AS m, generate_subscripts({MESSAGES}, 1) - 1 AS pos FROM train) SELECT split_seq, pos, m.role AS role, m.content AS content FROM m",
         "chat_contents": f"WITH m AS (SELECT split_seq, unnest({MESSAGES}) AS m, generate_subscripts({MESSAGES}, 1) - 2 AS pos FROM train) SELECT split_seq, pos, CASE m.role WHEN 'assistant' THEN 'model' ELSE m.role END AS role, m.content AS text FROM m WHERE pos >= 0",
-        "content_range_parse": "SELECT seq, 0 AS first_index, 149 AS last_index, description_chars AS max_results FROM postings WHERE description_chars IS NOT NULL UNION ALL SELECT seq, NULL, NULL, NULL FROM postings WHERE description_chars IS NULL",
+        "content_range_parse": """WITH k AS (SELECT seq, (seq % 7 * 150)::INT AS a, description_chars AS n, seq % 4 <> 2 AND description_chars IS NOT NULL AS known FROM postings)
+            SELECT seq, CASE WHEN known THEN a END AS first_index, CASE WHEN known THEN a + 149 END AS last_index, CASE WHEN known THEN n END AS max_results FROM k""",
+        "provider_parts": f"WITH t AS (SELECT posting_id, seq, {PART.replace(f'% {OWNERS}', f'% {len(PROVIDERS)}')} AS part FROM postings WHERE posting_id NOT IN (SELECT posting_id FROM predictions)) SELECT posting_id, seq, list_extract({PROVIDERS}, part::INT + 1) AS provider FROM t",
+        "search_scan": """SELECT plan_idx, (row_number() OVER (PARTITION BY plan_idx ORDER BY seq) - 1)::INT AS result_idx, k.bucket, keyword, posting_id AS id, title AS intitule
+            FROM keyword_plan k JOIN postings p ON p.matched_keyword = k.keyword QUALIFY row_number() OVER (PARTITION BY plan_idx ORDER BY seq) <= least(coalesce(cap, 1150), 1150)""",
+        "jsonl_round_trip": "SELECT pred_id, posting_id, prediction.title AS title, prediction.duration_months AS duration_months, array_to_string(prediction.required_skills, '|') AS skills, valid, error, attempts, latency_seconds, labeller FROM predictions",
+        "review_neighbours": "SELECT posting_id, split_seq, lag(posting_id) OVER w AS previous, lead(posting_id) OVER w AS following FROM test WINDOW w AS (ORDER BY split_seq, posting_id)",
+        "form_fields": f"""WITH t AS (SELECT split_seq, prediction AS p, list_filter(list_transform(list_filter(coalesce(prediction.required_skills, []), lambda x: x IS NOT NULL), lambda x: {strip('x')}), lambda x: x <> '') AS s FROM train)
+            SELECT split_seq, CASE WHEN {strip('p.title')} <> '' THEN p.title END AS title, CASE WHEN {strip('p.company')} <> '' THEN p.company END AS company, p.duration_months AS duration_months, CASE WHEN len(s) > 0 THEN array_to_string(s, '|') END AS skills FROM t""",
+        "retry_conversation": f"""WITH f AS (SELECT pred_id, posting_id, error FROM predictions WHERE NOT valid AND error IS NOT NULL)
+            SELECT pred_id, 0 AS pos, 'user' AS role, posting_id AS content FROM f UNION ALL SELECT pred_id, 1, 'assistant', '{{}}' FROM f
+            UNION ALL SELECT pred_id, 2, 'user', 'Your answer could not be used (' || error || '). Send the corrected object alone, without any other text.' FROM f""",
+        "chat_examples": "SELECT split_seq, CASE WHEN prediction IS NOT NULL THEN to_json(prediction)::VARCHAR END AS target FROM train",
+        "parse_llm_json": f"""WITH v AS (SELECT pred_id, prediction AS p, {scalar('prediction.title')} AS title, {scalar('prediction.contract_type')} AS c FROM predictions),
+            k AS (SELECT *, CASE WHEN p IS NULL THEN 'invalid_json' WHEN title IS NULL OR p.duration_months < 1 OR p.years_experience_min < 0 THEN 'schema_violation' END AS error_kind FROM v),
+            z AS (SELECT *, list_filter(list_transform(coalesce(p.required_skills, []), lambda x: {scalar('x')}), lambda x: x IS NOT NULL) AS s FROM k)
+            SELECT pred_id, error_kind, CASE WHEN error_kind IS NULL THEN title END AS title, CASE WHEN error_kind IS NULL THEN {contract('c')} END AS contract_type,
+                CASE WHEN error_kind IS NULL THEN p.duration_months END AS duration_months, CASE WHEN error_kind IS NULL AND len(s) > 0 THEN len(list_distinct(list_transform(s, lambda x: lower(x))))::INT ELSE NULL END AS skills FROM z""",
+        "labelling_run": f"""WITH t AS (SELECT posting_id, {scalar("split_part(coalesce(raw_text, ''), chr(10), 1)")} AS title FROM postings WHERE posting_id NOT IN (SELECT posting_id FROM predictions))
+            SELECT posting_id, title IS NOT NULL AS valid, CASE WHEN title IS NULL THEN 3 ELSE 1 END AS attempts, title FROM t""",
     }

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,12 +13,14 @@ from tamarack.functions import normalize as N
 from tamarack.functions import text as T
 from tamarack.functions.parse import parse_posting
 from tamarack.operators import dedupe, partition, records, score, split, stats
-from tamarack.runtime import table
-from tamarack.schemas import FIELDS, OFFERS
+from tamarack.runtime import kept, shared_folder, table
+from tamarack.schemas import FIELDS, OFFERS, RESULT
+from tamarack.sources import jsonl, paged
 from tamarack.streaming import labelling
 
 OWNERS = 5
 TEST_ROWS = 100
+PROVIDERS = ["north", "south", "east", "west"]
 #: Labellers compared at once.
 MODELS = 1000
 
@@ -87,6 +91,53 @@ def ingest_summary(s, d):
     return dedupe.ingest_summary(dedupe.ingest_flags(_postings(s, d).select("posting_id", "bucket", "seq", "description_chars", "text_hash"), "posting_id", ["seq"]))
 
 
+def provider_parts(s, d):
+    """The provider that owns each posting not labelled yet."""
+    todo = partition.remaining(table(s, d, "postings").select("posting_id", "seq"), table(s, d, "predictions"), "posting_id")
+    parts = [partition.owned(todo, "posting_id", PROVIDERS, p).withColumn("provider", F.lit(p)) for p in PROVIDERS]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def search_scan(s, d):
+    """The plan's queries against the postings as a paged service: pages of 150, at most 1,150 rows or the cap of each."""
+    paged.register(s)
+    plan = [list(r) for r in table(s, d, "keyword_plan").select("plan_idx", "bucket", "keyword", "cap").orderBy("plan_idx").limit(10_000).collect()]
+    options = {"transport": "tamarack.sources.paged:ParquetTransport", "path": f"{d}/postings.parquet", "plan": json.dumps(plan), "interval_seconds": "0"}
+    return s.read.format("paged_search").options(**options).load().select("plan_idx", "result_idx", "bucket", "keyword", "id", "intitule")
+
+
+def jsonl_round_trip(s, d):
+    """Predictions written as JSON Lines with explicit nulls and read back by their schema."""
+    rows = table(s, d, "predictions").select("pred_id", "posting_id", "prediction", "valid", "error", "attempts", "latency_seconds", "labeller")
+    path = f"{shared_folder(s)}/jsonl-{uuid.uuid4().hex}"
+    jsonl.write_jsonl(rows, path)
+    kept(s, path)
+    read = jsonl.read_jsonl(s, path, f"pred_id BIGINT, posting_id STRING, {RESULT}")
+    return read.select("pred_id", "posting_id", "prediction.title", "prediction.duration_months", F.array_join("prediction.required_skills", "|").alias("skills"), "valid", "error", "attempts", "latency_seconds", "labeller")
+
+
+def review_neighbours(s, d):
+    """The test postings before and after each one."""
+    rows = table(s, d, "test").select("posting_id", "split_seq")
+    return dedupe.neighbours(rows, "posting_id", "split_seq")
+
+
+def form_fields(s, d):
+    """Labels sent as form bodies and read back: blank is NULL, numbers and lists are parsed."""
+    names = ("title", "company", "duration_months", "required_skills")
+    texts = [F.coalesce(F.array_join(f"prediction.{n}", ", ") if n == "required_skills" else F.col(f"prediction.{n}").cast("string"), F.lit("")) for n in names]
+    body = F.array_join(F.array(*[F.concat(F.lit(f"{n}="), F.url_encode(t)) for n, t in zip(names, texts)]), "&")
+    form = records.form_payload(records.form_values(body))
+    return table(s, d, "train").select("split_seq", form.alias("p")).select("split_seq", "p.title", "p.company", "p.duration_months", F.array_join("p.required_skills", "|").alias("skills"))
+
+
+def retry_conversation(s, d):
+    """The conversation of each failed prediction, with what was wrong."""
+    failed = table(s, d, "predictions").where("not valid and error is not null")
+    m = records.retry_messages(F.array(records.message("user", F.col("posting_id"))), F.lit("{}"), F.col("error"))
+    return failed.select("pred_id", F.posexplode(m).alias("pos", "m")).select("pred_id", "pos", "m.role", "m.content")
+
+
 def _labelled(s, d):
     """One row per posting: its latest prediction beside the posting's first row."""
     first = dedupe.first_per_key(_postings(s, d).select("posting_id", "bucket", "seq", "text_hash"), ["posting_id"], F.col("seq"))
@@ -232,14 +283,20 @@ def chat_examples(s, d):
 
 
 def parse_llm_json(s, d):
-    """Every prediction written as a fenced answer, and read back."""
-    answer = F.concat(F.lit("```json\n"), F.to_json("prediction", {"ignoreNullFields": "false"}), F.lit("\n```"))
+    """Every prediction written as a fenced answer, on lines of its own or on one, and read back."""
+    line = F.when(F.col("pred_id") % 2 == 0, "\n").otherwise("")
+    answer = F.concat(F.lit("```json"), line, F.to_json("prediction", {"ignoreNullFields": "false"}), line, F.lit("```"))
     p = table(s, d, "predictions").select("pred_id", parse_posting(F.coalesce(answer, F.lit("no answer"))).alias("p"))
     return p.select("pred_id", "p.error_kind", "p.posting.title", "p.posting.contract_type", "p.posting.duration_months", F.size("p.posting.required_skills").alias("skills"))
 
 
 def content_range_parse(s, d):
-    p = table(s, d, "postings").select("seq", T.content_range(F.concat(F.lit("offres 0-149/"), F.col("description_chars").cast("string"))).alias("r"))
+    """Ranges as a service writes them: with a total, with an unknown one, of another unit, cut off."""
+    first, total = (F.col("seq") % 7 * 150).cast("string"), F.col("description_chars").cast("string")
+    kinds = ["offres ", "items ", "offres ", "offres */"]
+    head = F.concat(F.element_at(F.array(*map(F.lit, kinds)), (F.col("seq") % 4 + 1).cast("int")), first, F.lit("-"), (F.col("seq") % 7 * 150 + 149).cast("string"))
+    header = F.concat(head, F.when(F.col("seq") % 4 == 2, "/*").otherwise(F.concat(F.lit("/"), total)))
+    p = table(s, d, "postings").select("seq", T.content_range(header).alias("r"))
     return p.select("seq", "r.first_index", "r.last_index", "r.max_results")
 
 
@@ -268,7 +325,7 @@ def queries() -> dict:
         text_hash_dedupe, text_normalize, pii_scrub, html_clean, build_record, offer_records, id_dedupe_first_wins, plan_counts, hash_partition, partition_balance, resume_anti_join, bucket_counts, ingest_summary,
         largest_remainder_allocation, test_split, train_split, holdout_split, leakage_overlap, normalize_contract, normalize_remote, sentinel_null, list_clean, rhythm_rule, free_text_normalize, field_verdicts, field_scores,
         score_summary, model_comparison, missing_predictions, latency_stats, labelling_counts, upsert_last_wins, first_uncorrected, gold_records, review_prefill, metadata_rows, preview_text, chat_messages, chat_contents,
-        chat_examples, parse_llm_json, content_range_parse, labelling_run,
+        chat_examples, parse_llm_json, content_range_parse, labelling_run, provider_parts, search_scan, jsonl_round_trip, review_neighbours, form_fields, retry_conversation,
     )
     assert len(FIELDS) == 14
     return {f.__name__: f for f in own}

@@ -56,6 +56,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def kept(spark: SparkSession, path: str) -> None:
+    """Notes a file of our own in the shared folder, to be removed with the tables."""
+    _written.append((spark, path))
+
+
 @atexit.register
 def drop_written() -> None:
     """Removes all tables of :func:`written`. Results that read them must have been collected or saved before."""

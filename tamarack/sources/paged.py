@@ -5,7 +5,10 @@
              ``search(keyword, first, last) -> (status, body, content_range)``
   plan       JSON list of [plan_idx, bucket, keyword, cap or null]
   page_size, max_rows, interval_seconds, attempts
-One partition per query of the plan: pages depend on the total of the page
+  token      optional "module:factory"; factory(options) gives a function that
+             fetches (token, seconds it lasts). The transport's ``authorize``
+             gets the token before each call; it is fetched again when it ends
+Filters on keyword, bucket and plan_idx leave out whole queries of the plan. One partition per query of the plan: pages depend on the total of the page
 before. A rate limit per key therefore needs one query at a time per key.
 """
 
@@ -15,9 +18,10 @@ import importlib
 import json
 import re
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+import pyarrow.parquet as pq
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
 
 from tamarack.schemas import OFFERS
 
@@ -110,31 +114,80 @@ def count(transport, keyword: str) -> int:
     return found[2] if found else 0
 
 
-def load_transport(options: dict):
-    module, _, factory = options["transport"].partition(":")
+def _load(options: dict, name: str):
+    module, _, factory = options[name].partition(":")
     return getattr(importlib.import_module(module), factory)(dict(options))
 
 
+def load_transport(options: dict):
+    return _load(options, "transport")
+
+
+def exploration(transport, code_tables: Sequence[str], keywords: Sequence[str]) -> list[tuple[str, str, str | None, str | None]]:
+    """(kind, name, value, error) for each code table (its size and first code), a sample offer and the count of each
+    keyword. A probe that fails is a row with its error, and the others go on."""
+
+    def codes(name: str) -> str:
+        rows = transport.codes(name)
+        return f"{len(rows)} codes" + (f", first {rows[0].get('code')}" if rows else "")
+
+    def sample(keyword: str) -> str | None:
+        _, body, *_ = transport.search(keyword, 0, 0)
+        rows = (body or {}).get("resultats") or []
+        return json.dumps(rows[0], ensure_ascii=False) if rows else None
+
+    probes = [("codes", n, codes) for n in code_tables]
+    probes += [("sample", k, sample) for k in list(keywords)[:1]]
+    probes += [("count", k, lambda k: str(count(transport, k))) for k in keywords]
+    out = []
+    for kind, name, probe in probes:
+        try:
+            out.append((kind, name, probe(name), None))
+        except Exception as e:  # what a service raises is its own
+            out.append((kind, name, None, f"{type(e).__name__}: {e}"[:300]))
+    return out
+
+
 class _Query(InputPartition):
     def __init__(self, plan_idx: int, bucket: str, keyword: str, cap: int | None):
         self.plan_idx, self.bucket, self.keyword, self.cap = plan_idx, bucket, keyword, cap
 
 
 class _Reader(DataSourceReader):
+    #: Columns that a query of the plan has as a whole, and their place in it.
+    PLAN = {("plan_idx",): 0, ("bucket",): 1, ("keyword",): 2}
+
     def __init__(self, options: dict):
-        self.options = dict(options)
+        self.options, self.wanted = dict(options), []
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        """Takes equality and membership over columns of the plan; the rest is left to Spark."""
+        for f in filters:
+            if isinstance(f, (EqualTo, In)) and f.attribute in self.PLAN:
+                at = self.PLAN[f.attribute]
+                allowed = {f.value} if isinstance(f, EqualTo) else set(f.value)
+                self.wanted.append(lambda row, at=at, allowed=allowed: row[at] in allowed)
+            else:
+                yield f
 
     def partitions(self) -> list[InputPartition]:
-        return [_Query(*row) for row in json.loads(self.options["plan"])]
+        plan = json.loads(self.options["plan"])
+        own = [_Query(*row) for row in plan if all(want(row) for want in self.wanted)]
+        return own or [_Query(-1, "", "", 0)]
 
     def read(self, query: _Query) -> Iterator[tuple]:
+        if query.cap == 0:
+            return
         transport = load_transport(self.options)
+        token = Token(_load(self.options, "token")) if "token" in self.options else None
         throttle = Throttle(float(self.options.get("interval_seconds", "0.4")))
         tries = int(self.options.get("attempts", "5"))
 
         def search(first: int, last: int) -> tuple:
             def call() -> tuple:
                 throttle.wait()
+                if token is not None:
+                    transport.authorize(token.get())
                 return transport.search(query.keyword, first, last)
 
             return with_retries(call, tries, 2.0)
@@ -200,6 +253,27 @@ class TableTransport:
         return self.code_tables.get(table, [])
 
 
+class ParquetTransport:
+    """Serves the rows of a Parquet table of postings (option ``path``), in order of arrival: to replay what a service gave.
+    The path is read by each task, so all executors must see it."""
+
+    def __init__(self, options: dict):
+        self.path, self.keyword, self.rows = options["path"], None, []
+
+    def search(self, keyword: str, first: int, last: int) -> tuple:
+        if keyword != self.keyword:
+            found = pq.read_table(self.path, columns=["posting_id", "title", "raw_text", "source_url", "seq"], filters=[("matched_keyword", "=", keyword)])
+            rows = sorted(found.to_pylist(), key=lambda r: r["seq"])
+            self.keyword = keyword
+            self.rows = [{"id": r["posting_id"], "intitule": r["title"], "description": r["raw_text"], "origineOffre": {"urlOrigine": r["source_url"]}} for r in rows]
+        if first >= len(self.rows):
+            return 204, None, None
+        part = self.rows[first : last + 1]
+        return (200 if len(part) == len(self.rows) else 206), {"resultats": part}, f"offres {first}-{first + len(part) - 1}/{len(self.rows)}"
+
+
 def register(spark) -> None:
+    """Makes the sources known to the session, and lets filters reach them."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(PagedSearch)
     spark.dataSource.register(PagedCodes)
