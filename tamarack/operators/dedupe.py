@@ -22,7 +22,10 @@ def ingest_flags(records: DataFrame, id_col: str, order: list[str], minimum: int
 
     The id counts as seen before the length filter, so a short first copy hides later ones.
     """
-    first = first_per_key(records, [id_col], *[F.col(c) for c in order]).withColumn("kept_length", F.coalesce(F.col("description_chars") >= minimum, F.lit(False)))
+    first = first_per_key(records, [id_col], *[F.col(c) for c in order]).withColumn(
+        "kept_length",
+        F.coalesce(F.col("description_chars") >= minimum, F.lit(False))
+    )
     # the first of each text is one id, found in a state of fixed size: a text repeated by many ids is never sorted
     own = first.where("kept_length").groupBy("text_hash").agg(F.min_by(id_col, F.struct(*order, id_col)).alias(id_col))
     kept = own.select(id_col, F.lit(True).alias("_kept"))
@@ -31,7 +34,11 @@ def ingest_flags(records: DataFrame, id_col: str, order: list[str], minimum: int
 
 def ingest_summary(flags: DataFrame) -> DataFrame:
     """Per bucket: kept before the text dedupe, dropped as short, dropped as repeated text."""
-    return flags.groupBy("bucket").agg(F.count_if("kept_length").alias("kept_before_hash_dedupe"), F.count_if(~F.col("kept_length")).alias("dropped_short"), F.count_if(F.col("kept_length") & ~F.col("kept")).alias("dropped_hash_dupes"))
+    return flags.groupBy("bucket").agg(
+        F.count_if("kept_length").alias("kept_before_hash_dedupe"),
+        F.count_if(~F.col("kept_length")).alias("dropped_short"),
+        F.count_if(F.col("kept_length") & ~F.col("kept")).alias("dropped_hash_dupes")
+    )
 
 
 def overlap(train: DataFrame, test: DataFrame, column: str) -> DataFrame:
@@ -62,7 +69,10 @@ def neighbours(candidates: DataFrame, key: str, order: str) -> DataFrame:
     spread = candidates.select(key, order).repartitionByRange(F.col(order), F.col(key)).withColumn("_range", F.spark_partition_id())
     own = Window.partitionBy("_range").orderBy(order, key)
     inside = spread.select("*", F.lag(key).over(own).alias("_before"), F.lead(key).over(own).alias("_after"))
-    ends = spread.groupBy("_range").agg(F.min_by(key, F.struct(order, key)).alias("_first"), F.max_by(key, F.struct(order, key)).alias("_last"))
+    ends = spread.groupBy("_range").agg(
+        F.min_by(key, F.struct(order, key)).alias("_first"),
+        F.max_by(key, F.struct(order, key)).alias("_last")
+    )
     over = Window.partitionBy().orderBy("_range")  # one row a range
     ends = ends.select("_range", F.lag("_last").over(over).alias("_left"), F.lead("_first").over(over).alias("_right"))
     joined = inside.join(F.broadcast(ends), "_range")

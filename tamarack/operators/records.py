@@ -31,7 +31,15 @@ def build_record(offers: DataFrame, source: str = "france_travail") -> DataFrame
 
 def gold_record(candidates: DataFrame, corrected: DataFrame) -> DataFrame:
     """Reviewed records: the baseline's prediction beside the correction."""
-    return candidates.select("posting_id", "source", "bucket", "title", "raw_text", "text_hash", F.col("prediction").alias("groq_prediction")).join(corrected.select("posting_id", "corrected"), "posting_id")
+    return candidates.select(
+        "posting_id",
+        "source",
+        "bucket",
+        "title",
+        "raw_text",
+        "text_hash",
+        F.col("prediction").alias("groq_prediction")
+    ).join(corrected.select("posting_id", "corrected"), "posting_id")
 
 
 def prefill(*records: Column) -> Column:
@@ -66,7 +74,23 @@ def message(role: str, content: Column) -> Column:
     return F.struct(F.lit(role).alias("role"), content.alias("content"))
 
 
-SCHEMA_JSON = json.dumps({"type": "object", "additionalProperties": False, "required": ["title"], "properties": {f: {"type": ["array", "null"], "items": {"type": "string"}} if f in LIST_FIELDS else {"type": ["integer", "null"], "minimum": INT_MINIMUM[f]} if f in INT_MINIMUM else {"type": "string"} if f == "title" else {"type": ["string", "null"]} for f in FIELDS}}, ensure_ascii=False)
+SCHEMA_JSON = json.dumps(
+    {
+        "type": "object",
+        "additionalProperties": False,
+        "required": ["title"],
+        "properties": {
+            f: {
+                "type": ["array", "null"],
+                "items": {"type": "string"}
+            }if f in LIST_FIELDS else {
+                "type": ["integer", "null"],
+                "minimum": INT_MINIMUM[f]
+            } if f in INT_MINIMUM else {"type": "string"} if f == "title" else {"type": ["string", "null"]} for f in FIELDS
+        }
+    },
+    ensure_ascii=False
+)
 SYSTEM_PROMPT = f"Extract the posting's fields as one JSON object. Use null for what the text does not state; never guess. Schema: {SCHEMA_JSON}"
 
 
@@ -81,7 +105,13 @@ def build_messages(raw_text: Column, examples: list[tuple[str, str]], system: st
 def to_contents(messages: Column) -> Column:
     """The same without the system message, as role/parts; assistant is called model."""
     rest = F.filter(messages, lambda m: m["role"] != "system")
-    return F.transform(rest, lambda m: F.struct(F.when(m["role"] == "assistant", "model").otherwise(m["role"]).alias("role"), F.array(F.struct(m["content"].alias("text"))).alias("parts")))
+    return F.transform(
+        rest,
+        lambda m: F.struct(
+            F.when(m["role"] == "assistant", "model").otherwise(m["role"]).alias("role"),
+            F.array(F.struct(m["content"].alias("text"))).alias("parts")
+        )
+    )
 
 
 def correction(error: str) -> str:
@@ -99,7 +129,12 @@ def retry_messages(messages: Column, answer: Column, error: Column) -> Column:
 def form_values(body: Column) -> Column:
     """Map of a submitted form body (a=b&c=d, encoded as browsers do): the first value of each name, blank ones left out."""
     fields = F.filter(F.split(body, "&"), lambda p: p.rlike("^[^=]+=."))
-    decoded = F.transform(fields, lambda p: F.struct(*[F.try_url_decode(F.regexp_extract(p, "^([^=]+)=(.*)$", k)).alias(n) for k, n in ((1, "key"), (2, "value"))]))
+    decoded = F.transform(
+        fields,
+        lambda p: F.struct(
+            *[F.try_url_decode(F.regexp_extract(p, "^([^=]+)=(.*)$", k)).alias(n) for k, n in ((1, "key"), (2, "value"))]
+        )
+    )
     known = F.filter(decoded, lambda p: p["key"].isNotNull())
     names = F.transform(known, lambda p: p["key"])
     return F.map_from_entries(F.filter(known, lambda p, i: F.array_position(names, p["key"]) == i + 1))
@@ -107,4 +142,8 @@ def form_values(body: Column) -> Column:
 
 def chat_example(raw_text: Column, prediction: Column, system: str = SYSTEM_PROMPT) -> Column:
     """Training example; the target keeps its NULLs."""
-    return F.array(message("system", F.lit(system)), message("user", raw_text), message("assistant", F.to_json(prediction, {"ignoreNullFields": "false"})))
+    return F.array(
+        message("system", F.lit(system)),
+        message("user", raw_text),
+        message("assistant", F.to_json(prediction, {"ignoreNullFields": "false"}))
+    )

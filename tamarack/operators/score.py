@@ -104,8 +104,13 @@ def rates(counts: DataFrame) -> DataFrame:
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     signal = tp + fp + fn > 0
-    out = counts.withColumns({"precision": F.when(signal, zero(F.try_divide(tp, tp + fp))), "recall": F.when(signal, zero(F.try_divide(tp, tp + fn)))})
-    return out.withColumn("f1", F.when(signal, zero(F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))))
+    out = counts.withColumns(
+        {"precision": F.when(signal, zero(F.try_divide(tp, tp + fp))), "recall": F.when(signal, zero(F.try_divide(tp, tp + fn)))}
+    )
+    return out.withColumn(
+        "f1",
+        F.when(signal, zero(F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall"))))
+    )
 
 
 def field_scores(scored: DataFrame, groups: list[str] | None = None) -> DataFrame:
@@ -129,7 +134,11 @@ def score_summary(scored: DataFrame, groups: list[str] | None = None, valid: str
     for f in FIELDS:
         exact = exact & F.col(f"v_{f}").isin("tp", "tn")
     mean = lambda c: F.coalesce(F.avg(F.coalesce(c, F.lit(False)).cast("int")), F.lit(0.0))
-    totals = scored.groupBy(*groups).agg(F.count("*").alias("n_postings"), mean(F.col(valid)).alias("json_validity_rate"), mean(exact).alias("exact_match_rate"))
+    totals = scored.groupBy(*groups).agg(
+        F.count("*").alias("n_postings"),
+        mean(F.col(valid)).alias("json_validity_rate"),
+        mean(exact).alias("exact_match_rate")
+    )
     macro = field_scores(scored, groups).groupBy(*groups).agg(F.coalesce(F.avg("f1"), F.lit(0.0)).alias("macro_f1"))
     return totals.join(macro, groups) if groups else totals.crossJoin(macro)  # one row each
 
@@ -137,5 +146,12 @@ def score_summary(scored: DataFrame, groups: list[str] | None = None, valid: str
 def report_text(summary: dict, fields: list[dict]) -> str:
     """The printed report; n/a where there is no signal."""
     show = lambda v: "n/a" if v is None else f"{v:.3f}"
-    head = [f"postings {summary['n_postings']}", f"JSON valid {summary['json_validity_rate']:.1%}", f"exact match {summary['exact_match_rate']:.1%}", f"macro F1 {summary['macro_f1']:.3f}"]
-    return "\n".join([*head, *[f"{r['field']:24} P {show(r['precision']):>6} R {show(r['recall']):>6} F1 {show(r['f1']):>6}" for r in fields]])
+    head = [
+        f"postings {summary['n_postings']}",
+        f"JSON valid {summary['json_validity_rate']:.1%}",
+        f"exact match {summary['exact_match_rate']:.1%}",
+        f"macro F1 {summary['macro_f1']:.3f}"
+    ]
+    return "\n".join(
+        [*head, *[f"{r['field']:24} P {show(r['precision']):>6} R {show(r['recall']):>6} F1 {show(r['f1']):>6}" for r in fields]]
+    )

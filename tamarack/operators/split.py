@@ -74,7 +74,9 @@ def holdout(df: DataFrame, id_col: str, share: float, seed: int = 42) -> DataFra
     keyed = df.withColumn("_order", seeded_order(seed, F.col(id_col))).withColumn("_lead", F.substring("_order", 1, 4))
     n = keyed.groupBy("_lead").agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.partitionBy().orderBy("_lead").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    every = n.withColumns({"_before": before, "_all": F.sum("_n").over(Window.partitionBy())}).withColumn("_take", F.floor(F.col("_all") * share))
+    every = n.withColumns(
+        {"_before": before, "_all": F.sum("_n").over(Window.partitionBy())}
+    ).withColumn("_take", F.floor(F.col("_all") * share))
     rows = keyed.join(F.broadcast(every), "_lead")  # at most 65,536 groups
     inside = (F.col("_before") < F.col("_take")) & (F.col("_take") < F.col("_before") + F.col("_n"))
     rank = F.row_number().over(Window.partitionBy("_lead").orderBy("_order", id_col))

@@ -15,7 +15,11 @@ def order_statistics(df: DataFrame, group: list[str], value: str, shares: dict[s
     group without values has no row.
     """
     rows = df.where(F.col(value).isNotNull()).select(*group, F.col(value).alias("_v"))
-    cuts = rows.groupBy(*group).agg(F.percentile_approx("_v", [k / 64 for k in range(1, 64)], 2000).alias("_cuts"), F.count("*").alias("n"), F.avg("_v").alias("mean"))
+    cuts = rows.groupBy(*group).agg(
+        F.percentile_approx("_v", [k / 64 for k in range(1, 64)], 2000).alias("_cuts"),
+        F.count("*").alias("n"),
+        F.avg("_v").alias("mean")
+    )
     bin_of = F.size(F.filter("_cuts", lambda c: c < F.col("_v")))
     values = rows.groupBy(*group, "_v").agg(F.count("*").alias("_c"))
     binned = values.join(cuts.select(*group, "_cuts"), group).select(*group, "_v", "_c", bin_of.alias("_bin"))

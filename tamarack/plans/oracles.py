@@ -141,7 +141,9 @@ def oracle_sql() -> dict[str, str]:
         "pii_scrub": f"SELECT doc_id, {pii('text')} AS scrubbed FROM documents",
         "html_clean": f"SELECT seq, {lines(entities('raw_text'))} AS cleaned FROM postings",
         "build_record": f"WITH b AS (SELECT split_seq, {pii(lines('raw_text'))} AS body, {HEADER} AS head FROM train WHERE prediction IS NOT NULL) SELECT split_seq, head || chr(10) || chr(10) || body AS raw_text, sha256({norm('head || chr(10) || chr(10) || body')}) AS text_hash, length(body) AS description_chars FROM b",
-        "offer_records": f"SELECT 'france_travail:' || split_seq AS posting_id, {strip('title')} AS title, source_url, length({pii(lines(entities('raw_text')))}) AS description_chars, reference_metadata.romeLibelle AS rome FROM train",
+        "offer_records": f"""WITH b AS (SELECT *, {pii(lines(entities('raw_text')))} AS body, {HEADER} AS head FROM train), r AS (SELECT *, head || chr(10) || chr(10) || body AS raw FROM b)
+            SELECT 'france_travail:' || split_seq AS posting_id, {strip('title')} AS title, source_url, raw AS raw_text, sha256({norm('raw')}) AS text_hash, length(body) AS description_chars,
+                concat_ws('|', {', '.join(f"coalesce(reference_metadata.{f}::VARCHAR, '-')" for f in META_FIELDS)}) AS metadata FROM r""",
         "id_dedupe_first_wins": f"WITH {POSTINGS}, r AS (SELECT po.*, k.plan_idx FROM po JOIN keyword_plan k ON k.keyword = po.matched_keyword QUALIFY row_number() OVER (PARTITION BY posting_id ORDER BY plan_idx, seq) = 1) SELECT posting_id, plan_idx, seq FROM r WHERE description_chars >= 200",
         "plan_counts": "SELECT plan_idx, k.bucket, keyword, count(posting_id) AS found, least(count(posting_id), coalesce(any_value(cap), count(posting_id)))::BIGINT AS fetched FROM keyword_plan k LEFT JOIN postings p ON p.matched_keyword = k.keyword GROUP BY ALL",
         "hash_partition": f"SELECT seq, {PART} AS part FROM postings",

@@ -262,14 +262,27 @@ class ParquetTransport:
 
     def search(self, keyword: str, first: int, last: int) -> tuple:
         if keyword != self.keyword:
-            found = pq.read_table(self.path, columns=["posting_id", "title", "raw_text", "source_url", "seq"], filters=[("matched_keyword", "=", keyword)])
+            found = pq.read_table(
+                self.path,
+                columns=["posting_id", "title", "raw_text", "source_url", "seq"],
+                filters=[("matched_keyword", "=", keyword)]
+            )
             rows = sorted(found.to_pylist(), key=lambda r: r["seq"])
             self.keyword = keyword
-            self.rows = [{"id": r["posting_id"], "intitule": r["title"], "description": r["raw_text"], "origineOffre": {"urlOrigine": r["source_url"]}} for r in rows]
+            self.rows = [
+                {
+                    "id": r["posting_id"],
+                    "intitule": r["title"],
+                    "description": r["raw_text"],
+                    "origineOffre": {"urlOrigine": r["source_url"]}
+                } for r in rows
+            ]
         if first >= len(self.rows):
             return 204, None, None
         part = self.rows[first : last + 1]
-        return (200 if len(part) == len(self.rows) else 206), {"resultats": part}, f"offres {first}-{first + len(part) - 1}/{len(self.rows)}"
+        return (
+            200 if len(part) == len(self.rows) else 206
+        ), {"resultats": part}, f"offres {first}-{first + len(part) - 1}/{len(self.rows)}"
 
 
 def register(spark) -> None:
