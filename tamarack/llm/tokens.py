@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Ranks of a byte-level BPE for many languages; the same path on every executor.
+#: Ranks of a byte-level BPE for many languages: a path on the driver, from where executors that lack it get the file.
 VOCABULARY = os.environ.get("TAMARACK_VOCABULARY", "/opt/tokenizers/byte_bpe_multi_50k.tiktoken")
 
 # Fixed value: how byte-level BPE splits a text before it merges.
@@ -20,13 +20,20 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 RUN = 100_000
 
 _encoders: dict[str, object] = {}
+_shipped: set[tuple[str, str]] = set()
 
 
 def encoder(vocabulary: str):
     if vocabulary not in _encoders:
         import tiktoken
 
-        with open(vocabulary, "rb") as f:
+        if not os.path.exists(vocabulary):
+            from pyspark import SparkFiles
+
+            path = SparkFiles.get(os.path.basename(vocabulary))
+        else:
+            path = vocabulary
+        with open(path, "rb") as f:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
         _encoders[vocabulary] = tiktoken.Encoding("public", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
     return _encoders[vocabulary]
@@ -43,6 +50,11 @@ def with_tokens(df: DataFrame, keep: list[str], text_col: str, vocabulary: str =
     """The columns ``keep`` and ``tokens``. A NULL or empty text has 0 tokens. Texts of over ``RUN`` code points are
     encoded in runs of that length, which can add one token a run."""
 
+    context = df.sparkSession.sparkContext
+    if (context.applicationId, vocabulary) not in _shipped and os.path.exists(vocabulary):
+        context.addFile(vocabulary)
+        _shipped.add((context.applicationId, vocabulary))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes = [count_tokens(t, vocabulary) if t else 0 for t in batch.column(len(keep)).to_pylist()]

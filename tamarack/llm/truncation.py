@@ -44,7 +44,10 @@ from tamarack.llm import _shingles as sh
 from tamarack.runtime import broadcast_if_small, picked, written
 
 # Marks of omission that say so, and the bare one, which whole texts use as well.
-MARK = re.compile(r"\s*(?:[\[(]\s*(?:\.{3}|…)\s*[\])]|(?:\.{3}|…)?\s*[\[(]?\s*(?:lire la suite|voir la suite|suite sur le site|read more|see more|more on the site)\s*[\])]?)\s*\Z", re.I)
+MARK = re.compile(
+    r"\s*(?:[\[(]\s*(?:\.{3}|…)\s*[\])]|(?:\.{3}|…)?\s*[\[(]?\s*(?:lire la suite|voir la suite|suite sur le site|read more|see more|more on the site)\s*[\])]?)\s*\Z",
+    re.I
+)
 DOTS = re.compile(r"\s*(?:\.{3}|…)\s*\Z")
 
 #: Letters and digits, or a character that closes a sentence or line.
@@ -170,7 +173,10 @@ def _endings(kinds: pa.Schema):
             last, before = (np.array([r.pop(k) for r in rows], np.int64) for k in ("last_id", "before_id"))
             for r, w, p, has, two in zip(rows, word_keys(last).tolist(), pair_keys(before, last).tolist(), last != 0, before != 0):
                 r["last_key"], r["pair_key"] = w if has else None, p if two else None
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *[pa.array([r[f.name] for r in rows], f.type) for f in kinds]], names=["id", "source", "stated", *kinds.names])
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:3], *[pa.array([r[f.name] for r in rows], f.type) for f in kinds]],
+                names=["id", "source", "stated", *kinds.names]
+            )
 
     return run
 
@@ -207,14 +213,47 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         w, closes = a[word], (nxt[word] == 1)
         keys, at = np.unique(w, return_inverse=True)
-        out.append((1, word_keys(keys), [names[k] for k in keys.tolist()], np.bincount(at, minlength=len(keys)), np.bincount(at, weights=closes, minlength=len(keys)).astype(np.int64)))
+        out.append(
+            (
+                1,
+                word_keys(keys),
+                [names[k] for k in keys.tolist()],
+                np.bincount(at, minlength=len(keys)),
+                np.bincount(at, weights=closes, minlength=len(keys)).astype(np.int64)
+            )
+        )
         pair = word[:-1] & word[1:]
         keys, at = np.unique(pair_keys(a[:-1][pair], a[1:][pair]), return_inverse=True)
-        out.append((2, keys, [None] * len(keys), np.bincount(at, minlength=len(keys)), np.bincount(at, weights=(nxt[1:] == 1)[pair], minlength=len(keys)).astype(np.int64)))
+        out.append(
+            (
+                2,
+                keys,
+                [None] * len(keys),
+                np.bincount(at, minlength=len(keys)),
+                np.bincount(at, weights=(nxt[1:] == 1)[pair], minlength=len(keys)).astype(np.int64)
+            )
+        )
         starts = list(lines.keys() | finals.keys())
-        out.append((3, [_key(3, s) for s in starts], [None] * len(starts), [lines[s] + finals[s] for s in starts], [finals[s] for s in starts]))
+        out.append(
+            (
+                3,
+                [_key(3, s) for s in starts],
+                [None] * len(starts),
+                [lines[s] + finals[s] for s in starts],
+                [finals[s] for s in starts]
+            )
+        )
         for kind, key, words, n, closed in out:
-            yield pa.RecordBatch.from_arrays([pa.array([kind] * len(words), pa.int32()), pa.array(key, pa.int64()), pa.array(words, pa.string()), pa.array(n, pa.int64()), pa.array(closed, pa.int64())], names=["kind", "key", "word", "n", "closed"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([kind] * len(words), pa.int32()),
+                    pa.array(key, pa.int64()),
+                    pa.array(words, pa.string()),
+                    pa.array(n, pa.int64()),
+                    pa.array(closed, pa.int64())
+                ],
+                names=["kind", "key", "word", "n", "closed"]
+            )
 
 
 @dataclass
@@ -250,7 +289,9 @@ def _mark_places(rows: DataFrame) -> DataFrame:
     near = own.orderBy("mark_at").rangeBetween(-MARK_WIDTH, 0)
     counted = marked.withColumns({"together": F.sum("n").over(near), "all": F.sum("n").over(own)})
     best = counted.withColumn("k", F.row_number().over(own.orderBy(F.desc("together"), F.desc("mark_at")))).where("k = 1")
-    return best.where((F.col("together") >= LIMIT_TEXTS) & (F.col("together") >= 0.3 * F.col("all"))).select("source", F.col("mark_at").alias("mark_to"))
+    return best.where(
+        (F.col("together") >= LIMIT_TEXTS) & (F.col("together") >= 0.3 * F.col("all"))
+    ).select("source", F.col("mark_at").alias("mark_to"))
 
 
 def _at_limit() -> Column:
@@ -316,14 +357,23 @@ def truncated(df: DataFrame, id_col: str, source_col: str, text_col: str, stated
     inner = ((F.col("kind") == 1) & (closes < WORD_CLOSES * F.col("n"))) | ((F.col("kind") == 2) & (closes < PAIR_CLOSES * F.col("n")))
     goes_on = written(of.where(inner).select("key", F.lit(True).alias("on")), "goes-on")
     seen_words = written(of.where("kind = 1").select(F.col("key").alias("last_key"), F.lit(True).alias("word_known")), "words")
-    closers = written(of.where("kind = 3 and closed >= 3 and closed >= 0.5 * n").select(F.col("key").alias("line_key"), F.lit(True).alias("closer")), "closers")
+    closers = written(
+        of.where("kind = 3 and closed >= 3 and closed >= 0.5 * n").select(
+            F.col("key").alias("line_key"),
+            F.lit(True).alias("closer")
+        ),
+        "closers"
+    )
 
     # an end that several sources deliver alike is the text's own, if texts stop there in a share of the places that have its last two words
     stops = rows.where("open_end and pair_key is not null").groupBy("pair_key").agg(F.count("*").alias("stops"))
     places = of.where("kind = 2").select(F.col("key").alias("pair_key"), "n")
     often = F.col("stops") >= END_SHARE * (F.coalesce("n", F.lit(0)) + F.col("stops"))
     usual = stops.join(places, "pair_key", "left").where(often).select("pair_key")
-    alike = rows.where("open_end").groupBy("end_key", "pair_key").agg(F.min("source").alias("a"), F.max("source").alias("b")).where("a <> b")
+    alike = rows.where("open_end").groupBy("end_key", "pair_key").agg(
+        F.min("source").alias("a"),
+        F.max("source").alias("b")
+    ).where("a <> b")
     shared_ends = written(alike.join(usual, "pair_key").select("end_key", F.lit(True).alias("own_end")).distinct(), "ends")
 
     # at most 1 / LIMIT_SHARE lengths a source and measure
@@ -338,11 +388,15 @@ def truncated(df: DataFrame, id_col: str, source_col: str, text_col: str, stated
     r = written(r.drop(*[f"at_{m}" for m in MEASURES], "mark_to", "counts_by", *MEASURES[:1], MEASURES[2]), "placed")
 
     # sources that name full lengths: most of their texts at the limit are stated longer
-    full = r.where("at_limit and beyond is not null").groupBy("source").agg((F.count_if(F.col("beyond") > 0) >= 0.5 * F.count("*")).alias("full"))
+    full = r.where("at_limit and beyond is not null").groupBy("source").agg(
+        (F.count_if(F.col("beyond") > 0) >= 0.5 * F.count("*")).alias("full")
+    )
     # ends of texts that are not at a limit, as shares of the lines of their beginning
     final = r.where("not at_limit and not at_mark and line_key is not null").groupBy("line_key", "closing").agg(F.count("*").alias("n"))
     lines = final.groupBy("line_key").agg(F.sum("n").alias("all"))
-    closings = final.join(lines, "line_key").where(F.col("n") >= CLOSING_SHARE * F.col("all")).select("closing", F.lit(True).alias("ends_so")).distinct()
+    closings = final.join(lines, "line_key").where(
+        F.col("n") >= CLOSING_SHARE * F.col("all")
+    ).select("closing", F.lit(True).alias("ends_so")).distinct()
     closings = written(closings.join(r.where("at_limit").select("closing").distinct(), "closing", "left_semi"), "closings")
 
     r = _with_source(r, written(full, "full"))
@@ -356,11 +410,15 @@ def truncated(df: DataFrame, id_col: str, source_col: str, text_col: str, stated
     bare = F.col("mark").isNull()
     yes["length"] = F.col("stated") > F.greatest("text_chars", "text_bytes") + TOLERANCE
     yes["prefix"] = (F.coalesce("prefix", F.lit(False)) | F.col("entity")) & bare
-    yes["unfinished"] = bare & F.col("open_end") & (F.col("last_key_on") | F.col("pair_key_on")) & F.col("closer").isNull() & F.col("own_end").isNull()
+    yes["unfinished"] = bare & F.col("open_end") & (
+        F.col("last_key_on") | F.col("pair_key_on")
+    ) & F.col("closer").isNull() & F.col("own_end").isNull()
     yes = {k: F.coalesce(c, F.lit(False)) for k, c in yes.items()}
     reached = F.coalesce(F.col("full") & (F.col("beyond") <= 0), F.lit(False))
     on = F.coalesce(F.col("last_key_on"), F.lit(False)) | F.coalesce(F.col("pair_key_on"), F.lit(False))
-    ended = F.col("closer").isNotNull() & F.col("ends_so").isNotNull() & ~F.col("padded") & ~on & (F.col("last").isNull() | F.col("word_known").isNotNull())
+    ended = F.col("closer").isNotNull() & F.col("ends_so").isNotNull() & ~F.col("padded") & ~on & (
+        F.col("last").isNull() | F.col("word_known").isNotNull()
+    )
     ended = ended & ~F.coalesce(F.col("full") & (F.col("beyond") > 0), F.lit(False))
     yes["limit"] = (F.col("at_limit") & ~reached & ~(ended & ~yes["prefix"])) | F.col("at_mark")
     yes["mark"] = F.coalesce(F.col("mark") == "said", F.lit(False))
@@ -370,5 +428,9 @@ def truncated(df: DataFrame, id_col: str, source_col: str, text_col: str, stated
     per_id = written(per_id.withColumn("cut", F.greatest(*[F.col(k) for k in yes])), "judged")
     evidence = F.array_compact(F.array(*[F.when(F.col(k), F.lit(k)) for k in yes]))
     cut = per_id.where("cut").select("id", "source", evidence.alias("evidence"))
-    by_source = per_id.groupBy("source").agg(F.count("*").alias("texts"), F.count_if("cut").alias("cut"), *[F.count_if(k).alias(f"cut_by_{k}") for k in yes])
+    by_source = per_id.groupBy("source").agg(
+        F.count("*").alias("texts"),
+        F.count_if("cut").alias("cut"),
+        *[F.count_if(k).alias(f"cut_by_{k}") for k in yes]
+    )
     return Truncation(cut, by_source.withColumn("share", F.col("cut") / F.col("texts")))
