@@ -13,7 +13,7 @@ from tamarack.functions import normalize as N
 from tamarack.functions import text as T
 from tamarack.functions.parse import parse_posting
 from tamarack.operators import dedupe, partition, records, score, split, stats
-from tamarack.runtime import kept, shared_folder, table
+from tamarack.runtime import kept, shared_folder, spread, table
 from tamarack.schemas import FIELDS, META_FIELDS, OFFERS, RESULT
 from tamarack.sources import jsonl, paged
 from tamarack.streaming import labelling
@@ -27,7 +27,7 @@ MODELS = 1000
 
 def _postings(s: SparkSession, d: str) -> DataFrame:
     """Postings with their length, counted where the source gives none, and their own hash."""
-    p = table(s, d, "postings")
+    p = spread(table(s, d, "postings").select("posting_id", "bucket", "matched_keyword", "seq", "description_chars", "raw_text"))
     return p.withColumns(
         {
             "description_chars": F.coalesce("description_chars", F.char_length("raw_text")),
@@ -42,11 +42,11 @@ def text_hash_dedupe(s, d):
 
 
 def pii_scrub(s, d):
-    return table(s, d, "documents").select("doc_id", T.strip_pii(F.col("text")).alias("scrubbed"))
+    return spread(table(s, d, "documents").select("doc_id", "text")).select("doc_id", T.strip_pii(F.col("text")).alias("scrubbed"))
 
 
 def text_normalize(s, d):
-    return table(s, d, "documents").select(
+    return spread(table(s, d, "documents").select("doc_id", "text")).select(
         "doc_id",
         T.text_hash(F.col("text")).alias("text_hash"),
         F.char_length(T.normalize_text(F.col("text"))).alias("chars")
@@ -54,12 +54,12 @@ def text_normalize(s, d):
 
 
 def html_clean(s, d):
-    return table(s, d, "postings").select("seq", T.clean_description(F.col("raw_text")).alias("cleaned"))
+    return spread(table(s, d, "postings").select("seq", "raw_text")).select("seq", T.clean_description(F.col("raw_text")).alias("cleaned"))
 
 
 def build_record(s, d):
     """Records rebuilt from labelled postings: title, employer and place of the label over the scrubbed text."""
-    t = table(s, d, "train").where("prediction is not null")
+    t = spread(table(s, d, "train").where("prediction is not null").select("split_seq", "title", "prediction", "raw_text"))
     body = t.withColumn("_body", T.strip_pii(T.normalize_whitespace(F.col("raw_text"))))
     raw = F.concat(
         records.header(T.strip(F.col("title")), F.col("prediction.company"), F.col("prediction.location")),

@@ -61,6 +61,15 @@ def kept(spark: SparkSession, path: str) -> None:
     _written.append((spark, path))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores if its scan has fewer parts than there are cores, for work that costs more than moving the rows.
+
+    A table of at least as many parts as cores is left as it is, so a large one is never shuffled for this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 @atexit.register
 def drop_written() -> None:
     """Removes all tables of :func:`written`. Results that read them must have been collected or saved before."""
