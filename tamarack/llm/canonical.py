@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tamarack.llm._shingles import fold
-from tamarack.runtime import BROADCAST_BYTES, picked
+from tamarack.runtime import BROADCAST_BYTES, picked, spread
 
 UNMATCHED = "unmatched"
 
@@ -281,7 +281,7 @@ def canonical_codes(df: DataFrame, id_col: str, values: dict[str, str], referenc
         for name in path.split(".")[1:]:
             value = value.getField(name)
         each.append(F.struct(F.lit(field).alias("field"), value.cast("string").alias("value")))
-    rows_in = picked(df, id=id_col, **roots).select(
+    rows_in = spread(picked(df, id=id_col, **roots)).select(
         "id",
         F.explode(F.array(*each)).alias("t")
     ).select("id", "t.field", "t.value").where("value is not null")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tamarack.runtime import picked, written
+from tamarack.runtime import picked, spread, written
 
 # Letters of other alphabets that look like a Latin letter, and that letter.
 LOOK_ALIKES = {
@@ -140,7 +140,7 @@ def consistent_form(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     spaces, for they are seen. It is idempotent. Other columns are ignored, whatever
     their names, and repeated ids are rows of their own.
     """
-    docs = picked(df, id=id_col, text=text_col)
+    docs = spread(picked(df, id=id_col, text=text_col))
     id_type = docs.schema["id"].dataType.simpleString()
     return docs.mapInArrow(_forms, f"id {id_type}, text string, form string")
 

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tamarack.llm import _shingles as sh
-from tamarack.runtime import broadcast_if_small, picked, written
+from tamarack.runtime import broadcast_if_small, picked, spread, written
 
 #: Standard deviations by which a sketch may underrate a pair at the threshold before the pair is dropped unverified.
 SKETCH_SIGMAS = 5.0
@@ -194,7 +194,7 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, *, shingle: int =
     """
     bands = bands_for(threshold, recall, rows)
     hashes = bands * rows
-    docs = picked(df, id=id_col, text=text_col).where("id is not null and text is not null")
+    docs = spread(picked(df, id=id_col, text=text_col).where("id is not null and text is not null"))
     id_type = docs.schema["id"].dataType.simpleString()
     signed = f"id {id_type}, row bigint, cls binary, n int, keys array<bigint>, sketch array<bigint>"
     sig = written(docs.mapInArrow(_signatures(shingle, bands, rows), signed), "minhash")

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tamarack.llm import _shingles as sh
-from tamarack.runtime import picked, written
+from tamarack.runtime import picked, spread, written
 
 #: Passages in one shard (a longer record is one of its own), so also what the driver and a broadcast hold at a time.
 SHARD = 400_000
@@ -273,7 +273,7 @@ def split_overlap(
 
     def prepared(df: DataFrame, name: str) -> DataFrame:
         own = picked(df, id=id_col, text=text_col).withColumn("id", F.col("id").cast(kind)).where("id is not null and text is not null")
-        return written(own.mapInArrow(_classes(shingle), f"id {kind}, cls binary, text string"), name)
+        return written(spread(own).mapInArrow(_classes(shingle), f"id {kind}, cls binary, text string"), name)
 
     ev, tr = prepared(evaluation, "evaluation"), prepared(training, "training")
     # one text per class: copies are scanned and matched once

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tamarack.runtime import spread
+
 #: Ranks of a byte-level BPE for many languages: a path on the driver, from where executors that lack it get the file.
 VOCABULARY = os.environ.get("TAMARACK_VOCABULARY", "/opt/tokenizers/byte_bpe_multi_50k.tiktoken")
 
@@ -62,4 +64,4 @@ def with_tokens(df: DataFrame, keep: list[str], text_col: str, vocabulary: str =
 
     rows = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias("_text"))
     kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
-    return rows.mapInArrow(run, f"{kinds}, tokens bigint")
+    return spread(rows).mapInArrow(run, f"{kinds}, tokens bigint")

@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tamarack.llm import _shingles as sh
-from tamarack.runtime import broadcast_if_small, picked, written
+from tamarack.runtime import broadcast_if_small, picked, spread, written
 
 # Marks of omission that say so, and the bare one, which whole texts use as well.
 MARK = re.compile(
@@ -331,7 +331,7 @@ def truncated(df: DataFrame, id_col: str, source_col: str, text_col: str, stated
     pool their evidence. An empty table gives empty results. Other columns are ignored, whatever their names.
     """
     docs = picked(df, id=id_col, source=source_col, stated=stated_col, text=text_col)
-    docs = docs.withColumn("stated", F.col("stated").cast("bigint")).where("id is not null and text is not null")
+    docs = spread(docs.withColumn("stated", F.col("stated").cast("bigint")).where("id is not null and text is not null"))
     id_type = docs.schema["id"].dataType.simpleString()
     names = [c.split() for c in _ENDING.split(", ")]
     kinds = pa.schema([(n, {"bigint": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}[t]) for n, t in names])
