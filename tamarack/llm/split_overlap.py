@@ -27,7 +27,7 @@ from tamarack.llm import _shingles as sh
 from tamarack.runtime import picked, spread, written
 
 #: Passages in one shard (a longer record is one of its own), so also what the driver and a broadcast hold at a time.
-SHARD = 400_000
+SHARD = 1_000_000
 #: Of the passages a near-same text must share, the part that has to be met among the rarer ones.
 MET_PART = 3
 
@@ -117,8 +117,10 @@ class _Shard:
         self.count = np.diff(np.append(self.first, len(keys)))
         self.owners = owners[order]  # those of passage p begin at first[p]
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-        for number, run in enumerate(map(tuple, runs[order[self.first]].tolist())):
-            self.automaton.add_word(run, number)
+        chosen = order[self.first]
+        for begin in range(0, len(chosen), 50_000):  # the numbers of all runs at once would take more room than the automaton
+            for number, run in enumerate(runs[chosen[begin : begin + 50_000]].tolist(), begin):
+                self.automaton.add_word(tuple(run), number)
         if len(self.first):
             self.automaton.make_automaton()
 
