@@ -149,7 +149,7 @@ class Mixture:
         joined = self.plan.join(given, "source", "left").withColumn("given_tokens", F.coalesce("given_tokens", F.lit(0)))
         whole = F.sum("given_tokens").over(Window.partitionBy())  # one row a target source, at most MAX_SOURCES
         share = F.coalesce(F.try_divide("given_tokens", whole), F.lit(0.0))
-        return joined.select("*", share.alias("actual_share"), (F.col("given_tokens") < F.col("target_tokens")).alias("short"))
+        return joined.select("*", share.alias("actual_share"), (F.col("given_tokens") < F.col("target_tokens") * (1 - 1e-9)).alias("short"))
 
 
 def mix_sources(
