@@ -64,10 +64,14 @@ def kept(spark: SparkSession, path: str) -> None:
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over all cores if its scan has fewer parts than there are cores, for work that costs more than moving the rows.
 
-    A table of at least as many parts as cores is left as it is, so a large one is never shuffled for this.
+    A table of at least as many parts as cores is left as it is, so a large one is never shuffled for this; so is what
+    comes from a shuffle, whose parts adaptive execution sets.
     """
+    plan = df._jdf.queryExecution().executedPlan()
+    if plan.nodeName() == "AdaptiveSparkPlan":
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+    return df.repartition(cores) if plan.execute().getNumPartitions() < cores else df
 
 
 @atexit.register
