@@ -80,9 +80,9 @@ def p3_by_split(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_coverage(spark: SparkSession, d: str) -> DataFrame:
-    """Largest coverage by one training text of each test row that has a near-same one."""
-    pairs = _overlap(spark, d).pairs().groupBy(F.col("eval_id").alias("test_split_seq"))
-    return pairs.agg(F.round(F.max("coverage"), 6).alias("coverage"), F.count("*").alias("train_rows"))
+    """Share of each test row's words that its equal or near-same training texts cover together, and how many these are."""
+    found = _overlap(spark, d).records()
+    return found.select(F.col("id").alias("test_split_seq"), F.round("coverage", 6).alias("coverage"), "train_classes")
 
 
 def p3_classes(spark: SparkSession, d: str) -> DataFrame:

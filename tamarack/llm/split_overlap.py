@@ -179,11 +179,11 @@ class Record:
         self.automaton, self.same = _automaton([tuple(low[i : i + k].tolist()) for i in range(len(self.passages))])
         self.distinct = len(sh.distinct(self.passages))
 
-    def matched(self, words: np.ndarray) -> tuple[float, float]:
-        """Similarity with a text, and the share of the record's words in intervals that the text has too."""
+    def matched(self, words: np.ndarray) -> tuple[float, np.ndarray]:
+        """Similarity with a text, and the merged intervals of the record's words that the text has too: begin and end, in turn."""
         others = sh.shingles(words, self.k)
         if not len(self.passages) or not len(others):
-            return 0.0, 0.0
+            return 0.0, np.empty(0, np.int64)
         met, edge = set(), np.zeros(self.length + 1, np.int64)
         for end, number in self.automaton.iter(tuple(words.astype(np.uint32).tolist())):
             passage = others[end - self.k + 1]
@@ -194,27 +194,28 @@ class Record:
                     met.add(passage)
                     edge[at] += 1
                     edge[at + self.k] -= 1
-        covered = float((np.cumsum(edge)[:-1] > 0).mean())
-        return len(met) / (self.distinct + len(sh.distinct(others)) - len(met)), covered
+        inside = np.concatenate([[False], np.cumsum(edge)[:-1] > 0, [False]])
+        return len(met) / (self.distinct + len(sh.distinct(others)) - len(met)), np.flatnonzero(inside[1:] != inside[:-1])
 
 
 def _verify(k: int, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, record = None, None
         for batch in batches:
-            keep, scores, covers = [], [], []
+            keep, scores, lengths, spans = [], [], [], []
             classes, texts, others = (batch.column(c).to_pylist() for c in (0, 2, 3))
             for i, words in enumerate(sh.batch_word_ids(others)):
                 if classes[i] != last:
                     last, record = classes[i], Record(sh.batch_word_ids([texts[i]])[0], k)
-                similarity, covered = record.matched(words)
+                similarity, intervals = record.matched(words)
                 if similarity >= threshold:
                     keep.append(i)
                     scores.append(similarity)
-                    covers.append(covered)
+                    lengths.append(record.length)
+                    spans.append(intervals.astype(np.int32))
             part = batch.select([0, 1]).take(pa.array(keep, pa.int64()))
-            columns = [*part.columns, pa.array(scores, pa.float64()), pa.array(covers, pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, names=["eval_cls", "train_cls", "similarity", "coverage"])
+            columns = [*part.columns, pa.array(scores, pa.float64()), pa.array(lengths, pa.int32()), pa.array(spans, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["eval_cls", "train_cls", "similarity", "words", "spans"])
 
     return run
 
@@ -224,7 +225,8 @@ class SplitOverlap:
     #: (id, cls) of the evaluation and of the training rows that have a text.
     eval_rows: DataFrame
     train_rows: DataFrame
-    #: (eval_cls, train_cls, similarity, coverage): pairs of different classes at or above the threshold.
+    #: (eval_cls, train_cls, similarity, words, spans): pairs of different classes at or above the threshold, with the
+    #: length of the evaluation text in words and its matched intervals (begin and end, in turn).
     matches: DataFrame
 
     def pairs(self) -> DataFrame:
@@ -238,10 +240,30 @@ class SplitOverlap:
             one.alias("similarity"),
             one.alias("coverage")
         )
-        near = self.matches.join(e, "eval_cls").join(t, "train_cls").select("eval_id", "train_id", "similarity", "coverage")
+        span = F.sequence(F.lit(0), F.size("spans") - 1, F.lit(2))
+        covered = F.aggregate(F.when(F.size("spans") > 0, span).otherwise(F.array().cast("array<int>")), F.lit(0), lambda s, k: s + F.get("spans", k + 1) - F.get("spans", k))
+        pairs = self.matches.withColumn("coverage", F.coalesce(F.try_divide(covered, "words"), F.lit(0.0)))
+        near = pairs.join(e, "eval_cls").join(t, "train_cls").select("eval_id", "train_id", "similarity", "coverage")
         both = same.unionByName(near).groupBy("eval_id", "train_id")
         return both.agg(F.max("similarity").alias("similarity"), F.max("coverage").alias("coverage"))
 
+    def records(self) -> DataFrame:
+        """(id, coverage, train_classes): each evaluation row that has an equal or near-same training text, with the share of
+        its words in the union of the intervals matched by all of them; 1 if one is equal.
+
+        Words are made distinct per text before they are counted, so a record that many training texts match stays small.
+        """
+        pair = F.posexplode(F.transform(F.sequence(F.lit(0), F.size("spans") - 1, F.lit(2)), lambda k: F.sequence(F.get("spans", k), F.get("spans", k + 1) - 1)))
+        spans = self.matches.where("size(spans) > 0").select("eval_cls", pair.alias("k", "at")).select("eval_cls", F.explode("at").alias("at"))
+        covered = spans.distinct().groupBy("eval_cls").agg(F.count("*").alias("covered"))
+        found = self.matches.groupBy("eval_cls").agg(F.max("words").alias("words"), F.count("*").alias("near"))
+        equal = self.eval_rows.select("cls").distinct().join(self.train_rows.select("cls").distinct(), "cls").select(F.col("cls").alias("eval_cls"), F.lit(1).alias("equal"))
+        every = found.join(covered, "eval_cls", "left").join(equal, "eval_cls", "full")
+        share = F.when(F.col("equal") == 1, 1.0).otherwise(F.coalesce(F.try_divide("covered", "words"), F.lit(0.0)))
+        count = F.coalesce("near", F.lit(0)) + F.coalesce("equal", F.lit(0))
+        own = self.eval_rows.withColumnRenamed("cls", "eval_cls")
+        return own.join(every.select("eval_cls", share.alias("coverage"), count.alias("train_classes")), "eval_cls").drop("eval_cls")
+
     def linked(self) -> DataFrame:
         """(side, id, cls, copies, links): each row with its class of equal texts, how many rows of the other side
         share it, and to how many other classes of the other side it is linked. Linear in the rows."""
@@ -316,6 +338,6 @@ def split_overlap(
         "train_cls"
     ).join(of(ev_texts, "eval_cls", "eval_text"), "eval_cls")
     near = near.select("eval_cls", "train_cls", "eval_text", "train_text").sortWithinPartitions("eval_cls")  # one automaton a record
-    result = "eval_cls binary, train_cls binary, similarity double, coverage double"
+    result = "eval_cls binary, train_cls binary, similarity double, words int, spans array<int>"
     matches = written(near.mapInArrow(_verify(shingle, threshold), result), "matches")
     return SplitOverlap(ev.select("id", "cls"), tr.select("id", "cls"), matches)

@@ -147,14 +147,22 @@ def test_overlap_is_brute_force(spark):
             assert rows[side, i].copies == sum(c == cls[i] for c in other.values())
             assert rows[side, i].links == len({c for c in other.values() if c != cls[i]})
     for a, b in ((docs(spark, ev).limit(0), docs(spark, tr)), (docs(spark, ev), docs(spark, tr).limit(0))):
-        assert split_overlap.split_overlap(a, b, "id", "text").pairs().count() == 0
+        empty = split_overlap.split_overlap(a, b, "id", "text")
+        assert empty.pairs().count() == 0 and empty.records().count() == 0
 
 
-def test_coverage_merges_intervals():
+def test_coverage_merges_intervals(spark):
     a, b = sh.batch_word_ids(["a b c d e f g h", "x b c d e y f g h"])
-    assert split_overlap.Record(a, 3).matched(b) == (pytest.approx(3 / 10), pytest.approx(7 / 8))
+    similarity, spans = split_overlap.Record(a, 3).matched(b)
+    assert similarity == pytest.approx(3 / 10) and spans.tolist() == [1, 8]
     again = sh.batch_word_ids(["a b c x a b c"])[0]
-    assert split_overlap.Record(again, 3).matched(sh.batch_word_ids(["a b c"])[0]) == (pytest.approx(1 / 4), pytest.approx(6 / 7))
+    similarity, spans = split_overlap.Record(again, 3).matched(sh.batch_word_ids(["a b c"])[0])
+    assert similarity == pytest.approx(1 / 4) and spans.tolist() == [0, 3, 4, 7]
+    record = "a b c d e f g h i j"
+    train = ["a b c d e f g x y z", "v w x d e f g h i j", "q r s t"]  # 7 words from the left, 7 from the right
+    r = split_overlap.split_overlap(docs(spark, [record, "q r s t", "o p"]), docs(spark, train, 100), "id", "text", shingle=3, threshold=0.4)
+    assert sorted(p.coverage for p in r.pairs().where("eval_id = 0").collect()) == [pytest.approx(0.7)] * 2
+    assert {x.id: (x.coverage, x.train_classes) for x in r.records().collect()} == {0: (1.0, 2), 1: (1.0, 1)}
 
 
 CANON = [(1, "contract", "cdi", "CDI"), (2, "contract", "cdi", "Contrat à durée indéterminée"), (3, "contract", "cdd", "Contrat à durée déterminée"), (4, "contract", "stage", "Stage"), (5, "contract", "remote", "Remote"), (6, "contract", "occasional", "Occasional remote work"), (None, None, None, None)]
