@@ -87,11 +87,6 @@ def drop_written() -> None:
     _written.clear()
 
 
-def small_side(df: DataFrame, rows: int, row_bytes: int = 64) -> DataFrame:
-    """``df`` marked for broadcast if ``rows`` counted rows prove it small, else as it is."""
-    return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
-
-
 def _width(c: Column, kind: T.DataType) -> Column:
     """Bytes of a value; those of a nested value are counted from its elements."""
     if isinstance(kind, (T.StringType, T.BinaryType)):
