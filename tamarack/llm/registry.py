@@ -41,6 +41,13 @@ def p2_groups(spark: SparkSession, d: str) -> DataFrame:
     return _near(spark, d).linked().withColumnRenamed("id", "posting_id")
 
 
+def p2_members(spark: SparkSession, d: str) -> DataFrame:
+    """The advert of every posting: the lowest posting_id of its group."""
+    own = _near(spark, d).linked().select(F.col("id").alias("posting_id"), "group").distinct()
+    names = own.groupBy("group").agg(F.min("posting_id").alias("advert"))
+    return own.join(names, "group").select("posting_id", "advert")
+
+
 def _overlap(spark: SparkSession, d: str) -> split_overlap.SplitOverlap:
     return split_overlap.split_overlap(table(spark, d, "test"), table(spark, d, "train"), "split_seq", "raw_text", **SIMILAR)
 
@@ -187,7 +194,7 @@ def p8_forms(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict:
     own = (
-        p1_found, p1_by_source, p2_found, p2_groups, p3_found, p3_by_split, p3_coverage, p3_classes, p4_found,
+        p1_found, p1_by_source, p2_found, p2_groups, p2_members, p3_found, p3_by_split, p3_coverage, p3_classes, p4_found,
         p4_report, p5_found, p5_report, p5_sample, p6_found, p6_packed, p6_fill, p7_found, p7_report, p7_mixture,
         p7_repeats, p7_tempered, p8_found, p8_forms,
     )
@@ -248,6 +255,11 @@ def oracle_sql() -> dict[str, str]:
             WITH {_classes("SELECT 0 AS side, posting_id AS id, raw_text FROM postings")}, {_near_sql("<")}
             SELECT DISTINCT least(a.id, b.id) AS posting_id_a, greatest(a.id, b.id) AS posting_id_b
             FROM (SELECT x, y FROM l UNION ALL SELECT cls, cls FROM c) p JOIN t a ON a.cls = p.x JOIN t b ON b.cls = p.y WHERE a.id <> b.id""",
+        "p2_members": f"""
+            WITH RECURSIVE {_classes("SELECT 0 AS side, posting_id AS id, raw_text FROM postings")}, {_near_sql("<")},
+            pair AS (SELECT DISTINCT a.id AS x, b.id AS y FROM (SELECT x, y FROM l UNION SELECT y, x FROM l UNION ALL SELECT cls, cls FROM c) p JOIN t a ON a.cls = p.x JOIN t b ON b.cls = p.y),
+            reach AS (SELECT x AS id, y AS other FROM pair UNION SELECT reach.id, pair.y FROM reach JOIN pair ON pair.x = reach.other)
+            SELECT id AS posting_id, min(other) AS advert FROM reach GROUP BY id""",
         "p3_found": f"""
             WITH {_classes("SELECT 0 AS side, split_seq AS id, raw_text FROM test UNION ALL SELECT 1, split_seq, raw_text FROM train")}, {_near_sql("<>")}
             SELECT DISTINCT a.id AS test_split_seq, b.id AS train_split_seq
