@@ -1,16 +1,20 @@
 """Near-duplicate groups by MinHash banding (problem 2).
 
 Plan: one Arrow pass makes, per row, a content class (equal shingle sets), the
-band keys and a one-bit sketch. Exact copies collapse into their class before
-anything is shuffled by band. Classes that share a band key are joined on that
-key (AQE splits hot keys), pairs are made distinct, thinned by the sketches and
-verified on the full shingle sets of the two texts, which are made once per class.
+band keys and a sketch of two bits a hash. Exact copies collapse into their class
+before anything is shuffled by band. Classes that share a band key are joined on
+that key (AQE splits hot keys), a few bands at a time. Their number grows with the
+square of the rows where texts share stock phrases, so each row brings its sketch
+along and the join itself drops what is too different: nothing quadratic is
+written. What is left is made distinct and verified on the full shingle sets of
+the two texts, which are made once per class.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +26,10 @@ from tamarack.runtime import broadcast_if_small, picked, spread, written
 
 #: Standard deviations by which a sketch may underrate a pair at the threshold before the pair is dropped unverified.
 SKETCH_SIGMAS = 5.0
+#: Bands joined at a time, at most.
+SLICE_BANDS = 8
+#: Low bit of each two-bit hash of a sketch word.
+LOW_BITS = 0x5555555555555555
 
 
 def bands_for(threshold: float, recall: float, rows: int) -> int:
@@ -49,7 +57,7 @@ def _minhash(shingle: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _signatures(k: int, bands: int, rows: int):
     n = bands * rows
-    words = -(-n // 64)
+    words = _words(n)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -75,13 +83,13 @@ def _signatures(k: int, bands: int, rows: int):
                     h = salts.copy()
                     for part in m.astype(np.uint64).reshape(bands, rows).T:
                         h = sh.mix(h * np.uint64(0x9E3779B97F4A7C15) + part)
-                    keys.append(h.view(np.int64))
+                    keys.append(h.astype(np.uint32).view(np.int32))  # classes that share one by chance differ in their sketches
                     bits = np.zeros(words * 64, np.uint8)
-                    bits[:n] = (m >> np.uint32(7)) & np.uint32(1)
-                    sketches.append(np.packbits(bits).view(np.int64))
+                    bits[: 2 * n : 2], bits[1 : 2 * n : 2] = (m >> np.uint32(7)) & np.uint32(1), (m >> np.uint32(8)) & np.uint32(1)
+                    sketches.append(np.packbits(bits, bitorder="little").view(np.int64))
             numbers = pa.array(range(row, row + len(classes)), pa.int64())
             row += len(classes)
-            lists = [pa.array(x, pa.list_(pa.int64())) for x in (keys, sketches)]
+            lists = [pa.array(keys, pa.list_(pa.int32())), pa.array(sketches, pa.list_(pa.int64()))]
             columns = [batch.column(0), numbers, pa.array(classes, pa.binary()), pa.array(sizes, pa.int32()), *lists]
             yield pa.RecordBatch.from_arrays(columns, names=["id", "row", "cls", "n", "keys", "sketch"])
 
@@ -104,8 +112,15 @@ def _own_shingles(k: int):
     return run
 
 
-def _differing_bits(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+def _words(hashes: int) -> int:
+    """Words of a sketch of so many hashes."""
+    return -(-hashes // 32)
+
+
+def _differing(words: int) -> Column:
+    """Hashes in which the sketches x0, x1, ... and y0, y1, ... differ; plain columns, so that the join compiles it."""
+    each = (F.col(f"x{i}").bitwiseXOR(F.col(f"y{i}")) for i in range(words))
+    return sum((F.bit_count(d.bitwiseOR(F.shiftrightunsigned(d, 1)).bitwiseAND(F.lit(LOW_BITS))) for d in each), F.lit(0))
 
 
 def _lowest_linked(edges: DataFrame) -> DataFrame:
@@ -196,7 +211,7 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, *, shingle: int =
     hashes = bands * rows
     docs = spread(picked(df, id=id_col, text=text_col).where("id is not null and text is not null"))
     id_type = docs.schema["id"].dataType.simpleString()
-    signed = f"id {id_type}, row bigint, cls binary, n int, keys array<bigint>, sketch array<bigint>"
+    signed = f"id {id_type}, row bigint, cls binary, n int, keys array<int>, sketch array<bigint>"
     sig = written(docs.mapInArrow(_signatures(shingle, bands, rows), signed), "minhash")
 
     # Of a class that several tasks met, one row goes on: copies would else pair up in every band, once per two tasks.
@@ -205,25 +220,30 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, *, shingle: int =
     copied = written(met.where("tasks > 1").select("cls", "first"), "copied")
     once = keyed.join(broadcast_if_small(copied), "cls", "left").where("first is null or row = first")
 
-    # Classes, by the number of their row, that share a band key. Both sides are one exchange, read twice;
-    # AQE splits a hot key's partition.
-    band = once.select("row", F.explode("keys").alias("key"))
-    candidates = band.toDF("a", "key").join(band.toDF("b", "key"), "key").where("a < b").select("a", "b").distinct()
-
-    # At the threshold two sketches agree in (1 + t) / 2 of their bits; what is below by SKETCH_SIGMAS deviations can't reach it.
-    agree = (1 + threshold) / 2
+    # At the threshold two sketches agree in t + (1 - t) / 4 of their hashes; what is below by SKETCH_SIGMAS deviations can't reach it.
+    words = _words(hashes)
+    agree = threshold + (1 - threshold) / 4
     differ = hashes * (1 - agree) + SKETCH_SIGMAS * math.sqrt(hashes * agree * (1 - agree))
-    described = broadcast_if_small(written(once.select("row", "n", "sketch"), "sketches"))
-    likely = candidates.join(described.toDF("a", "n_a", "sketch_a"), "a").join(described.toDF("b", "n_b", "sketch_b"), "b")
-    likely = likely.where(F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b"))
-    likely = likely.where(_differing_bits(F.col("sketch_a"), F.col("sketch_b")) <= differ)
-    likely = written(likely.select("a", "b"), "likely")
+    alike = (F.col("a") < F.col("b")) & (F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b")) & (_differing(words) <= differ)
+
+    # Classes, by the number of their row, that share a band key. Both sides are one exchange, read twice; AQE splits a
+    # hot key's partition. The rows by band are many times the input: their shuffle goes before that of the next bands.
+    size = math.ceil(bands / math.ceil(bands / SLICE_BANDS))
+    found = []
+    for begin in range(0, bands, size):
+        key = F.explode(F.slice("keys", begin + 1, size)).alias("key")
+        band = once.select("row", "n", *[F.get("sketch", F.lit(i)).alias(f"s{i}") for i in range(words)], key)
+        left, right = (band.toDF(x, f"n_{x}", *[f"{w}{i}" for i in range(words)], "key") for x, w in (("a", "x"), ("b", "y")))
+        pairs = left.join(right, "key").where(alike)
+        found.append(written(pairs.select("a", "b").distinct(), "alike"))
+    likely = written(reduce(DataFrame.unionByName, found).distinct(), "likely")
 
     # The full shingle set of one row of each class that is in a likely pair: made once, compared inside the JVM.
     involved = likely.select(F.explode(F.array("a", "b")).alias("row")).distinct()
     first = written(involved.join(sig.select("row", "cls", "id"), "row"), "involved")
     wanted = docs.join(broadcast_if_small(first), "id").select("row", "cls", "text")
     sets = wanted.mapInArrow(_own_shingles(shingle), "row bigint, shingles array<bigint>").dropDuplicates(["row"])
+    sets = written(sets, "shingles")  # so that the texts moved for it are gone before the sets are
     pairs = likely.join(sets.toDF("a", "s_a"), "a").join(sets.toDF("b", "s_b"), "b")
     common = F.size(F.array_intersect("s_a", "s_b"))
     similarity = common / (F.size("s_a") + F.size("s_b") - common)

@@ -13,6 +13,9 @@ from pyspark.sql import types as T
 #: Beyond this many bytes a table is joined by shuffle, never by an explicit broadcast.
 BROADCAST_BYTES = 32 << 20
 
+#: Setting of Spark that drops an execution's shuffle files when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _own_folder: str | None = None
 _written: list[tuple[SparkSession, str]] = []
 
@@ -47,11 +50,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
     Cuts the lineage like a reliable checkpoint, but stays columnar, so later
     reads prune columns and push filters. Removed by :func:`drop_written`, at the
-    latest when the process ends.
+    latest when the process ends. The shuffle files it took are removed at once:
+    nothing reads them again, and Spark would keep them until the driver happens
+    to collect its garbage.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
