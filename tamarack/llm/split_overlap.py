@@ -1,15 +1,21 @@
 """Evaluation records that also stand in training texts (problem 3).
 
-Passages are runs of k words of the normalised evaluation texts. Evaluation
-records are dealt into shards of bounded size; an Aho-Corasick automaton over
-the passages of each shard scans all training texts and counts, per record, how
-many of its passages it met. Only a record's rarer passages are in the shards,
-as many as the count that a near-same text must reach needs. Pairs that reach
-it are scanned once more with an automaton over all passages of the record: the
-matched intervals are merged into its coverage, and similarity is exact.
-
-Shards are blocks of a stated query set: one is on the driver and in the workers
-at a time, and is released before the next.
+Passages are runs of k words of the normalised texts. An index over the rarer
+passages of the evaluation records finds the pairs of a record and a training
+text that can be near-same; of each such pair, the Aho-Corasick automaton over
+all passages of the record scans the training text: the matched intervals are
+merged into its coverage, and similarity is exact.
+
+The index loses no pair. Passages are ordered, rarest first, by how many
+evaluation texts hold their bucket, then by hash: the same order in all texts.
+Of sets of a and b passages that share enough, the first shared one is near
+the front in both, so only these fronts are indexed and looked up; the rest
+that both have after it, and the passages by which sets of bits prove the
+texts to differ, bound what they can share.
+
+Evaluation records are dealt into shards of bounded size: one index is on the
+driver and in the workers at a time, and is released before the next. What a
+shard costs is one lookup for each passage at the front of a training text.
 """
 
 from __future__ import annotations
@@ -20,16 +26,23 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tamarack.llm import _shingles as sh
 from tamarack.runtime import picked, spread, written
 
-#: Passages in one shard (a longer record is one of its own), so also what the driver and a broadcast hold at a time.
-SHARD = 1_000_000
-#: Of the passages a near-same text must share, the part that has to be met among the rarer ones.
-MET_PART = 3
+#: Indexed passages in one shard (a longer record is one of its own), so also what the driver and a broadcast hold at a time.
+SHARD = 4_000_000
+#: Buckets in which passages are counted, as a power of two; the counts are on the driver and in every worker.
+BUCKETS = 22
+#: Bits for each passage of a text, and the most for a text.
+BITS, MOST_BITS = 2.5, 1 << 16
+#: Pairs compared at a time, and texts prepared at a time.
+PAIRS, TEXTS = 1 << 16, 1_000
+#: For sums and products of fractions that are whole numbers.
+HAIR = 1e-6
 
 
 def _classes(k: int):
@@ -50,36 +63,189 @@ def _classes(k: int):
     return run
 
 
-def _word_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(cls, words): 32 bits of each word's hash, as an automaton takes them."""
-    for batch in batches:
-        ids = [w.astype(np.uint32).view(np.int32) for w in sh.batch_word_ids(batch.column(1).to_pylist())]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["cls", "words"])
+def _bucket(passages: np.ndarray) -> np.ndarray:
+    return (passages >> np.uint64(64 - BUCKETS)).astype(np.int64)
 
 
-def _passages(k: int):
-    """(cls, n, passage, at): the n distinct passages of each text and where each stands first."""
+def _counts(k: int):
+    """(bucket, held): in how many texts of the task a passage of the bucket stands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(1 << BUCKETS, np.int64)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows, counts, passages, at = [], [], [], []
-            for i, words in enumerate(sh.batch_word_ids(batch.column(1).to_pylist())):
-                found, first = np.unique(sh.shingles(words, k), return_index=True)
-                rows.append(np.full(len(found), i))
-                counts.append(np.full(len(found), len(found), np.int32))
-                passages.append(found.view(np.int64))
-                at.append(first.astype(np.int32))
-            flat = [pa.array(np.concatenate(x)) for x in (counts, passages, at)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(np.concatenate(rows), pa.int64())), *flat],
-                names=["cls", "n", "passage", "at"]
-            )
+            sets = sh.shingle_sets(batch.column(1).to_pylist(), k)
+            met, times = np.unique(_bucket(np.concatenate([*sets, np.empty(0, np.uint64)])), return_counts=True)
+            held[met] += times
+        met = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(met.astype(np.int32)), pa.array(held[met])], names=["bucket", "held"])
 
     return run
 
 
+def _widths(n: np.ndarray) -> np.ndarray:
+    """Bits of a text of n passages: a power of two."""
+    return np.clip(2 ** np.ceil(np.log2(np.maximum(n, 1) * BITS)), 64, MOST_BITS).astype(np.int64)
+
+
+def _parities(passages: np.ndarray, own: np.ndarray, texts: int, width: int) -> list[bytes]:
+    """Of each text, for each value of the lowest bits, whether the passages with it are odd in number."""
+    bits = np.bincount(own * width + (passages & np.uint64(width - 1)).astype(np.int64), minlength=texts * width) & 1
+    rows = np.packbits(bits.astype(np.uint8).reshape(texts, width), axis=1, bitorder="little")
+    return [r.tobytes() for r in rows]
+
+
+def _ends(n, at, threshold: float) -> np.ndarray:
+    """The largest set with which one of n passages can be near-same if the first shared passage is its at-th: n - at passages are left."""
+    return np.floor((n - at) * (1 + threshold) / threshold - n + HAIR).astype(np.int64)
+
+
+def _least(n, threshold: float) -> np.ndarray:
+    """The smallest set with which one of n passages can be near-same."""
+    return np.ceil(n * threshold - HAIR).astype(np.int64)
+
+
+def _fronts(level, k: int, threshold: float, indexed: bool):
+    """(cls, n, passages, at, bits): of each text with passages, how many it has, 32 bits of each in its front, their places and its bits.
+
+    Bits are as wide as those of the largest near-same text if ``indexed``; else as its own. Passages that stand in no
+    evaluation text, and texts that have only such in front, are left out.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(begin, TEXTS)
+                sets = sh.shingle_sets(part.column(1).to_pylist(), k)
+                n = np.fromiter(map(len, sets), np.int64, len(sets))
+                flat, own = np.concatenate(sets), np.repeat(np.arange(len(n)), n)
+                rank = level.value[_bucket(flat)]
+                # a set is in order of its hashes, so a stable sort orders by level, then by the whole hash
+                order = np.argsort((own << 8) | rank, kind="stable")
+                at = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
+                front = (at <= (n - _least(n, threshold))[own]) & (rank[order] > 0)
+                keep = order[front]
+                counts = np.bincount(own[keep], minlength=len(n))
+                rows = np.flatnonzero(counts)
+                bits, widths = np.empty(len(n), object), _widths(np.floor(n / threshold + HAIR) if indexed else n)
+                for width in np.unique(widths[rows]).tolist():
+                    chosen = np.flatnonzero((widths == width) & (counts > 0))
+                    for first in range(0, len(chosen), step := max(1, (1 << 22) // width)):
+                        some = chosen[first : first + step]
+                        number = np.full(len(n), -1)
+                        number[some] = np.arange(len(some))
+                        inside = number[own] >= 0
+                        bits[some] = _parities(flat[inside], number[own[inside]], len(some), width)
+                ends = pa.array(np.concatenate([[0], np.cumsum(counts[rows])]).astype(np.int32))
+                lists = [(flat[keep] >> np.uint64(32)).astype(np.uint32).view(np.int32), at[front].astype(np.int32)]
+                columns = [
+                    part.column(0).take(pa.array(rows)),
+                    pa.array(n[rows].astype(np.int32)),
+                    *(pa.ListArray.from_arrays(ends, pa.array(x)) for x in lists),
+                    pa.array(bits[rows].tolist(), pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["cls", "n", "passages", "at", "bits"])
+
+    return run
+
+
+def _flat(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """All elements, and the row of each."""
+    return lists.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
+
+
+def _words(bits: pa.Array, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(bits.to_pylist()), np.uint64).reshape(len(bits), width // 64)
+
+
+def _ones(words: np.ndarray) -> np.ndarray:
+    """Bits set in each row."""
+    ones = np.bitwise_count(words)
+    if ones.shape[1] % 8:
+        return ones.sum(axis=1, dtype=np.int64)
+    lanes = np.ascontiguousarray(ones).view(np.uint64)  # eight counts of up to 64 each
+    low = np.uint64(0x00FF00FF00FF00FF)
+    lanes = (lanes & low) + ((lanes >> np.uint64(8)) & low)
+    with np.errstate(over="ignore"):
+        lanes = (lanes * np.uint64(0x0001000100010001)) >> np.uint64(48)
+    return (lanes[:, 0] if lanes.shape[1] == 1 else lanes.sum(axis=1)).astype(np.int64)
+
+
+class Index:
+    """Passages in front of some records, ordered by passage and size of the record."""
+
+    def __init__(self, records: pa.Table, threshold: float):
+        self.threshold = threshold
+        whole = {c: pa.concat_arrays(records.column(c).chunks) if records.num_rows else None for c in records.column_names}
+        self.n = whole["n"].to_numpy().astype(np.int64) if records.num_rows else np.empty(0, np.int64)
+        if not len(self.n):
+            return
+        self.cls = whole["cls"]
+        passages, own = _flat(whole["passages"])
+        keys = (passages.view(np.uint32).astype(np.uint64) << np.uint64(32)) | self.n[own].astype(np.uint64)
+        order = np.argsort(keys)
+        self.keys, self.record = keys[order], own[order].astype(np.int32)
+        self.most = np.minimum(_ends(self.n[own], _flat(whole["at"])[0], threshold), (1 << 31) - 1).astype(np.int32)[order]
+        # a text is compared at its own width: the wider bits of a record are folded
+        self.bits: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        widths, lowest = pc.binary_length(whole["bits"]).to_numpy() * 8, _widths(_least(self.n, threshold))
+        parts: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        for width in np.unique(widths).tolist():
+            rows = np.flatnonzero(widths == width)
+            words = _words(whole["bits"].take(pa.array(rows)), width)
+            while len(rows):
+                parts.setdefault(width, []).append((rows, words))
+                inside = lowest[rows] < width
+                rows, words, half = rows[inside], words[inside], width // 128
+                words, width = words[:, :half] ^ words[:, half:], width // 2
+        for width, own in parts.items():
+            place = np.full(len(self.n), -1, np.int32)
+            place[np.concatenate([rows for rows, _ in own])] = np.arange(sum(len(rows) for rows, _ in own))
+            self.bits[width] = place, np.concatenate([words for _, words in own])
+
+    def candidates(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of the batch and records that can be near-same."""
+        found = [np.empty(0, np.int64)]
+        if len(self.n) and batch.num_rows:
+            n = batch.column("n").to_numpy().astype(np.int64)
+            passages, own = _flat(batch.column("passages"))
+            most = _ends(n[own], _flat(batch.column("at"))[0], self.threshold)
+            keys = passages.view(np.uint32).astype(np.uint64) << np.uint64(32)
+            widths = _widths(n)
+            for width in np.unique(widths).tolist():
+                if width in self.bits:
+                    texts = np.flatnonzero(widths == width)
+                    place = np.full(len(n), -1)
+                    place[texts] = np.arange(len(texts))
+                    inside = np.flatnonzero(place[own] >= 0)
+                    inside = inside[np.argsort(keys[inside])]  # neighbours in the index are looked up together
+                    words = _words(batch.column("bits").take(pa.array(texts)), width)
+                    found += self._compared(keys[inside], own[inside], n, most[inside], place, words, width)
+        both = np.unique(np.concatenate(found))
+        return both >> 32, both & 0xFFFFFFFF
+
+    def _compared(self, keys, own, n, most, place, words, width: int) -> Iterator[np.ndarray]:
+        size = n[own]
+        low = np.searchsorted(self.keys, keys | _least(size, self.threshold).astype(np.uint64))
+        count = np.maximum(np.searchsorted(self.keys, keys | np.maximum(most, 0).astype(np.uint64), "right") - low, 0)
+        some = np.flatnonzero(count)
+        low, count, own, size = low[some], count[some], own[some], size[some]
+        ends = np.cumsum(count)
+        places, records = self.bits[width]
+        for begin in range(0, int(ends[-1]) if len(ends) else 0, PAIRS):
+            end = min(begin + PAIRS, int(ends[-1]))
+            x, y = np.searchsorted(ends, begin, "right"), np.searchsorted(ends, end - 1, "right") + 1
+            starts = ends[x:y] - count[x:y]
+            times = np.minimum(ends[x:y], end) - np.maximum(starts, begin)
+            at = np.arange(begin, end) + np.repeat(low[x:y] - starts, times)
+            text = np.repeat(np.arange(x, y), times)
+            near = np.flatnonzero(self.most[at] >= size[text])
+            record, text = self.record[at[near]], text[near]
+            total = self.n[record] + size[text]
+            differ = total - 2 * np.ceil(total * (self.threshold / (1 + self.threshold)) - HAIR)
+            near = _ones(records[places[record]] ^ words[place[own[text]]]) <= differ
+            yield np.unique((own[text[near]] << 32) | record[near])
+
+
 def _automaton(runs: list[tuple[int, ...]]):
     """Automaton over word runs, and for each different run the numbers of all that equal it."""
     import ahocorasick
@@ -95,59 +261,11 @@ def _automaton(runs: list[tuple[int, ...]]):
     return automaton, list(same.values())
 
 
-class _Shard:
-    """Automaton over the passages of some records, with the records that hold each."""
-
-    def __init__(self, needs: np.ndarray, places: list[np.ndarray], words: list[np.ndarray], k: int):
-        import ahocorasick
-
-        self.needs = needs
-        before = np.cumsum([0, *map(len, words)])[:-1]
-        flat = np.concatenate([*words, np.empty(0, np.int32)]).view(np.uint32)
-        at = np.concatenate([np.empty(0, np.int64), *(p + b for p, b in zip(places, before))]).astype(np.int64)
-        runs = flat[at[:, None] + np.arange(k)]
-        with np.errstate(over="ignore"):
-            keys = np.zeros(len(at), np.uint64)
-            for column in runs.T:
-                keys = sh.mix(keys + column + np.uint64(1))
-        owners = np.repeat(np.arange(len(places)), [len(p) for p in places]).astype(np.int32)
-        order = np.argsort(keys, kind="stable")
-        keys = keys[order]
-        self.first = np.flatnonzero(np.concatenate([np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]]))
-        self.count = np.diff(np.append(self.first, len(keys)))
-        self.owners = owners[order]  # those of passage p begin at first[p]
-        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-        chosen = order[self.first]
-        for begin in range(0, len(chosen), 50_000):  # the numbers of all runs at once would take more room than the automaton
-            for number, run in enumerate(runs[chosen[begin : begin + 50_000]].tolist(), begin):
-                self.automaton.add_word(tuple(run), number)
-        if len(self.first):
-            self.automaton.make_automaton()
-
-    def holders(self, passages: np.ndarray) -> np.ndarray:
-        count = self.count[passages]
-        ends = np.cumsum(count)
-        return self.owners[np.repeat(self.first[passages] - (ends - count), count) + np.arange(ends[-1])]
-
-    def candidates(self, words: np.ndarray) -> np.ndarray:
-        """Records of which the words contain as many passages as needed."""
-        if not len(words) or not len(self.first):
-            return np.empty(0, np.int64)
-        met = {p for _, p in self.automaton.iter(tuple(words.view(np.uint32).tolist()))}
-        if not met:
-            return np.empty(0, np.int64)
-        held = self.holders(np.fromiter(met, np.int64, len(met)))
-        if len(held) < len(self.needs) // 8:  # few matches: no work on all records of the shard
-            records, counts = np.unique(held, return_counts=True)
-            return records[counts >= self.needs[records]]
-        return np.flatnonzero(np.bincount(held, minlength=len(self.needs)) >= self.needs)
-
-
-_kept: dict[str, _Shard] = {}  # a worker keeps its last shard
+_kept: dict[str, Index] = {}  # a worker keeps its last shard
 
 
-def _scan(value, name: str, k: int):
-    """Pairs of a record of the shard and a training class."""
+def _scan(value, name: str, threshold: float):
+    """Pairs of a record of the shard and a training class that can be near-same."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = None
@@ -155,17 +273,14 @@ def _scan(value, name: str, k: int):
             if own is None:
                 if name not in _kept:
                     _kept.clear()
-                    needs, places, words = (value.value.column(c) for c in ("need", "at", "words"))
-                    arrays = [[np.asarray(x.values) for x in c] for c in (places, words)]
-                    _kept[name] = _Shard(needs.to_numpy(), *arrays, k)
-                own, classes = _kept[name], value.value.column("cls").combine_chunks()
-            train, records = [], []
-            for i, words in enumerate(batch.column(1)):
-                found = own.candidates(np.asarray(words.values)).tolist()
-                train += [i] * len(found)
-                records += found
-            columns = [classes.take(pa.array(records, pa.int64())), batch.column(0).take(pa.array(train, pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["eval_cls", "train_cls"])
+                    _kept[name] = Index(value.value, threshold)
+                own = _kept[name]
+            for begin in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(begin, TEXTS)
+                texts, records = own.candidates(part)
+                if len(texts):
+                    columns = [own.cls.take(pa.array(records)), part.column(0).take(pa.array(texts))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["eval_cls", "train_cls"])
 
     return run
 
@@ -285,13 +400,15 @@ def split_overlap(
 ) -> SplitOverlap:
     """All pairs of an evaluation and a training text whose sets of ``shingle``-word runs have Jaccard similarity >= ``threshold``, or are equal.
 
-    No pair is missed: of a record's n runs, c = ceil(threshold x n) must be
-    shared, so at least m of its n - c + m rarest are, with m = ceil(c / 3).
+    No pair is missed: sets of a and b runs must share o = threshold / (1 + threshold) x (a + b); in one order of all
+    runs, the first shared one is followed by all others, so a - i >= o and b - j >= o for its places i and j.
     Texts of one class (equal run sets) are matched by the alphabetically first
     of them, so coverage does not depend on the order of rows. NULL ids or texts
     take no part; texts of fewer words match equal texts only. Repeated rows stay
     rows of their own. Empty tables give empty results. Other columns are ignored, whatever their names.
     """
+    if not 0 < threshold <= 1:
+        raise ValueError("the threshold is above 0 and at most 1")
     spark = evaluation.sparkSession
     kind = evaluation.schema[id_col].dataType.simpleString()
 
@@ -303,26 +420,24 @@ def split_overlap(
     # one text per class: copies are scanned and matched once
     ev_texts, tr_texts = (d.where("text is not null").groupBy("cls").agg(F.min("text").alias("text")) for d in (ev, tr))
     ev_texts = written(ev_texts, "evaluation-texts")
-    words = "cls binary, words array<int>"
-    tr_words = written(tr_texts.mapInArrow(_word_lists, words), "training-words")
-
-    runs = written(ev_texts.mapInArrow(_passages(shingle), "cls binary, n int, passage bigint, at int"), "passages")
-    held = runs.groupBy("passage").agg(F.count("*").alias("held"))
-    rarest = Window.partitionBy("cls").orderBy("held", "passage")
-    shared = F.ceil(F.col("n") * threshold - 1e-9)
-    need = F.ceil(shared / MET_PART)
-    chosen = runs.join(held, "passage").withColumn("_k", F.row_number().over(rarest)).where(F.col("_k") <= F.col("n") - shared + need)
-    # one row a record; its size is that of its text
-    places = chosen.groupBy("cls").agg(F.first(need).cast("int").alias("need"), F.collect_list("at").alias("at"))
-    size = runs.select("cls", "n").distinct().agg(F.sum(F.col("n") - shared + need)).first()[0] or 0
+    counts = ev_texts.mapInArrow(_counts(shingle), "bucket int, held bigint").groupBy("bucket").agg(F.sum("held").alias("held")).toArrow()
+    level = np.zeros(1 << BUCKETS, np.uint8)
+    level[counts.column("bucket").to_numpy()] = np.minimum(255, np.ceil(8 * np.log2(1 + counts.column("held").to_numpy())))
+    levels = spark.sparkContext.broadcast(level)
+    front = "cls binary, n int, passages array<int>, at array<int>, bits binary"
+    tr_front = written(tr_texts.mapInArrow(_fronts(levels, shingle, threshold, False), front), "training-fronts")
+    dealt = written(ev_texts.mapInArrow(_fronts(levels, shingle, threshold, True), front), "evaluation-fronts")
+    levels.destroy()
+    size = dealt.agg(F.sum(F.size("passages"))).first()[0] or 0
     shards = max(1, math.ceil(size / (shard * 0.8)))  # shares by hash differ a little
-    dealt = places.join(ev_texts.mapInArrow(_word_lists, words), "cls").withColumn("shard", F.pmod(F.xxhash64("cls"), F.lit(shards)))
-    dealt = written(dealt.repartitionByRange("shard").sortWithinPartitions("shard"), "shards")  # so that a read skips the others
+    dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("cls"), F.lit(shards)))
+    if shards > 1:
+        dealt = written(dealt.repartitionByRange("shard").sortWithinPartitions("shard"), "shards")  # so that a read skips the others
 
     candidates = []
     for s in range(shards):
         value = spark.sparkContext.broadcast(dealt.where(F.col("shard") == s).drop("shard").toArrow())
-        found = tr_words.mapInArrow(_scan(value, f"{value._jbroadcast.id()}-{s}", shingle), "eval_cls binary, train_cls binary")
+        found = tr_front.mapInArrow(_scan(value, f"{value._jbroadcast.id()}-{s}", threshold), "eval_cls binary, train_cls binary")
         candidates.append(written(found.where("eval_cls <> train_cls"), "candidates"))
         value.destroy()
     found = candidates[0]
