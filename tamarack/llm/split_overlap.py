@@ -39,8 +39,8 @@ SHARD = 4_000_000
 BUCKETS = 22
 #: Bits for each passage of a text, and the most for a text.
 BITS, MOST_BITS = 2.5, 1 << 16
-#: Pairs compared at a time, and texts prepared at a time.
-PAIRS, TEXTS = 1 << 16, 1_000
+#: Pairs compared at a time; texts prepared, and texts looked up at a time.
+PAIRS, TEXTS, LOOKED_UP = 1 << 16, 1_000, 5_000
 #: For sums and products of fractions that are whole numbers.
 HAIR = 1e-6
 
@@ -228,22 +228,24 @@ class Index:
         low = np.searchsorted(self.keys, keys | _least(size, self.threshold).astype(np.uint64))
         count = np.maximum(np.searchsorted(self.keys, keys | np.maximum(most, 0).astype(np.uint64), "right") - low, 0)
         some = np.flatnonzero(count)
-        low, count, own, size = low[some], count[some], own[some], size[some]
+        low, count, own, size = low[some], count[some], own[some].astype(np.int32), size[some].astype(np.int32)
         ends = np.cumsum(count)
+        starts = ends - count
         places, records = self.bits[width]
         for begin in range(0, int(ends[-1]) if len(ends) else 0, PAIRS):
             end = min(begin + PAIRS, int(ends[-1]))
             x, y = np.searchsorted(ends, begin, "right"), np.searchsorted(ends, end - 1, "right") + 1
-            starts = ends[x:y] - count[x:y]
-            times = np.minimum(ends[x:y], end) - np.maximum(starts, begin)
-            at = np.arange(begin, end) + np.repeat(low[x:y] - starts, times)
-            text = np.repeat(np.arange(x, y), times)
-            near = np.flatnonzero(self.most[at] >= size[text])
-            record, text = self.record[at[near]], text[near]
-            total = self.n[record] + size[text]
+            times = np.minimum(ends[x:y], end) - np.maximum(starts[x:y], begin)
+            at = np.repeat(low[x:y] - starts[x:y], times)
+            at += np.arange(begin, end)
+            near = np.flatnonzero(self.most.take(at) >= np.repeat(size[x:y], times))
+            record, text = self.record.take(at.take(near)), np.repeat(own[x:y], times).take(near)
+            total = self.n.take(record) + n.take(text)
             differ = total - 2 * np.ceil(total * (self.threshold / (1 + self.threshold)) - HAIR)
-            near = _ones(records[places[record]] ^ words[place[own[text]]]) <= differ
-            yield np.unique((own[text[near]] << 32) | record[near])
+            unlike = records.take(places.take(record), axis=0)
+            unlike ^= words.take(place.take(text), axis=0)
+            near = np.flatnonzero(_ones(unlike) <= differ)
+            yield (text.take(near).astype(np.int64) << 32) | record.take(near)
 
 
 def _automaton(runs: list[tuple[int, ...]]):
@@ -275,8 +277,8 @@ def _scan(value, name: str, threshold: float):
                     _kept.clear()
                     _kept[name] = Index(value.value, threshold)
                 own = _kept[name]
-            for begin in range(0, batch.num_rows, TEXTS):
-                part = batch.slice(begin, TEXTS)
+            for begin in range(0, batch.num_rows, LOOKED_UP):
+                part = batch.slice(begin, LOOKED_UP)
                 texts, records = own.candidates(part)
                 if len(texts):
                     columns = [own.cls.take(pa.array(records)), part.column(0).take(pa.array(texts))]
